@@ -59,7 +59,7 @@ def put_file(uri: str, write) -> None:
     where, path = store(uri)
     where.create_dir(path.rsplit("/", 1)[0], recursive=True)
     draft = f"{path}.{uuid.uuid4().hex}.tmp"
-    with where.open_output_stream(draft) as out:
+    with where.open_output_stream(draft, compression=None) as out:
         write(out)
     where.move(draft, path)
 

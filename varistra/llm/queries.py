@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varistra.llm import common, line_dedup, order_minhash, token_output
+from varistra.llm import common, line_dedup, mixing, order_minhash, token_output, warc
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,19 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, out, digest=True)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document: sources weigh 3, 1, 2 in turn and share 150 % of all words, each at most twice."""
+    docs = mixing.with_size(common.read_table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_size")
+    mixed = mixing.mix_sized(common.materialise(docs, "sizes"), weights=(3.0, 1.0, 2.0), share=1.5, cap=2.0)
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"), "source")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from deduplicated archives."""
+    records = warc.deduplicate(common.read_table(spark, sf_dir, "pages"), common.scratch(spark, "op4"), min_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, its edited text's, and their likeness."""
     return order_minhash.compare_edited(common.read_table(spark, sf_dir, "documents"))
@@ -31,6 +44,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_mixing": op2_mixing,
+    "op4_warc": op4_warc,
     "op6_order_minhash": op6_order_minhash,
     "op7_line_dedup": op7_line_dedup,
 }
