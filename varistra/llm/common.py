@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The words of every word-based operator: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Parts into which the rows of one key are split before their aggregate is joined back.
+SALTS = 64
 
 
 def shared_root(spark: SparkSession) -> str:

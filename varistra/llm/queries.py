@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varistra.llm import common, line_dedup, mixing, order_minhash, token_output, warc
+from varistra.llm import common, line_dedup, minhash, mixing, order_minhash, token_output, warc
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near-duplicates: 2-word shingles, similarity 0.8 or more."""
+    return minhash.near_duplicates(common.read_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, its edited text's, and their likeness."""
     return order_minhash.compare_edited(common.read_table(spark, sf_dir, "documents"))
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_mixing": op2_mixing,
     "op4_warc": op4_warc,
+    "op5_minhash": op5_minhash,
     "op6_order_minhash": op6_order_minhash,
     "op7_line_dedup": op7_line_dedup,
 }

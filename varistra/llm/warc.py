@@ -28,8 +28,6 @@ from varistra.llm import common
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Parts into which the records of one digest are split before they meet.
-SALTS = 64
 RECORD = "page_id long, record_type string, url string, payload_digest string, payload_bytes long, refers_to long, archive string, record int"
 
 
@@ -152,7 +150,7 @@ def read_records(spark: SparkSession, out: str) -> DataFrame:
 
 def resolve(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     """records with the decision for each: response (refers_to null) or revisit of the record with the largest page_id of the same digest and size."""
-    keyed = records.drop("record_type", "refers_to").withColumn("salt", F.pmod(F.xxhash64("archive", "record"), F.lit(SALTS)).cast("int"))
+    keyed = records.drop("record_type", "refers_to").withColumn("salt", F.pmod(F.xxhash64("archive", "record"), F.lit(common.SALTS)).cast("int"))
     large = keyed.filter(F.col("payload_bytes") >= min_bytes)
     best = F.max(F.struct("page_id", "archive", "record", "url"))
     parts = large.groupBy("payload_digest", "payload_bytes", "salt").agg(best.alias("best"))
