@@ -7,8 +7,8 @@ later step can change it, so most documents stop after two or three steps. Signa
 
 Equal sets are one class, represented by its smallest doc_id, so copies never meet as pairs. Classes that agree in a
 band are candidates. A bucket's members are first compared with one of them, drawn anew for each band. Only where a
-bucket still spans several components are its other pairs compared: pair by pair in small buckets, in blocks of
-``BLOCK`` texts by ``BLOCK`` in large ones. Every pair of a bucket is thus either compared on its full sets or already
+bucket still spans several components are the members outside its largest one compared with all others: pair by pair
+in small buckets, in blocks of ``BLOCK`` texts by ``BLOCK`` in large ones. Every pair of a bucket is thus either compared on its full sets or already
 connected, and nothing is capped. With ``BANDS`` bands of ``ROWS`` places a pair at the threshold shares no bucket
 with a probability of 3 in a million.
 
@@ -186,35 +186,36 @@ def compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return rows.repartition("u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v")).mapInArrow(run, "u long, v long")
 
 
-def compare_blocks(buckets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between all members of large buckets(key, n, node, label) with different labels: each pair of blocks of a bucket meets in one task."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = buckets.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.select("key", "node", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", "node", "label", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+def compare_blocks(few: DataFrame, all_rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between few(key, n, few_n, node, label) and all members all_rows of the same buckets with other labels.
 
-    def run(key, table):
+    Both sides are cut in blocks of about BLOCK texts; each pair of blocks of a bucket meets in one task."""
+    columns, lines = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("few_n") / BLOCK).cast("int")
+    of = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    x = few.select("key", "node", "label", F.lit(True).alias("asks"), of(lines).alias("i"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("j"))
+    y = all_rows.select("key", "node", "label", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), lines - 1)).alias("i"), of(columns).alias("j"))
+
+    def run(table):
         import pandas as pd
 
         sets = [shingle_set(t, k) for t in table["text"]]
         vocabulary = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
         at = [np.searchsorted(vocabulary, s) for s in sets]
-        sizes, labels, mine, nodes = np.array([len(s) for s in sets]), table["label"].to_numpy(), table["mine"].to_numpy(), table["node"].to_numpy()
-        both = np.zeros((len(sets), len(sets)), np.float32)
+        sizes, labels, asks, nodes = np.array([len(s) for s in sets]), table["label"].to_numpy(), table["asks"].to_numpy(bool), table["node"].to_numpy()
+        both = np.zeros((int(asks.sum()), int((~asks).sum())), np.float32)
         for begin in range(0, len(vocabulary), 1 << 15):
             part = np.zeros((len(sets), min(1 << 15, len(vocabulary) - begin)), np.float32)
             for row, x in enumerate(at):
                 lo, hi = np.searchsorted(x, [begin, begin + part.shape[1]])
                 part[row, x[lo:hi] - begin] = 1
-            both += part @ part.T
+            both += part[asks] @ part[~asks].T
         both = both.astype(np.int64)
-        near = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (labels[:, None] != labels[None, :]) & (nodes[:, None] < nodes[None, :])
-        if key[1] != key[2]:
-            near &= mine[:, None] != mine[None, :]
+        near = (100 * both >= percent * (sizes[asks][:, None] + sizes[~asks][None, :] - both)) & (labels[asks][:, None] != labels[~asks][None, :])
         u, v = np.nonzero(near)
-        return pd.DataFrame({"u": nodes[u], "v": nodes[v]})
+        u, v = nodes[asks][u], nodes[~asks][v]
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
-    return rows.join(texts, "node").groupBy("key", "i", "j").applyInPandas(run, "u long, v long")
+    return x.union(y).join(texts, "node").groupBy("key", "i", "j").applyInPandas(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -235,12 +236,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     labelled = members.join(labels, "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("label"))
     labelled = common.materialise(labelled, "labelled")
-    open_keys = common.materialise(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"), "open")
-    rest = common.materialise(labelled.join(open_keys, "key"), "rest")
-    small, large = rest.filter(F.col("n") <= BLOCK), rest.filter(F.col("n") > BLOCK)
-    x, y = small.select("key", F.col("node").alias("u"), F.col("label").alias("lu")), small.select("key", F.col("node").alias("v"), F.col("label").alias("lv"))
-    pairs = x.join(y, "key").filter("u < v and lu <> lv").select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
-    more = common.materialise(compare(pairs, texts, k, percent).union(compare_blocks(large, texts, k, percent)), "more")
+    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("top")).filter("labels > 1")
+    rest = labelled.join(common.materialise(main.select("key", F.col("top.label").alias("main"), F.col("top.c").alias("main_n")), "main"), "key")
+    rest = common.materialise(rest.withColumn("few_n", F.col("n") - F.col("main_n")), "rest")
+    few = rest.filter("label <> main")
+    x = few.filter(F.col("n") <= BLOCK).select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
+    y = rest.filter(F.col("n") <= BLOCK).select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
+    pairs = x.join(y, "key").filter("lx <> ly").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
+    large = [side.filter(F.col("n") > BLOCK) for side in (few, rest)]
+    more = common.materialise(compare(pairs, texts, k, percent).union(compare_blocks(*large, texts, k, percent)), "more")
     if not more.isEmpty():
         labels = common.materialise(components(more.union(labels.select(F.col("label").alias("u"), F.col("node").alias("v")).filter("u < v"))), "labels")
 
