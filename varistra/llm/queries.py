@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varistra.llm import common, line_dedup, minhash, mixing, order_minhash, token_output, warc
+from varistra.llm import common, decontaminate, line_dedup, minhash, mixing, order_minhash, token_output, warc
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +47,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and the benchmark items that it leaks."""
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contaminated(docs, common.read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op10_decontaminate": op10_decontaminate,
     "op2_mixing": op2_mixing,
     "op4_warc": op4_warc,
     "op5_minhash": op5_minhash,
