@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varistra.llm import common, decontaminate, line_dedup, minhash, mixing, order_minhash, token_output, warc
+from varistra.llm import common, decontaminate, html_text, line_dedup, minhash, mixing, order_minhash, token_output, toxicity, warc
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,20 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score by its nearest labelled examples."""
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, common.read_table(spark, sf_dir, "labels"))
+    score = F.col("toxicity.score")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("toxicity.evidence").alias("evidence"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    found = html_text.extract(common.read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and the benchmark items that it leaks."""
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -62,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
     "op6_order_minhash": op6_order_minhash,
     "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_html_text": op9_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
