@@ -1,4 +1,38 @@
-"""Queries of the engine's operators over the given tables, with the SQL that gives the same rows."""
+"""Queries of the engine's operators over the given tables, with the DuckDB SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+A query's name begins with the operator it stands for; others that it uses are named in its docstring.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of Tables under a name."""
+
+    def register(fn: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return register
+
+
+from varistra.plans import relational_queries, statistical_queries, table_queries  # noqa: E402,F401
