@@ -146,10 +146,10 @@ def item_shards(items: DataFrame):
         yield [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs with item_ids array<long>: the items that each row's text leaks, ascending (empty: none). docs' columns stay."""
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, column: str = "item_ids") -> DataFrame:
+    """docs with a column array<long>: the items that each row's text leaks, ascending (empty: none). docs' other columns stay."""
     spark = docs.sparkSession
-    out = docs.withColumn("item_ids", F.array().cast("array<bigint>"))
+    out = docs.withColumn(column, F.array().cast("array<bigint>"))
     for shard in item_shards(items):
         sent = spark.sparkContext.broadcast(Index(shard, threshold))  # about SHARD_BYTES of items
 
@@ -158,5 +158,5 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> D
             index = sent.value
             return texts.map(lambda t: sorted({index.items[at][0] for at, _ in index.search(t)}))
 
-        out = out.withColumn("item_ids", F.array_sort(F.array_union("item_ids", leaks(F.col("text").cast("string")))))
+        out = out.withColumn(column, F.array_sort(F.array_union(column, leaks(F.col("text").cast("string")))))
     return out

@@ -240,8 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     return Model(features, sorted(tuple(r) for r in rows.collect()))
 
 
-def score(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
-    """docs with toxicity struct(score double, evidence array<long>, cosines array<double>). docs' other columns stay."""
+def score(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, column: str = "toxicity") -> DataFrame:
+    """docs with a column struct(score double, evidence array<long>, cosines array<double>). docs' other columns stay."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_label))  # at most PER_LABEL vectors a label and FEATURES features
 
     @F.pandas_udf("struct<score: double, evidence: array<bigint>, cosines: array<double>>")
@@ -251,4 +251,4 @@ def score(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Dat
         found = [sent.value.score(t) for t in texts]
         return pd.DataFrame({"score": [x[0] for x in found], "evidence": [x[1] for x in found], "cosines": [x[2] for x in found]})
 
-    return docs.withColumn("toxicity", judge(F.col("text").cast("string")))
+    return docs.withColumn(column, judge(F.col("text").cast("string")))
