@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varistra.llm import common, decontaminate, html_text, line_dedup, minhash, mixing, order_minhash, token_output, toxicity, warc
+from varistra.llm import common, decontaminate, html_text, line_dedup, minhash, mixing, order_minhash, quality, token_output, toxicity, warc
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"), "source")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under the model of trusted text, and whether it is kept."""
+    return quality.classify(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, read back from deduplicated archives."""
     records = warc.deduplicate(common.read_table(spark, sf_dir, "pages"), common.scratch(spark, "op4"), min_bytes=0)
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op10_decontaminate": op10_decontaminate,
     "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
     "op4_warc": op4_warc,
     "op5_minhash": op5_minhash,
     "op6_order_minhash": op6_order_minhash,
