@@ -74,7 +74,7 @@ def swap_classes() -> list[str]:
 
 def clamp01(c: Column, missing: float = 0.5) -> Column:
     """within 0 and 1, null as ``missing``."""
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)), F.lit(missing))
+    return F.when(c.isNull(), missing).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)))
 
 
 def slug(c: Column, most: int = 60) -> Column:

@@ -25,7 +25,8 @@ def rewrite_prefixes(df: DataFrame, new: dict[str, str], clash: str) -> DataFram
     """New prefixes for old ones, longest old first; a column that has a new name already gets ``clash`` before it."""
     renames = {c: new[f[0]] + f[1] for c in df.columns if (f := family(c, tuple(new)))}
     targets = set(renames.values())
-    return df.withColumnsRenamed(renames | {c: clash + c for c in df.columns if c in targets and c not in renames})
+    renames |= {c: clash + c for c in df.columns if c in targets and c not in renames}
+    return df.select(*[F.col(c).alias(renames.get(c, c)) for c in df.columns])
 
 
 def align(df: DataFrame, schema: dict[str, str], fills: dict[str, object] | None = None) -> DataFrame:

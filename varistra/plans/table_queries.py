@@ -222,7 +222,7 @@ def enums(t: Tables) -> DataFrame:
 WITH s AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS x, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_discount END AS af FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN x < 0.35 THEN 'highly constrained' WHEN x < 0.6 THEN 'constrained' WHEN x < 1.0 THEN 'moderate' ELSE 'tolerant' END AS loeuf,
 CASE WHEN af > 0 AND af < 1e-4 THEN 'ultra-rare' WHEN af > 0.05 THEN 'common' WHEN af > 0.01 THEN 'low-frequency' END AS freq,
-coalesce(least(1.0, greatest(0.0, af * 10)), 0.5) AS clamped, CASE WHEN af IS NULL THEN 'missing' WHEN af * 10 < 0.25 THEN 'q1' WHEN af * 10 < 0.5 THEN 'q2' WHEN af * 10 < 0.75 THEN 'q3' ELSE 'q4' END AS quart,
+CASE WHEN af IS NULL THEN 0.5 ELSE least(1.0, greatest(0.0, af * 10)) END AS clamped, CASE WHEN af IS NULL THEN 'missing' WHEN af * 10 < 0.25 THEN 'q1' WHEN af * 10 < 0.5 THEN 'q2' WHEN af * 10 < 0.75 THEN 'q3' ELSE 'q4' END AS quart,
 CASE WHEN x > 0.9 THEN 'very high' WHEN x > 0.75 THEN 'high' WHEN x < 0.1 THEN 'very low' WHEN x < 0.25 THEN 'low' ELSE 'uncertain' END AS tier FROM s""")
 def bands(t: Tables) -> DataFrame:
     """F2, F3, F11, F17, F25, F10."""
