@@ -31,9 +31,25 @@ def attribute(long: DataFrame, key: str, group: Column, k: int, floor: float = 0
 
 
 def average_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """Ranks from 1, ties share their mean rank."""
+    """Ranks from 1, ties share their mean rank. Ranks over the whole table (no ``by``) need a numeric value."""
+    if not by:
+        return overall_rank(df, value, name)
     w = Window.partitionBy(*by)
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(w.partitionBy(*by, value) if by else Window.partitionBy(value)) - 1) / 2)
+    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2)
+
+
+def overall_rank(df: DataFrame, value: str, name: str, parts: int = 64) -> DataFrame:
+    """Average-tie ranks over a whole table without one task that sorts it: distinct values are counted, cut in ranges at
+    approximate quantiles, summed up within each range, and joined back. Only the cuts and the ranges' sums are small."""
+    counts = df.groupBy(F.col(value).cast("double").alias("or_value")).agg(F.count(F.lit(1)).alias("or_n")).filter("or_value is not null")
+    cuts = sorted(set(counts.approxQuantile("or_value", [i / parts for i in range(1, parts)], 0.005)))
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("or_value"))) if cuts else F.lit(0)
+    ranged = counts.withColumn("or_range", place)
+    sums = ranged.groupBy("or_range").agg(F.sum("or_n").alias("or_sum"))
+    before = sums.select("or_range", (F.sum("or_sum").over(Window.orderBy("or_range")) - F.col("or_sum")).alias("or_before"))  # at most ``parts`` rows
+    within = F.sum("or_n").over(Window.partitionBy("or_range").orderBy("or_value")) - F.col("or_n")
+    ranks = ranged.withColumn("or_within", within).join(F.broadcast(before), "or_range").select("or_value", (F.col("or_before") + F.col("or_within") + (F.col("or_n") + 1) / 2).alias(name))
+    return df.join(ranks, F.col(value).cast("double") == F.col("or_value"), "left").drop("or_value")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, key: str, by: list[str] | None = None, name: str = "fdr") -> DataFrame:
