@@ -101,19 +101,19 @@ def likeness(a: Column, b: Column, tuples: int = TUPLES) -> Column:
 
 
 def next_links(docs: DataFrame) -> DataFrame:
-    """(id, tie, need, prev_id, prev_tie): for each distinct document the one before it, in descending order, and half of that one's length.
+    """(id, tie, doc_id, n_chars, need, prev_id, prev_tie): for each distinct document the one before it, in descending order, and half of that one's length.
 
     Rows are dealt by range and numbered within each range; the ranges' sizes, one row to a range, give the offsets."""
-    ids = docs.select("id", "tie", "n_chars").distinct()
+    ids = docs.select("id", "tie", "doc_id", F.length("text").cast("long").alias("n_chars")).distinct()
     ranged = ids.repartitionByRange(F.desc("id"), F.asc("tie")).withColumn("range", F.spark_partition_id())
     ranged = common.materialise(ranged, "ranges")
     sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     offsets = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
     local = F.row_number().over(Window.partitionBy("range").orderBy(F.desc("id"), F.asc("tie")))
     ranked = ranged.withColumn("local", local).join(F.broadcast(offsets), "range").withColumn("rank", F.col("before") + F.col("local") - 1)  # a row for each range
-    ranked = common.materialise(ranked.select("id", "tie", "n_chars", "rank", "total"), "ranks")
+    ranked = common.materialise(ranked.select("id", "tie", "doc_id", "n_chars", "rank", "total"), "ranks")
     before = ranked.select(F.col("id").alias("prev_id"), F.col("tie").alias("prev_tie"), F.expr("n_chars div 2").alias("need"), F.expr("(rank + 1) % total").alias("rank"))
-    return ranked.select("id", "tie", "rank").join(before, "rank").drop("rank")
+    return ranked.select("id", "tie", "doc_id", "n_chars", "rank").join(before, "rank").drop("rank")
 
 
 def compare_edited(documents: DataFrame) -> DataFrame:
@@ -122,12 +122,15 @@ def compare_edited(documents: DataFrame) -> DataFrame:
     The edited text: the last half of the code points replaced by as many of the next document's first."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     low = F.lit(-(1 << 63)).cast("long")
-    docs = docs.select("doc_id", F.coalesce("doc_id", low).alias("id"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("tie"), F.length("text").cast("long").alias("n_chars"), "text")
-    rows = docs.join(next_links(docs), ["id", "tie"])
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "tie").orderBy("need")))
+    docs = docs.select("doc_id", F.coalesce("doc_id", low).alias("id"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("tie"), "text")
+    links = common.materialise(next_links(docs), "next")
+    texts = docs.select("id", "tie", "text")  # the same columns on both sides: texts are shuffled once, and that exchange is read twice
+    copy = F.row_number().over(Window.partitionBy("id", "tie").orderBy("need")).alias("copy")
+    rows = texts.join(links.drop("doc_id", "n_chars").hint("merge"), ["id", "tie"]).select("*", copy)
     heads = rows.filter("copy = 1").select(F.col("prev_id").alias("id"), F.col("prev_tie").alias("tie"), F.expr("substring(text, 1, cast(need as int))").alias("head"))
+    rows = texts.join(links.drop("need").hint("merge"), ["id", "tie"]).withColumn("copy", F.row_number().over(Window.partitionBy("id", "tie").orderBy("n_chars")))
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), "head")
-    both = rows.join(heads, ["id", "tie"]).withColumn("edited", edited)
+    both = rows.join(heads.hint("merge"), ["id", "tie"]).withColumn("edited", edited)
     keys = ["id", "tie", "copy", "prev_id", "prev_tie", "doc_id", "n_chars", "edited_sha256"]
     both = both.withColumn("edited_sha256", F.sha2("edited", 256)).select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("v"))
     marks = fingerprints(both.select(*keys, "v.which", F.col("v.t").alias("text")), [*keys, "which"])
