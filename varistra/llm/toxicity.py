@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, weighted votes.
 
 Features are words (letters only, lower case) and their beginnings of 5 to 7 letters, so that inflected forms meet.
-The ``FEATURES`` that tell the labels apart best are kept (chi-square over the labelled rows, at least ``MIN_DF`` of
-them), which bounds the index. Labelled texts become TF-IDF vectors with one constant place, so texts without any
+The ``FEATURES`` that tell the labels apart best are kept (chi-square over the labelled rows, at least ``MIN_CHI`` and
+``MIN_PHI`` a row, in at least ``MIN_DF`` of them), which bounds the index and leaves out words that only go with the
+length of a text. Labelled texts become TF-IDF vectors with one constant place, so texts without any
 feature are nearest to labelled texts without any. Equal vectors are one example with its counts of labels.
 
 A query's cosines are exact: examples stand in blocks with each feature's largest weight; blocks are read in order of
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 PER_LABEL = 4000
 FEATURES = 384
 MIN_DF = 3
-MIN_CHI = 20.0
+MIN_CHI, MIN_PHI = 20.0, 0.01
 K = 15
 BLOCK = 64
 POWER = 4
@@ -90,7 +91,7 @@ def select_features(sample: DataFrame, most: int = FEATURES, min_df: int = MIN_D
     a, b, n0, n1 = F.col("a"), F.col("b"), F.lit(total.a), F.lit(total.b)
     margins = (a + b) * (n0 + n1 - a - b) * n0 * n1
     chi = F.when(margins > 0, (n0 + n1) * F.pow(a * (n1 - b) - b * (n0 - a), 2) / margins).otherwise(0.0)
-    best = counted.filter("f <> ''").filter(a + b >= min_df).withColumn("chi", chi).filter(F.col("chi") >= MIN_CHI)
+    best = counted.filter("f <> ''").filter(a + b >= min_df).withColumn("chi", chi).filter(F.col("chi") >= max(MIN_CHI, MIN_PHI * (total.a + total.b)))
     return [(r.f, int(r.a + r.b)) for r in best.orderBy(F.desc("chi"), "f").limit(most).collect()]
 
 
