@@ -6,9 +6,10 @@ ranks that rise from step to step, and each place keeps the smallest rank. Once
 later step can change it, so most documents stop after two or three steps. Signatures are cut into ``BANDS`` bands.
 
 Equal sets are one class, represented by its smallest doc_id, so copies never meet as pairs. Classes that agree in a
-band are candidates. A bucket's members are first compared with one of them, drawn anew for each band. Only where a
-bucket still spans several components are the members outside its largest one compared with all others: pair by pair
-in small buckets, in blocks of ``BLOCK`` texts by ``BLOCK`` in large ones. Every pair of a bucket is thus either compared on its full sets or already
+band are candidates. A bucket's members are first compared with one of them. Where a bucket then still spans several
+components, the members outside its largest one are compared with one inside, drawn anew, in ``STARS`` rounds, and
+what is left with all others of the bucket: pair by pair in small buckets, in blocks of ``BLOCK_TEXTS`` texts by
+``BLOCK_TEXTS`` in large ones. Every pair of a bucket is thus either compared on its full sets or already
 connected, and nothing is capped. With ``BANDS`` bands of ``ROWS`` places a pair at the threshold shares no bucket
 with a probability of 3 in a million.
 
@@ -28,7 +29,8 @@ from varistra.llm import common
 from varistra.llm.components import components
 
 BANDS, ROWS = 32, 5
-BLOCK = 64
+BLOCK, BLOCK_TEXTS = 64, 256
+STARS = 1
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 500_000
 #: Words of the documents that are signed at a time.
@@ -189,8 +191,8 @@ def compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 def compare_blocks(few: DataFrame, all_rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between few(key, n, few_n, node, label) and all members all_rows of the same buckets with other labels.
 
-    Both sides are cut in blocks of about BLOCK texts; each pair of blocks of a bucket meets in one task."""
-    columns, lines = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("few_n") / BLOCK).cast("int")
+    Both sides are cut in blocks of about BLOCK_TEXTS texts; each pair of blocks of a bucket meets in one task."""
+    columns, lines = F.ceil(F.col("n") / BLOCK_TEXTS).cast("int"), F.ceil(F.col("few_n") / BLOCK_TEXTS).cast("int")
     of = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     x = few.select("key", "node", "label", F.lit(True).alias("asks"), of(lines).alias("i"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("j"))
     y = all_rows.select("key", "node", "label", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), lines - 1)).alias("i"), of(columns).alias("j"))
@@ -218,41 +220,67 @@ def compare_blocks(few: DataFrame, all_rows: DataFrame, texts: DataFrame, k: int
     return x.union(y).join(texts, "node").groupBy("key", "i", "j").applyInPandas(run, "u long, v long")
 
 
+def grown(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links."""
+    more = common.materialise(links, "links")
+    if more.isEmpty():
+        return labels
+    return common.materialise(components(more.union(labels.select(F.col("label").alias("u"), F.col("node").alias("v")).filter("u < v"))), "labels")
+
+
+def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, n, node, label, main, few_n): the members of buckets that span several components; main is the largest one's label."""
+    labelled = common.materialise(members.join(labels, "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("top")).filter("labels > 1")
+    main = common.materialise(main.select("key", F.col("top.label").alias("main"), F.col("top.c").alias("main_n")), "main")
+    return common.materialise(labelled.join(main, "key").withColumn("few_n", F.col("n") - F.col("main_n")).drop("main_n"), "rest")
+
+
+def star(members: DataFrame, seed: int) -> DataFrame:
+    """(u, v): each bucket's member that draws the smallest hash with each of those that ask."""
+    center = F.min(F.when(F.col("serves"), F.struct(F.xxhash64(F.lit(seed), "node").alias("draw"), "node")))["node"].alias("center")
+    centers = common.materialise(members.groupBy("key").agg(center), "centers")
+    both = members.filter("asks").join(centers, "key").filter("node <> center")
+    return both.select(F.least("node", "center").alias("u"), F.greatest("node", "center").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of each row of docs(doc_id, text)."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = common.materialise(sketch(docs, k), "sketches")
     classes = sketches.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     keys = classes.select("node", F.explode("bands").alias("key")).distinct()
-    center = F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node"))["node"].alias("center")
-    full = common.materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), center).filter("n > 1"), "buckets")
+    full = common.materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     members = common.materialise(keys.join(full, "key"), "members")
     texts = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text"))
+    texts = common.materialise(texts.join(members.select("node").distinct(), "node", "left_semi"), "texts")
 
-    star = members.filter("node <> center").select(F.least("node", "center").alias("u"), F.greatest("node", "center").alias("v")).distinct()
-    star = common.materialise(star, "star")
-    links = common.materialise(compare(star, texts, k, percent), "links")
-    labels = common.materialise(components(links), "labels")
-
-    labelled = members.join(labels, "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("label"))
-    labelled = common.materialise(labelled, "labelled")
-    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("top")).filter("labels > 1")
-    rest = labelled.join(common.materialise(main.select("key", F.col("top.label").alias("main"), F.col("top.c").alias("main_n")), "main"), "key")
-    rest = common.materialise(rest.withColumn("few_n", F.col("n") - F.col("main_n")), "rest")
-    few = rest.filter("label <> main")
-    x = few.filter(F.col("n") <= BLOCK).select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    y = rest.filter(F.col("n") <= BLOCK).select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
-    pairs = x.join(y, "key").filter("lx <> ly").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-    large = [side.filter(F.col("n") > BLOCK) for side in (few, rest)]
-    more = common.materialise(compare(pairs, texts, k, percent).union(compare_blocks(*large, texts, k, percent)), "more")
-    if not more.isEmpty():
-        labels = common.materialise(components(more.union(labels.select(F.col("label").alias("u"), F.col("node").alias("v")).filter("u < v"))), "labels")
+    done = common.materialise(star(members.select("key", "node", F.lit(True).alias("asks"), F.lit(True).alias("serves")), 0), "star")
+    labels = common.materialise(components(compare(done, texts, k, percent)), "labels")
+    for seed in range(1, STARS + 1):
+        rest = open_buckets(members, labels)
+        if rest.isEmpty():
+            break
+        members = rest.select("key", "n", "node")
+        texts = common.materialise(texts.join(rest.select("node").distinct(), "node", "left_semi"), "texts")
+        asked = star(rest.select("key", "node", (F.col("label") != F.col("main")).alias("asks"), (F.col("label") == F.col("main")).alias("serves")), seed)
+        asked = common.materialise(asked.join(done, ["u", "v"], "left_anti"), "star")
+        labels = grown(labels, compare(asked, texts, k, percent))
+        done = done.union(asked)
+    rest = open_buckets(members, labels)
+    if not rest.isEmpty():
+        few = rest.filter("label <> main")
+        x = few.filter(F.col("n") <= BLOCK).select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
+        y = rest.filter(F.col("n") <= BLOCK).select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
+        pairs = x.join(y, "key").filter("lx <> ly").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(done, ["u", "v"], "left_anti")
+        large = [side.filter(F.col("n") > BLOCK) for side in (few, rest)]
+        labels = grown(labels, compare(pairs, texts, k, percent).union(compare_blocks(*large, texts, k, percent)))
 
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(common.SALTS)).cast("int")
     rows = sketches.filter("n > 0").select("doc_id", "n", "a", "b", salt.alias("salt"))
     tops = rows.groupBy("a", "b", "salt").agg(F.min("doc_id").alias("node")).groupBy("a", "b").agg(F.min("node").alias("node"), F.collect_list("salt").alias("salts"))
     tops = tops.join(labels, "node", "left").select("a", "b", F.coalesce("label", "node").alias("component_id"), F.explode("salts").alias("salt"))
-    found = rows.join(tops, ["a", "b", "salt"]).select("doc_id", "n", "component_id").union(sketches.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    found = rows.join(tops.hint("merge"), ["a", "b", "salt"]).select("doc_id", "n", "component_id").union(sketches.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     return found.select(real("doc_id"), F.col("n").alias("n_shingles"), real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
