@@ -17,6 +17,7 @@ whatever their names. An empty table gives no shard and an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -31,10 +32,14 @@ from varistra.llm import common
 MAGIC = b"VTK1"
 HEAD = struct.Struct("<4sIQQ")
 BLOCK_IDS = 1 << 20
-#: Distinct words of which a worker keeps the ids; beyond that it starts anew.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps, twice over: when that many are new, those of the time before last are let go.
+CACHE_WORDS = 800_000
 #: White space, a space, white space: a cut before that space could change what the tokenizer's pattern matches.
-INNER_SPACE = re.compile("[\\s᠎​﻿] [\\s᠎​﻿]")
+INNER_SPACE = re.compile("[\\s\u180e\u200b\ufeff] [\\s\u180e\u200b\ufeff]")
+#: Fixed value: the pattern by which byte-level vocabularies of this kind cut texts into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters up to here are letters in every version of Unicode in use; other words are cut by the library alone.
+KNOWN = "\u0530"
 
 # ---------------------------------------------------------------- tokenizing
 
@@ -43,38 +48,103 @@ class CachedEncoder:
     """Ids of whole texts, by the tokenizers library, with the ids of words that were seen before.
 
     The byte-level pattern always starts a new piece at a space that follows or precedes other than white space,
-    and pieces are merged each on its own. So a text is cut before such spaces, each part is encoded once by the
-    library, and the parts' ids are joined. A text with white space on both sides of a space goes to the library whole.
+    and pieces are merged each on its own. So a text is cut before such spaces, each word's pieces are encoded once
+    by the library, many at a time with line feeds between them, and the words' ids are joined. A text with white
+    space on both sides of a space goes to the library whole, as does every text under any other kind of tokenizer.
     """
 
     def __init__(self, tokenizer_path: str, cache_words: int = CACHE_WORDS):
+        import json
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads only wait for it
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        spec = json.loads(self.tokenizer.to_str())
+        cut = spec["pre_tokenizer"] or {}
+        self.by_word = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not spec["normalizer"]
+        self.pieces = regex.compile(PIECES)
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.cache_words = cache_words
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        #: By what stands before a word (a space or nothing): its ids; the same of the time before; pieces other than words.
+        self.known: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        self.older: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        self.marks: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of letters: one text of them all, cut again at the line feeds."""
+        if not pieces:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+        at = np.flatnonzero(ids == self.feed[0]) if len(self.feed) == 1 else []
+        if len(at) != len(pieces) - 1:
+            return self._whole(pieces)
+        raw, width = ids.tobytes(), self.dtype.itemsize
+        begins, ends = [0, *((at + 1) * width).tolist()], [*(at * width).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(begins, ends)]
+
+    def _learn(self, words: set[str], before: str) -> None:
+        """Ids of new words: letters; letters and one other character, which is a piece of its own; anything else."""
+        known, older = self.known[before], self.older[before]
+        plain, tails, alone, split = [], [], [], []
+        for w in words:
+            if w in older:
+                known[w] = older[w]
+            elif not (w.isascii() or max(w) < KNOWN) or not w:
+                alone.append(w)
+            elif w.isalpha():
+                plain.append(w)
+            elif w[:-1].isalpha():
+                tails.append(w)
+            else:
+                split.append((w, self.pieces.findall(before + w)))
+        stems = {w[:-1] for w in tails}
+        if before:
+            stems.update(p[1:] for _, ps in split for p in ps if p[0] == before and p[1:].isalpha())
+        plain += stems.difference(known, plain)
+        known.update(zip(plain, self._letters([before + w for w in plain])))
+        known.update(zip(alone, self._whole([before + w for w in alone])))
+        marks = {w[-1] for w in tails}
+        marks.update(p for _, ps in split for p in ps if not (before and p[0] == before and p[1:] in known))
+        if len(self.marks) > self.cache_words:
+            self.marks = {}
+        marks = marks.difference(self.marks)
+        letters = [p for p in marks if p.isalpha()]
+        others = list(marks.difference(letters))
+        self.marks.update(zip(letters, self._letters(letters)))
+        self.marks.update(zip(others, self._whole(others)))
+        ids = self.marks
+        for w in tails:
+            known[w] = known[w[:-1]] + ids[w[-1]]
+        for w, ps in split:
+            known[w] = b"".join([ids[p] if p in ids else known[p[1:]] for p in ps])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > self.cache_words:
-            self.first, self.later = {}, {}
-        parts = [None if INNER_SPACE.search(t) else t.split(" ") for t in texts]
-        new_first = list({p[0] for p in parts if p} - self.first.keys())
-        new_later: set[str] = set()
+        if not self.by_word:
+            return self._whole(texts)
+        for before in self.known:
+            if len(self.known[before]) > self.cache_words:
+                self.known[before], self.older[before] = {}, self.known[before]
+        parts = [t.split(" ") for t in texts]
+        starts = [p.pop(0) for p in parts]
+        first, later = self.known[""], self.known[" "]
+        new = set(starts).difference(first)
+        if new:
+            self._learn(new, "")
+        seen: set[str] = set()
         for p in parts:
-            if p:
-                new_later.update(p[1:])
-        missing = list(new_later - self.later.keys())
-        self.first.update(zip(new_first, self._encode(new_first)))
-        self.later.update(zip(missing, self._encode([" " + x for x in missing])))
-        first, later = self.first, self.later.__getitem__
-        return [first[p[0]] + b"".join(map(later, p[1:])) if p else self._encode([t])[0] for t, p in zip(texts, parts)]
+            seen.update(p)
+        new = seen.difference(later)
+        if new:
+            self._learn(new, " ")
+        ids = later.__getitem__
+        return [self._whole([t])[0] if INNER_SPACE.search(t) else first[w] + b"".join(map(ids, p)) for t, w, p in zip(texts, starts, parts)]
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
@@ -97,8 +167,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame
         end = np.array([end_id], enc.dtype).tobytes()
         width = enc.dtype.itemsize
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 ids = [x + end for x in enc(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
@@ -168,11 +238,10 @@ def id_counts(tokens: DataFrame, width: int) -> list[tuple[int, int]]:
 
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                n = np.bincount(np.frombuffer(x.as_buffer(), f"<u{width}"))
-                if len(n) > len(total):
-                    total = np.pad(total, (0, len(n) - len(total)))
-                total[: len(n)] += n
+            n = np.bincount(np.frombuffer(b"".join(x.as_buffer() for x in batch.column(0)), f"<u{width}"))
+            if len(n) > len(total):
+                total = np.pad(total, (0, len(n) - len(total)))
+            total[: len(n)] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
@@ -250,7 +319,7 @@ def read_tokens(spark: SparkSession, out: str, digest: bool = False) -> DataFram
         for batch in batches:
             for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 where, path = common.store(f"{out}/{file}")
-                with where.open_input_stream(path) as f:
+                with where.open_input_stream(path, compression=None) as f:
                     for doc_ids, nulls, lengths, ids in read_blocks(f, id_of_rank):
                         ends = np.cumsum(lengths)
                         begins = ends - lengths
