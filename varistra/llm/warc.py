@@ -156,7 +156,7 @@ def resolve(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     parts = large.groupBy("payload_digest", "payload_bytes", "salt").agg(best.alias("best"))
     tops = parts.groupBy("payload_digest", "payload_bytes").agg(F.max("best").alias("best"), F.collect_list("salt").alias("salts"))  # at most SALTS rows to a digest
     tops = tops.select("payload_digest", "payload_bytes", "best", F.explode("salts").alias("salt"))
-    both = keyed.join(tops, ["payload_digest", "payload_bytes", "salt"], "left")
+    both = keyed.join(tops.hint("merge"), ["payload_digest", "payload_bytes", "salt"], "left")
     first = F.col("best").isNull() | ((F.col("best.archive") == F.col("archive")) & (F.col("best.record") == F.col("record")))
     return both.select("archive", "record", F.when(first, "response").otherwise("revisit").alias("record_type"), F.when(~first, F.col("best.page_id")).alias("refers_to"), F.when(~first, F.col("best.url")).alias("refers_url"))
 
@@ -196,7 +196,8 @@ def rewrite(spark: SparkSession, decisions: DataFrame, source: str, out: str) ->
             common.put_file(name, write)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n[0]], pa.int64())], ["archive", "records"])
 
-    dealt = decisions.repartition("archive").sortWithinPartitions("archive", "record").select("archive", "record", "record_type", "refers_to", "refers_url")
+    n = max(1, min(spark.read.parquet(f"{source}/list").count(), 4 * spark.sparkContext.defaultParallelism))  # a decision is small, its payload isn't: no merging of these partitions
+    dealt = decisions.repartition(n, "archive").sortWithinPartitions("archive", "record").select("archive", "record", "record_type", "refers_to", "refers_url")
     _write_list(dealt.mapInArrow(run, "archive string, records long"), out)
     return out
 
