@@ -1,16 +1,17 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, weighted votes.
+"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF vectors over all terms, weighted votes.
 
 Features are words (letters only, lower case) and their beginnings of 5 to 7 letters, so that inflected forms meet.
-The ``FEATURES`` that tell the labels apart best are kept (chi-square over the labelled rows, at least ``MIN_CHI`` and
-``MIN_PHI`` a row, in at least ``MIN_DF`` of them), which bounds the index and leaves out words that only go with the
-length of a text. Labelled texts become TF-IDF vectors with one constant place, so texts without any
-feature are nearest to labelled texts without any. Equal vectors are one example with its counts of labels.
-
-A query's cosines are exact: examples stand in blocks with each feature's largest weight; blocks are read in order of
-their bound until the k-th best cosine is above every bound left; ties at the k-th are all taken. Votes count by a
-power of the cosine and by how many labelled rows each kept one stands for. The share of toxic votes is mapped to a
-probability by isotonic regression on the labelled rows, each left out of its own vote. Evidence: the nearest
-examples' doc_ids and cosines.
+Every feature in at least ``MIN_DF`` of the labelled rows is kept; none is left out for being rare or for telling little.
+Each weighs by TF-IDF times 1 + |log ratio of its rates in both labels| * sqrt(chi-square), so a rare word that stands
+in rows of one label only outweighs common words that only go with the length of a text. Labelled texts become vectors
+of unit length with one constant place, so texts without any feature are nearest to labelled texts without any. Equal
+vectors are one example with its counts of labels.
+
+A query's cosines are exact: the rows of each of its features are added up, a feature of at least 1/``COMMON`` of the
+examples as a column of a matrix, any other from its postings; all examples that may be among the k nearest are worked
+out again in double precision; ties at the k-th are all taken. Votes count by a power of the cosine and by how many
+labelled rows each kept one stands for. The share of toxic votes is mapped to a probability by isotonic regression on
+the labelled rows, each left out of its own vote. Evidence: the nearest examples' doc_ids and cosines.
 
 The labelled sample is bounded: at most ``PER_LABEL`` rows of each label, those with the smallest hash of doc_id;
 everything else reads whole texts of all rows. doc_id, lang, source and labels are no inputs of a score.
@@ -22,20 +23,20 @@ any labelled row every score is 0. Repeated rows are scored alike. An empty tabl
 
 from __future__ import annotations
 
-import math
+import hashlib
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PER_LABEL = 4000
-FEATURES = 384
 MIN_DF = 3
-MIN_CHI, MIN_PHI = 20.0, 0.01
 K = 15
-BLOCK = 64
+COMMON = 16
+CHUNK = 128
 POWER = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 STARTS = (5, 6, 7)
@@ -68,8 +69,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LAB
     return F.broadcast(sample).join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")  # at most PER_LABEL rows a label
 
 
-def select_features(sample: DataFrame, most: int = FEATURES, min_df: int = MIN_DF) -> list[tuple[str, int]]:
-    """[(feature, rows that have it)] with the largest chi-square against the label, at most ``most``."""
+def select_features(sample: DataFrame, min_df: int = MIN_DF) -> list[tuple[str, int, float]]:
+    """[(feature, rows that have it, weight by label)] of every feature in at least min_df rows, by name."""
 
     def run(batches):
         import pyarrow as pa
@@ -88,17 +89,18 @@ def select_features(sample: DataFrame, most: int = FEATURES, min_df: int = MIN_D
     total = counted.filter("f = ''").first()
     if total is None or not total.a or not total.b:
         return []
-    a, b, n0, n1 = F.col("a"), F.col("b"), F.lit(total.a), F.lit(total.b)
+    found = counted.filter("f <> ''").filter(F.col("a") + F.col("b") >= min_df).orderBy("f").toPandas()  # at most the words of PER_LABEL rows a label
+    a, b, n0, n1 = found["a"].to_numpy(), found["b"].to_numpy(), total.a, total.b
     margins = (a + b) * (n0 + n1 - a - b) * n0 * n1
-    chi = F.when(margins > 0, (n0 + n1) * F.pow(a * (n1 - b) - b * (n0 - a), 2) / margins).otherwise(0.0)
-    best = counted.filter("f <> ''").filter(a + b >= min_df).withColumn("chi", chi).filter(F.col("chi") >= max(MIN_CHI, MIN_PHI * (total.a + total.b)))
-    return [(r.f, int(r.a + r.b)) for r in best.orderBy(F.desc("chi"), "f").limit(most).collect()]
+    chi = np.where(margins > 0, (n0 + n1) * (a * (n1 - b) - b * (n0 - a)) ** 2 / np.maximum(margins, 1), 0.0)
+    ratio = np.abs(np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1)))
+    return list(zip(found["f"].tolist(), (a + b).astype(int).tolist(), (1 + ratio * np.sqrt(chi)).tolist()))
 
 
 class WordPlaces(dict):
     """The features' places of a word, worked out once."""
 
-    def __init__(self, places: dict[str, int], most: int = 400_000):
+    def __init__(self, places: dict[str, int], most: int = 200_000):
         super().__init__()
         self.places, self.most = places, most
 
@@ -110,67 +112,134 @@ class WordPlaces(dict):
 
 
 class Vectors:
-    """TF-IDF vectors of unit length over the chosen features and a constant place."""
+    """Vectors of unit length over the features and a constant place."""
+
+    def __init__(self, features: list[tuple[str, int, float]], rows: int):
+        self.places = WordPlaces({f: i for i, (f, _, _) in enumerate(features)})
+        df, label = np.array([x[1] for x in features], np.float64), np.array([x[2] for x in features], np.float64)
+        self.idf = np.append((np.log((rows + 1) / (df + 1)) + 1) * label, 0.5)
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, times) of a text's features, places ascending."""
+        tf = Counter(words_of(text))
+        of_word = list(map(self.places.__getitem__, tf))
+        n = np.fromiter(map(len, of_word), np.int64, len(of_word))
+        at = np.fromiter(chain.from_iterable(of_word), np.int32, int(n.sum()))
+        times = np.repeat(np.fromiter(tf.values(), np.int32, len(tf)), n)
+        order = np.argsort(at, kind="stable")
+        at, times = at[order], times[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        return at[first], np.add.reduceat(times, first) if len(first) else times
+
+    def of(self, at: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, weights), places ascending."""
+        at = np.append(at, np.int32(len(self.idf) - 1))
+        weight = np.append(1 + np.log(times), 1.0) * self.idf[at]
+        return at, weight / np.sqrt(weight @ weight)
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        return self.of(*self.counts(text))
+
+
+class Postings:
+    """Sparse rows: by feature for products with queries, by row for exact cosines."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
+        n = np.array([len(at) for at, _ in rows], np.int64)
+        self.shape, self.ends = (len(rows), width), np.concatenate([[0], np.cumsum(n)])
+        self.columns = np.concatenate([at for at, _ in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.values = np.concatenate([w for _, w in rows]).astype(np.float32) if rows else np.zeros(0, np.float32)
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), n)
+        size = np.bincount(self.columns, minlength=width)
+        common = np.flatnonzero(size * COMMON >= max(1, len(rows)))
+        self.place = np.full(width, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        at = self.place[self.columns]
+        self.common = np.zeros((len(common), len(rows)), np.float32)
+        self.common[at[at >= 0], row[at >= 0]] = self.values[at >= 0]
+        rest = np.flatnonzero(at < 0)
+        rest = rest[np.argsort(self.columns[rest], kind="stable")]
+        self.begin = np.searchsorted(self.columns[rest], np.arange(width + 1))
+        self.row, self.value, self.wide = row[rest], self.values[rest], None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"wide": None}
+
+    def times(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Products of each query with each row, in single precision."""
+        if self.wide is None:
+            self.wide = self.row.astype(np.int64), self.value.astype(np.float64)  # as bincount wants them
+        row, value = self.wide
+        of_common = np.zeros((len(queries), len(self.common)), np.float32)
+        out = np.empty((len(queries), self.shape[0]), np.float32)
+        for i, (at, weight) in enumerate(queries):
+            at, weight = np.asarray(at, np.int64), np.asarray(weight, np.float64)
+            place = self.place[at]
+            of_common[i, place[place >= 0]] = weight[place >= 0]
+            at, weight = at[place < 0], weight[place < 0]
+            begin = self.begin[at]
+            n = self.begin[at + 1] - begin
+            found = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out[i] = np.bincount(row[found], value[found] * np.repeat(weight, n), self.shape[0])
+        out += of_common @ self.common
+        return out
 
-    def __init__(self, features: list[tuple[str, int]], rows: int):
-        self.places = WordPlaces({f: i for i, (f, _) in enumerate(features)})
-        self.idf = np.array([math.log((rows + 1) / (df + 1)) + 1 for _, df in features] + [0.5], np.float64)
+    def exact(self, rows: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Products of one query with some rows, in double precision: the same wherever they are worked out."""
+        full = np.zeros(self.shape[1])
+        full[at] = weight
+        spans = zip(self.ends[rows].tolist(), self.ends[rows + 1].tolist())
+        return np.array([float(np.dot(self.values[b:e].astype(np.float64), full[self.columns[b:e]])) for b, e in spans])
 
-    def __call__(self, text: str | None) -> tuple[tuple[int, ...], np.ndarray]:
-        """(places, weights), places ascending."""
-        tf = Counter(p for ps in filter(None, map(self.places.__getitem__, words_of(text))) for p in ps)
-        at = (*sorted(tf), len(self.idf) - 1)
-        weight = np.array([1 + math.log(tf[p]) for p in at[:-1]] + [1.0]) * self.idf[list(at)]
-        return at, weight / math.sqrt(float(weight @ weight))
+    def __matmul__(self, query: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(query)
+        return self.times([(at, query[at])])[0]
 
 
 class Examples:
-    """The labelled vectors as a block-max index."""
+    """The labelled vectors, equal ones as one."""
 
-    def __init__(self, rows: list[tuple[int, int, float, tuple, np.ndarray]], width: int):
+    def __init__(self, rows: list[tuple[int, int, float, np.ndarray, np.ndarray]], width: int):
         groups: dict = {}
         for doc_id, toxic, share, at, weight in rows:
-            g = groups.setdefault((at, weight.tobytes()), [at, weight, 0.0, 0.0, 0, doc_id])
+            at, weight = np.asarray(at, np.int32), np.asarray(weight, np.float64)
+            g = groups.setdefault(self.key(at, weight), [at, weight.astype(np.float32), 0.0, 0.0, 0, doc_id])
             g[2 + toxic] += 1 / share
             g[4] += 1
             g[5] = min(g[5], doc_id)
-        found = sorted(groups.values(), key=lambda g: (g[0], g[1].tobytes()))
-        self.matrix = np.zeros((len(found), width), np.float32)
-        for row, g in enumerate(found):
-            self.matrix[row, list(g[0])] = g[1]
-        self.votes = np.array([[g[2], g[3]] for g in found]).reshape(-1, 2)
-        self.rows, self.ids = np.array([g[4] for g in found]), np.array([g[5] for g in found])
-        self.block_max = np.array([self.matrix[i : i + BLOCK].max(0) for i in range(0, len(found), BLOCK)]).reshape(-1, width)
-        self.known = {(g[0], g[1].tobytes()): row for row, g in enumerate(found)}
-
-    def nearest(self, at: tuple, weight: np.ndarray, k: int, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest labelled rows and all that tie with the last, nearest first."""
-        places, weight = list(at), weight.astype(np.float32)
-        bounds = self.block_max[:, places] @ weight
-        names, cosines, kth = [], [], -1.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] < kth - 1e-6:
-                break
-            block = np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.rows)))
-            names.append(block)
-            cosines.append(self.matrix[block][:, places] @ weight)
-            if sum(map(len, names)) >= BLOCK:
-                c = np.concatenate(cosines)
-                order = np.argsort(-c, kind="stable")
-                held = self.rows[np.concatenate(names)].copy()
-                if leave is not None:
-                    held[np.concatenate(names) == leave] -= 1
-                full = np.flatnonzero(np.cumsum(held[order]) >= k)
-                kth = float(c[order[full[0]]]) if len(full) else -1.0
-        names, cosines = np.concatenate(names), np.concatenate(cosines)
-        keep = cosines >= kth - 1e-6
+        found = sorted(groups.items(), key=lambda g: g[0])
+        self.matrix = Postings([(g[0], g[1]) for _, g in found], width)
+        self.votes = np.array([[g[2], g[3]] for _, g in found]).reshape(-1, 2)
+        self.rows, self.ids = np.array([g[4] for _, g in found]), np.array([g[5] for _, g in found])
+        self.known = {key: row for row, (key, _) in enumerate(found)}
+
+    @staticmethod
+    def key(at: np.ndarray, weight: np.ndarray) -> bytes:
+        return hashlib.blake2b(at.tobytes() + weight.tobytes(), digest_size=16).digest()
+
+    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, leave: int | None = None, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest labelled rows and all that tie with the last, nearest first; near: the query's products."""
+        at, weight = np.asarray(at, np.int64), np.asarray(weight, np.float64)
+        near = self.matrix.times([(at, weight)])[0] if near is None else near
+
+        def kth(names: np.ndarray, cosines: np.ndarray) -> float:
+            order = np.argsort(-cosines, kind="stable")
+            held = self.rows[names] - (names == leave if leave is not None else 0)
+            full = np.flatnonzero(np.cumsum(held[order]) >= k)
+            return float(cosines[order[full[0]]]) if len(full) else -1.0
+
+        most = min(len(near), k + 1)  # each example but the one left out holds a row at least
+        top = np.argpartition(-near, most - 1)[:most]
+        names = np.flatnonzero(near >= kth(top, near[top]) - 1e-5)
+        cosines = self.matrix.exact(names, at, weight)
+        keep = cosines >= kth(names, cosines) - 1e-6
         names, cosines = names[keep], cosines[keep]
         order = np.lexsort((self.ids[names], -np.round(cosines, 6)))
         return names[order], cosines[order]
 
-    def vote(self, at: tuple, weight: np.ndarray, k: int, leave: tuple[int, int, float] | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, at: np.ndarray, weight: np.ndarray, k: int, leave: tuple[int, int, float] | None = None, near: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """(share of toxic votes, examples, cosines); leave: an example, label and weight that don't vote."""
-        names, cosines = self.nearest(at, weight, k, leave[0] if leave else None)
+        names, cosines = self.nearest(at, weight, k, leave[0] if leave else None, near)
         votes = self.votes[names].copy()
         if leave:
             votes[names == leave[0], leave[1]] -= leave[2]
@@ -195,61 +264,80 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 
 class Model:
-    def __init__(self, features: list[tuple[str, int]], rows: list[tuple]):
-        """rows: (doc_id, toxic, share, text)."""
+    def __init__(self, features: list[tuple[str, int, float]], rows: list[tuple]):
+        """rows: (doc_id, toxic, share, places, times), places and times as bytes of 32-bit integers."""
         self.vectors = Vectors(features, len(rows))
-        done = [(d, t, s, *self.vectors(x)) for d, t, s, x in rows]
-        self.examples = Examples(done, len(features) + 1) if done else None
+        vector = lambda row: self.vectors.of(np.frombuffer(row[3], np.int32), np.frombuffer(row[4], np.int32))  # noqa: E731 - again each time, so that memory holds them once
+        self.examples = Examples(((*row[:3], *vector(row)) for row in rows), len(features) + 1) if rows else None
         self.memo: dict = {}
-        if done:
-            own = [self.examples.known[(at, w.tobytes())] for _, _, _, at, w in done]
-            memo: dict = {}
-            for row, (_, t, s, at, w) in zip(own, done):
-                if (row, t) not in memo:
-                    memo[row, t] = self.examples.vote(at, w, K, (row, t, 1 / s))[0]
-            raw = np.array([memo[row, t] for row, (_, t, _, _, _) in zip(own, done)])
-            self.knots = isotonic(raw, np.array([x[1] for x in done], float), np.array([1 / x[2] for x in done]))
-        self.vectors.places.clear()
-
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """(score, evidence doc_ids, their cosines)."""
+        if rows:
+            raw = np.empty(len(rows))
+            votes: dict = {}
+            for begin, chunk in zip(range(0, len(rows), CHUNK), chunks(rows)):
+                vectors = [vector(row) for row in chunk]
+                own = [self.examples.known[self.examples.key(*v)] for v in vectors]
+                new = {(e, row[1]): (v, row) for e, v, row in zip(own, vectors, chunk) if (e, row[1]) not in votes}
+                for (e, toxic), (v, row), near in zip(new, new.values(), self.examples.matrix.times([v for v, _ in new.values()])):
+                    votes[e, toxic] = self.examples.vote(*v, K, (e, toxic, 1 / row[2]), near)[0]
+                raw[begin : begin + len(chunk)] = [votes[e, row[1]] for e, row in zip(own, chunk)]
+            self.knots = isotonic(raw, np.array([x[1] for x in rows], float), np.array([1 / x[2] for x in rows]))
+            self.examples.matrix.wide = None
+            self.examples.known.clear()
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
+        """(score, evidence doc_ids, their cosines) of each text."""
         if self.examples is None:
-            return 0.0, [], []
-        at, weight = self.vectors(text)
-        key = (at, weight.tobytes())
-        if key not in self.memo:
+            return [(0.0, [], [])] * len(texts)
+        out = []
+        for chunk in chunks(texts):
+            keys, new = [], {}
+            for text in chunk:
+                at, times = self.vectors.counts(text)
+                keys.append(self.examples.key(at, times))
+                if keys[-1] not in self.memo:
+                    new.setdefault(keys[-1], (at, times))
             if len(self.memo) > 50_000:
-                self.memo.clear()
-            share, names, cosines = self.examples.vote(at, weight, K)
-            self.memo[key] = (float(np.interp(share, *self.knots)), self.examples.ids[names[:5]].tolist(), [round(float(c), 6) for c in cosines[:5]])
-        return self.memo[key]
+                self.memo = {k: self.memo[k] for k in keys if k in self.memo}
+            asked = [self.vectors.of(*x) for x in new.values()]
+            for key, (at, weight), near in zip(new, asked, self.examples.matrix.times(asked) if asked else []):
+                share, names, cosines = self.examples.vote(at, weight, K, near=near)
+                self.memo[key] = (float(np.interp(share, *self.knots)), self.examples.ids[names[:5]].tolist(), [round(float(c), 6) for c in cosines[:5]])
+            out += [self.memo[k] for k in keys]
+        return out
+
+
+def chunks(rows: list) -> list[list]:
+    return [rows[i : i + CHUNK] for i in range(0, len(rows), CHUNK)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     sample = labelled_sample(docs, labels, per_label)
     features = select_features(sample)
-    vectors = Vectors(features, 1)
+    sent = docs.sparkSession.sparkContext.broadcast(Vectors(features, 1))  # the features of the sample
 
-    def run(batches):  # only words with features come back, so the sample is small whatever its texts are
+    def run(batches):  # the driver gets places and counts, not texts
         import pyarrow as pa
 
         for batch in batches:
-            kept = [" ".join(w for w in words_of(t) if vectors.places[w]) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(kept, pa.string())], ["doc_id", "toxic", "share", "text"])
+            found = [sent.value.counts(t) for t in batch.column(3).to_pylist()]
+            columns = [pa.array([x[i].astype(np.int32).tobytes() for x in found], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], ["doc_id", "toxic", "share", "places", "times"])
 
-    rows = sample.select("doc_id", "toxic", "share", "text").mapInArrow(run, "doc_id long, toxic int, share double, text string")
-    return Model(features, sorted(tuple(r) for r in rows.collect()))
+    rows = sample.select("doc_id", "toxic", "share", "text").mapInArrow(run, "doc_id long, toxic int, share double, places binary, times binary")
+    found = sorted((r[0], r[1], r[2], bytes(r[3]), bytes(r[4])) for r in rows.collect())
+    sent.destroy()
+    return Model(features, found)
 
 
 def score(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, column: str = "toxicity") -> DataFrame:
     """docs with a column struct(score double, evidence array<long>, cosines array<double>). docs' other columns stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_label))  # at most PER_LABEL vectors a label and FEATURES features
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_label))  # at most PER_LABEL vectors a label, and their features
 
     @F.pandas_udf("struct<score: double, evidence: array<bigint>, cosines: array<double>>")
     def judge(texts):
         import pandas as pd
 
-        found = [sent.value.score(t) for t in texts]
+        found = sent.value.scores(list(texts))
         return pd.DataFrame({"score": [x[0] for x in found], "evidence": [x[1] for x in found], "cosines": [x[2] for x in found]})
 
     return docs.withColumn(column, judge(F.col("text").cast("string")))
