@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from varistra.llm import toxicity
+from varistra.llm import decontaminate, toxicity
 
 
 def test_rare_toxic_words_count(spark):
@@ -44,3 +44,14 @@ def test_cosines_over_many_places_equal_dense():
         names, cosines = examples.nearest(rows[i][3], rows[i][4], 15)
         assert np.allclose(np.sort(cosines)[::-1][:15], np.sort(exact)[::-1][:15], atol=1e-5)
         assert np.allclose(cosines, exact[examples.ids[names]], atol=1e-6)
+
+
+def test_short_items_leak_whole(spark):
+    """Items of fewer than eight words, with and without spaces, leak where all of them stands and nowhere else."""
+    items = [(1, "What is the capital of France? Paris."), (2, "日本の首都はどこですか。東京です。"), (3, "Hello there"), (4, None), (5, " . "), (6, "one two three four five six seven eight nine. ten eleven twelve.")]
+    docs = [
+        (1, "quiz: what is  the capital\nof FRANCE? Paris! next", [1]), (2, "what is the capital of france? lyon, not paris", []), (3, "昔、日本の首都はどこですか。\n東京です。と言った", [2]), (4, "日本の首都はどこですか。京都です。", []),
+        (5, "oh hello there again", [3]), (6, "othello there, hello therein", []), (7, "say one two three four five six seven eight nine. ten eleven twelve. hello there", [3, 6]), (8, None, []), (9, "", []), (10, "hello", []),
+    ]
+    got = decontaminate.contaminated(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: list(r.item_ids) for r in got} == {d: x for d, _, x in docs}

@@ -14,8 +14,10 @@ column, else its last sentence, the question the rest.
 
 Items are read in shards of a bounded size, one after another, so the index fits a task whatever the benchmark's size.
 
-Defined results. A null or empty text or item matches nothing. Items of fewer than ``MIN_WORDS`` words can't be told
-from chance and are left out. Rows that share a doc_id are answered each. A null item_id is reported as -1. Other
+Items of fewer than ``MIN_WORDS`` words, which a share of their words can't tell from chance, leak only if the whole of
+them, question and answer, stands in the text word by word; in scripts without spaces, character by character.
+
+Defined results. A null or empty text or item matches nothing; an item of one word leaks where that word stands. Rows that share a doc_id are answered each. A null item_id is reported as -1. Other
 columns are ignored, whatever their names. Without items nothing is contaminated; without documents the result is empty.
 """
 
@@ -37,6 +39,9 @@ SHARD_BYTES = 16 << 20
 K1, B = 1.2, 0.75
 SHINGLE = 5
 EDGE = b".,;:!?\"'()[]"
+#: Characters of scripts that put no spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+START = 8
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -57,17 +62,51 @@ def shingles(words: list[bytes], k: int = SHINGLE) -> set[tuple]:
     return set(zip(*(words[i:] for i in range(k)))) if k else set()
 
 
+class ShortItems:
+    """Items of few words [(place, words)], found where all of one stands in a text: by its rarest word, or by its first characters."""
+
+    def __init__(self, items: list[tuple[int, list[bytes]]]):
+        df = Counter(w for _, words in items for w in set(words))
+        self.by_word: dict[bytes, list] = defaultdict(list)
+        self.by_start: dict[str, list] = defaultdict(list)
+        for at, words in items:
+            text = b"".join(words).decode(errors="surrogatepass")
+            if UNSPACED.search(text):
+                self.by_start[text[:START]].append((at, text))
+            else:
+                offset = min(range(len(words)), key=lambda i: (df[words[i]], i))
+                self.by_word[words[offset]].append((at, offset, words))
+        self.words = frozenset(self.by_word)
+        self.widths = sorted(set(map(len, self.by_start)))
+
+    def search(self, words: list[bytes]) -> set[int]:
+        """Places of the items that stand in a text of these words."""
+        found: set[int] = set()
+        if not self.words.isdisjoint(words):
+            for i, w in enumerate(words):
+                if w in self.words:
+                    found.update(at for at, offset, item in self.by_word[w] if offset <= i and words[i - offset : i - offset + len(item)] == item)
+        if self.widths:
+            text = b"".join(words).decode(errors="surrogatepass")
+            if UNSPACED.search(text):
+                for n in self.widths:
+                    for i in range(len(text) - n + 1):
+                        found.update(at for at, item in self.by_start.get(text[i : i + n], ()) if text.startswith(item, i))
+        return found
+
+
 class Index:
     """BM25 impacts of items [(item_id, text, answer)], in blocks, and what the overlap check needs."""
 
     def __init__(self, items: list[tuple], threshold: float):
         self.threshold = threshold
-        self.items = []
+        self.items, short = [], []
         for item_id, text, answer in items:
             question, reply = split_item(text or "", answer)
             all_words = words_of((text or "") + ("" if answer is None else " " + answer))
-            if len(all_words) >= MIN_WORDS:
-                self.items.append((-1 if item_id is None else item_id, all_words, shingles(words_of(question)), set(words_of(reply))))
+            if all_words:
+                own = self.items if len(all_words) >= MIN_WORDS else short
+                own.append((-1 if item_id is None else item_id, all_words, shingles(words_of(question)), set(words_of(reply))))
         self.items.sort(key=lambda x: (len(x[1]), x[0]))
         n, df = len(self.items), Counter(w for x in self.items for w in set(x[1]))
         mean = sum(len(x[1]) for x in self.items) / max(n, 1)
@@ -95,12 +134,15 @@ class Index:
                 for t, x in impact.items():
                     most[t] = max(most.get(t, 0.0), x)
             self.block_max.append(most)
+        self.short = ShortItems([(n + i, x[1]) for i, x in enumerate(short)])
+        self.items += short
 
     def search(self, text: str | None) -> list[tuple[int, float]]:
         """[(item's place, best score)] over the passages of a text, whose question and answer overlap."""
         words = words_of(text)
+        found = dict.fromkeys(self.short.search(words), 1.0)
         if self.essential_words.isdisjoint(words):
-            return []
+            return sorted(found.items())
         ids, essential = self.ids, self.essential
         rare = [(i, ids[w]) for i, w in enumerate(words) if w in self.essential_words]
         half = max(1, self.window // 2)
@@ -109,7 +151,6 @@ class Index:
             last = i // half
             for window in (last - 1, last) if last else (0,):
                 asked[window].update(essential[t].tolist())
-        found: dict[int, float] = {}
         for window, items in asked.items():
             passage = words[window * half : window * half + self.window]
             terms = {ids[w] for w in passage if w in ids}
