@@ -15,9 +15,11 @@ SALTS = 64
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a local one if all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="varistra-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -72,3 +74,27 @@ def text_or_empty(column: str = "text") -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_WORKER: dict = {}
+
+
+def worker_cache(owner: str, key, make):
+    """What a Python worker keeps from task to task for one operator; workers are reused, so another owner's or key's goes."""
+    if _WORKER.get("of") != (owner, key):
+        _WORKER.clear()
+        _WORKER.update(of=(owner, key), held=make())
+    return _WORKER["held"]
+
+
+def by_bytes(batch, column: int, most: int):
+    """An Arrow batch in slices of about most bytes in a column of texts or bytes; a longer row is a slice of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
