@@ -2,13 +2,15 @@
 
 Lines are cut at ``\\n``. A line's key is the line without ASCII white space at both ends and with A-Z in lower case.
 Keys of at least ``min_chars`` code points that at least ``min_docs`` rows hold lose their lines everywhere but in
-the largest doc_id that holds them. Lines are hashed to 128 bits, counted after a partial sum in each task, and only
-the keys over the threshold (written to the shared folder) are joined back; a row's lines never leave the row.
+the largest doc_id that holds them. Lines are exploded with their positions and hashed to 128 bits once, into a table in
+the shared folder; distinct documents are counted after partial sums in each task, so that a line that stands everywhere
+costs a row for each task; keys over the threshold are joined back, and each text is reassembled from the positions
+that it keeps.
 
-Defined results. A null or empty text is one empty line. Each row counts as one document, repeated rows too; rows
-with the same doc_id as the largest holder keep their lines. A null doc_id is smaller than any other. Lines under
-``min_chars`` always stay. Equal lines within a row count once. Other columns are ignored, whatever their names.
-An empty table gives an empty result.
+Defined results. A null or empty text is one empty line. Rows that share a doc_id are one document, each with its own
+text; a repeated row gets its copy's result. Rows with the same doc_id as the largest holder keep their lines. Null
+doc_ids are one document, smaller than any other. Lines under ``min_chars`` always stay. Other columns are ignored,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from varistra.llm import common
 
 BLANK = " \t\n\x0b\x0c\r"
+LOWEST = -(1 << 63)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,27 +31,35 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def key_hash(line: Column) -> Column:
-    key = line_key(line)
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key).alias("b"))
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """(doc_id, id, tie, text): id and tie are the same for equal rows, and for no others."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
+    tie = F.struct(F.xxhash64("text").alias("hash"), F.length("text").alias("n"), F.col("doc_id").isNull().alias("no_id"))
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(LOWEST)).alias("id"), tie.alias("tie"), "text")
+
 
+def hashed_lines(rows: DataFrame, min_chars: int) -> DataFrame:
+    """(id, tie, pos, a, b): position and 128-bit hash of the key of each line that is long enough."""
+    lines = rows.select("id", "tie", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.length("line") >= min_chars)
+    keyed = lines.select("id", "tie", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
+    return keyed.select("id", "tie", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit("line"), "key").alias("b"))
 
-def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h): the lines that are long enough, once for each row; (h, last): keys over the threshold and their largest doc_id."""
-    lines = F.filter(F.split(common.text_or_empty(), "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANK))) >= min_chars)
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.transform(lines, key_hash))).alias("h")).select("doc_id", "h.a", "h.b")
-    counted = held.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
-    return held, common.materialise(counted.filter(F.col("n") >= min_docs).select("a", "b", "last"), "lines")
+
+def repeated_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(a, b, last): keys of at least min_docs distinct documents, and the largest of their doc_ids."""
+    counted = lines.groupBy("a", "b").agg(F.count_distinct("id").alias("n"), F.max("id").alias("last"))
+    return counted.filter(F.col("n") >= min_docs).select("a", "b", "last")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """doc_id, n_lines, n_dropped, text: what is left of each row's text."""
-    held, over = repeated_lines(docs, min_chars, min_docs)
-    lost = held.join(over, ["a", "b"]).filter(~F.col("doc_id").eqNullSafe(F.col("last")))
-    lost = lost.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("gone")).withColumnRenamed("doc_id", "lost_id")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    both = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left")
-    lines = F.split("text", "\n")
-    kept = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("gone"), key_hash(x))))
-    cut = both.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
-    return cut.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"), F.concat_ws("\n", "kept").alias("text"))
+    rows = with_row_key(docs)
+    lines = common.materialise(hashed_lines(rows, min_chars), "lines")
+    over = common.materialise(repeated_lines(lines, min_docs), "over")
+    lost = lines.join(over, ["a", "b"]).filter(F.col("id") != F.col("last"))
+    lost = lost.groupBy("id", "tie").agg(F.collect_set("pos").alias("gone"))
+    cut = rows.join(lost, ["id", "tie"], "left").withColumn("lines", F.split("text", "\n"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.transform(places, lambda i: F.get("lines", i))))
+    n = F.size("lines").cast("long")
+    return cut.select("doc_id", n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("text"))
