@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 
 LABELLED = 400
 SPACE = " \t\n\x0b\x0c\r"
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
+#: A comment, an element whose content is no text, a declaration, or a tag; RAW and MARKUP are tried where a ``<`` stands.
+RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
+MARKUP = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAMES = re.compile(r"[a-z0-9]+")
 #: Elements that stand within a block, that never hold content, and words of classes and ids that say so.
@@ -42,31 +45,67 @@ def bad(tag: str, names: tuple[str, ...]) -> bool:
     return tag in NEVER or not BAD_NAMES.isdisjoint(names)
 
 
+def pieces(page: str):
+    """Text nodes (text,) and tags (whether it closes, name in lower case, attributes) of a page, in time that follows its length.
+
+    A quote that is never closed would make every later tag read on to the page's end, so from the first tag that finds no
+    end outside quotes on, tags end at the next ``>`` whatever the quotes; after the last ``>`` all is text."""
+    at, last, tag = 0, page.rfind(">"), MARKUP
+    while at < len(page):
+        begin = page.find("<", at)
+        if begin < 0 or begin > last:
+            m = page.find("<!--", at)  # a comment may run to the end without a >
+            yield (page[at:m] if m >= 0 else page[at:],)
+            return
+        if begin > at:
+            yield (page[at:begin],)
+        if m := RAW.match(page, begin):
+            at = m.end()
+            continue
+        m = tag.match(page, begin)
+        if m is None and tag is MARKUP and (m := LOOSE.match(page, begin)):
+            tag = LOOSE
+        if m:
+            yield m.group(1), m.group(2).lower(), m.group(3)
+            at = m.end()
+        else:
+            yield ("<",)
+            at = begin + 1
+
+
 def tokens(page: str):
     """(kind, key, value): words of a text node under the key of their block, or an opening or closing tag."""
     stack: list[tuple[str, str, bool]] = []  # tag, key, whether it or an element around it holds no content
-    for m in TOKEN.finditer(page):
-        text, tag = m.group(5), (m.group(3) or "").lower()
-        if text is not None:
+    opened: Counter = Counter()
+    for piece in pieces(page):
+        if len(piece) == 1:
             key, out = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-            yield "text", key, text, out
-        elif not tag:
+            yield "text", key, piece[0], out
             continue
-        elif m.group(2):
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            key = f"/{stack[at][1]}" if at is not None else f"/{tag}"
-            if at is not None:
-                del stack[at:]
+        closes, tag, rest = piece
+        if closes:
+            key = f"/{tag}"
+            if opened[tag]:
+                while True:
+                    name, key, _ = stack.pop()
+                    opened[name] -= 1
+                    if name == tag:
+                        break
+                key = f"/{key}"
             yield "tag", key, tag, bool(stack and stack[-1][2])
+        elif tag in INLINE:
+            yield "tag", tag, tag, bool(stack and stack[-1][2])  # stands within a block and is what that block is
         else:
-            names = tuple(sorted({x for found in MARK.findall(m.group(4)) for x in NAMES.findall("".join(found).lower())}))
+            names = tuple(sorted({x for found in MARK.findall(rest) for x in NAMES.findall("".join(found).lower())}))
             key = ".".join((tag, *(n for n in names if n in BAD_NAMES)))
-            if tag not in INLINE and stack and stack[-1][0] == "p":
+            if stack and stack[-1][0] == "p":
                 stack.pop()
+                opened["p"] -= 1
             out = bool(stack and stack[-1][2]) or bad(tag, names)
             yield "tag", key, tag, out
-            if tag not in VOID and tag not in INLINE and not m.group(4).rstrip().endswith("/"):
+            if tag not in VOID and not rest.rstrip().endswith("/"):
                 stack.append((tag, key, out))
+                opened[tag] += 1
 
 
 def counts(page: str) -> tuple[Counter, Counter] | None:
@@ -103,26 +142,35 @@ def learn(pages: DataFrame, most: int = LABELLED) -> dict[str, float]:
     sample = pages.filter(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id"), "page_id").select(F.col("html").cast("string")).limit(most)
     found = sample.mapInArrow(run, "key string, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a + b >= 3")
     out = {}
-    for r in found.orderBy(F.desc(F.col("a") + F.col("b")), "key").limit(4096).collect():
+    for r in found.collect():  # at most the kinds of tags of the labelled pages
         odds = max(-LIMIT, min(LIMIT, math.log((r.a + 0.5) / (r.b + 0.5))))
         out[r.key] = min(GOOD_TAG, odds) if r.key[0] == "t" else max(-2.0, min(GOOD_WORD, odds))
     return out
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    if not page:
-        return ""
-    row, best, run, begin, span = list(tokens(page)), 0.0, 0.0, 0, (0, 0)
-    for i, (kind, key, value, out) in enumerate(row):
-        if kind == "tag":
-            score = weights.get("t " + key, BAD_TAG if out else GOOD_TAG)
-        else:
-            score = weights.get("w " + key, BAD_WORD if out else GOOD_WORD) * len(value.split())
+def token_score(weights: dict[str, float], kind: str, key: str, value: str, out: bool) -> float:
+    if kind == "tag":
+        return weights.get("t " + key, BAD_TAG if out else GOOD_TAG)
+    return weights.get("w " + key, BAD_WORD if out else GOOD_WORD) * len(value.split())
+
+
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """(begin, end) of the run with the largest sum, in one scan; the first and shortest of equals, (0, 0) if none is over 0."""
+    best, run, begin, span = 0.0, 0.0, 0, (0, 0)
+    for i, x in enumerate(scores):
         if run <= 0:
             run, begin = 0.0, i
-        run += score
+        run += x
         if run > best:
             best, span = run, (begin, i + 1)
+    return span
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    if not page:
+        return ""
+    row = list(tokens(page))
+    begin, end = best_run([token_score(weights, *x) for x in row])
     blocks, now = [], []
 
     def close():
@@ -131,7 +179,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             blocks.append(text)
         now.clear()
 
-    for kind, _, value, out in row[span[0] : span[1]]:
+    for kind, _, value, out in row[begin:end]:
         if kind == "tag":
             if value == "br":
                 now.append(" ")
@@ -145,7 +193,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 def extract(pages: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """page_id, url, text of each of pages(page_id, url, html)."""
-    sent = pages.sparkSession.sparkContext.broadcast(learn(pages, labelled))  # at most 4,096 weights
+    sent = pages.sparkSession.sparkContext.broadcast(learn(pages, labelled))  # at most the kinds of tags of the labelled pages
 
     @F.pandas_udf("string")
     def texts(page):
