@@ -12,13 +12,16 @@ scored. Every item at or over the threshold is found. An item counts as leaked i
 shingles and of its answer's words stand in the passage; the answer is the item's ``answer`` where the table has that
 column, else its last sentence, the question the rest.
 
-Items are read in shards of a bounded size, one after another, so the index fits a task whatever the benchmark's size.
+Counts, document frequencies, the mean length and the passages' width are those of all items. Items are read in shards of
+a bounded size, one after another, and only one shard's index is in memory at a time, so a task's memory doesn't depend
+on the benchmark's size, and neither does what is found on how items fall into shards.
 
 Items of fewer than ``MIN_WORDS`` words, which a share of their words can't tell from chance, leak only if the whole of
 them, question and answer, stands in the text word by word; in scripts without spaces, character by character.
 
-Defined results. A null or empty text or item matches nothing; an item of one word leaks where that word stands. Rows that share a doc_id are answered each. A null item_id is reported as -1. Other
-columns are ignored, whatever their names. Without items nothing is contaminated; without documents the result is empty.
+Defined results. A null or empty text or item matches nothing; an item of one word leaks where that word stands. Rows that share a doc_id are answered each. A null item_id is reported as -1. A
+column of docs that is called like the result is an error, any other stays. Without items nothing is contaminated;
+without documents the result is empty.
 """
 
 from __future__ import annotations
@@ -95,23 +98,31 @@ class ShortItems:
         return found
 
 
+def item_words(text: str | None, answer: str | None) -> list[bytes]:
+    return words_of((text or "") + ("" if answer is None else " " + answer))
+
+
 class Index:
-    """BM25 impacts of items [(item_id, text, answer)], in blocks, and what the overlap check needs."""
+    """BM25 impacts of items [(item_id, text, answer)], in blocks, and what the overlap check needs.
+
+    whole: (items, mean length, longest item, rows by word) of all items that aren't short, where these are a part."""
 
-    def __init__(self, items: list[tuple], threshold: float):
+    def __init__(self, items: list[tuple], threshold: float, whole: tuple | None = None):
         self.threshold = threshold
         self.items, short = [], []
         for item_id, text, answer in items:
             question, reply = split_item(text or "", answer)
-            all_words = words_of((text or "") + ("" if answer is None else " " + answer))
+            all_words = item_words(text, answer)
             if all_words:
                 own = self.items if len(all_words) >= MIN_WORDS else short
                 own.append((-1 if item_id is None else item_id, all_words, shingles(words_of(question)), set(words_of(reply))))
         self.items.sort(key=lambda x: (len(x[1]), x[0]))
-        n, df = len(self.items), Counter(w for x in self.items for w in set(x[1]))
-        mean = sum(len(x[1]) for x in self.items) / max(n, 1)
-        self.window = 2 * max((len(x[1]) for x in self.items), default=1)
-        self.ids: dict[bytes, int] = {w: i for i, w in enumerate(df)}
+        if whole is None:
+            lengths = [len(x[1]) for x in self.items]
+            whole = len(lengths), sum(lengths) / max(len(lengths), 1), max(lengths, default=1), Counter(w for x in self.items for w in set(x[1]))
+        n, mean, longest, df = whole
+        self.window = 2 * longest
+        self.ids: dict[bytes, int] = {w: i for i, w in enumerate(sorted({w for x in self.items for w in x[1]}))}
         self.impacts: list[dict[int, float]] = []
         essential = defaultdict(set)
         for at, (_, all_words, _, _) in enumerate(self.items):
@@ -128,13 +139,13 @@ class Index:
         self.essential = {t: np.array(sorted(x), np.int64) for t, x in essential.items()}
         self.essential_words = frozenset(w for w, t in self.ids.items() if t in self.essential)
         self.block_max: list[dict[int, float]] = []
-        for begin in range(0, n, BLOCK):
+        for begin in range(0, len(self.items), BLOCK):
             most: dict[int, float] = {}
             for impact in self.impacts[begin : begin + BLOCK]:
                 for t, x in impact.items():
                     most[t] = max(most.get(t, 0.0), x)
             self.block_max.append(most)
-        self.short = ShortItems([(n + i, x[1]) for i, x in enumerate(short)])
+        self.short = ShortItems([(len(self.items) + i, x[1]) for i, x in enumerate(short)])
         self.items += short
 
     def search(self, text: str | None) -> list[tuple[int, float]]:
@@ -178,26 +189,54 @@ class Index:
 
 
 def item_shards(items: DataFrame):
-    """The items in lists of about SHARD_BYTES of text each, read one after another."""
+    """(items, statistics of all items that a shard's index needs) in shards of about SHARD_BYTES of text, read one after another."""
     answer = F.col("answer").cast("string") if "answer" in items.columns else F.lit(None).cast("string")
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
-    size = rows.agg(F.sum(F.octet_length(common.text_or_empty()) + 64)).first()[0] or 0
-    n = math.ceil(size / SHARD_BYTES)
-    for i in range(n):
-        yield [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [item_words(t, a) for t, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            words = pa.array([sorted(set(x)) if len(x) >= MIN_WORDS else [] for x in found], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([len(x) for x in found], pa.int64()), words], ["item_id", "text", "answer", "n", "words"])
+
+    rows = common.materialise(rows.mapInArrow(run, "item_id long, text string, answer string, n long, words array<binary>"), "items")
+    size = rows.agg(F.sum(F.octet_length(common.text_or_empty()) + F.octet_length(common.text_or_empty("answer")) + 64)).first()[0] or 0
+    n, mean, longest = rows.filter(F.col("n") >= MIN_WORDS).agg(F.count(F.lit(1)), F.coalesce(F.avg("n"), F.lit(0.0)), F.coalesce(F.max("n"), F.lit(1))).first()
+    shards = math.ceil(size / SHARD_BYTES)
+    df = rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    df = common.materialise(df, "item_words") if shards > 1 else df
+    for i in range(shards):
+        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == i)
+        own = df.join(part.select(F.explode("words").alias("w")).distinct(), "w") if shards > 1 else df
+        yield [tuple(r) for r in part.select("item_id", "text", "answer").collect()], (n, mean, longest, {bytes(r.w): r.df for r in own.collect()})
+
+
+def leaks(sent):
+    """A pandas UDF: the items of a broadcast index that each text leaks."""
+
+    @F.pandas_udf("array<bigint>")
+    def found(texts):
+        index = sent.value
+        return texts.map(lambda t: sorted({index.items[at][0] for at, _ in index.search(t)}))
+
+    return found
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, column: str = "item_ids") -> DataFrame:
     """docs with a column array<long>: the items that each row's text leaks, ascending (empty: none). docs' other columns stay."""
+    if column in docs.columns:
+        raise ValueError(f"docs has a column {column} already")
     spark = docs.sparkSession
-    out = docs.withColumn(column, F.array().cast("array<bigint>"))
-    for shard in item_shards(items):
-        sent = spark.sparkContext.broadcast(Index(shard, threshold))  # about SHARD_BYTES of items
-
-        @F.pandas_udf("array<bigint>")
-        def leaks(texts):
-            index = sent.value
-            return texts.map(lambda t: sorted({index.items[at][0] for at, _ in index.search(t)}))
-
-        out = out.withColumn(column, F.array_sort(F.array_union(column, leaks(F.col("text").cast("string")))))
+    out, earlier = docs.withColumn(column, F.array().cast("array<bigint>")), None
+    for k, (shard, whole) in enumerate(item_shards(items)):
+        if k:  # rows are written between shards, so that no task holds two indexes
+            now = common.materialise(out, "shard")
+            if earlier is not None:
+                common.remove(spark, earlier.scratch_path)
+            out = earlier = now
+        sent = spark.sparkContext.broadcast(Index(shard, threshold, whole))  # about SHARD_BYTES of items
+
+        out = out.withColumn(column, F.array_sort(F.array_union(column, leaks(sent)(F.col("text").cast("string")))))
     return out
