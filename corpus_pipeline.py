@@ -20,25 +20,34 @@ TOKENIZER = "byte_bpe_50k.json"
 REJECT_AT = 0.5
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under REJECT_AT."""
-    scored = toxicity.score(docs, common.read_table(spark, sf_dir, "labels"), column="stage_toxicity")
-    return scored.filter(F.col("stage_toxicity.score") < REJECT_AT).select(*docs.columns)
+    found = fresh(docs, "stage_toxicity")
+    scored = toxicity.score(docs, common.read_table(spark, sf_dir, "labels"), column=found)
+    return scored.filter(F.col(f"{found}.score") < REJECT_AT).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group of near-duplicates (five-word shingles, 0.8 or more)."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80)
-    kept = common.materialise(found.filter("kept or doc_id is null and component_id is null").select(F.col("doc_id").alias("stage_id")).distinct(), "kept")
-    rows = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("stage_id")), "left_semi")
+    found, name = minhash.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80), fresh(docs, "stage_copy")
+    kept = common.materialise(found.filter("kept or doc_id is null and component_id is null").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    rows = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     copy = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.col("text").isNull()).orderBy("doc_id"))
-    return rows.withColumn("stage_copy", copy).filter("stage_copy = 1").select(*docs.columns)
+    return rows.withColumn(name, copy).filter(F.col(name) == 1).select(*docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    found = decontaminate.contaminated(docs, common.read_table(spark, sf_dir, "benchmark"), column="stage_items")
-    return found.filter(F.size("stage_items") == 0).select(*docs.columns)
+    items = fresh(docs, "stage_items")
+    found = decontaminate.contaminated(docs, common.read_table(spark, sf_dir, "benchmark"), column=items)
+    return found.filter(F.size(items) == 0).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
