@@ -47,7 +47,6 @@ def test_tokens_round_trip(spark, odd, empty, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     out = token_output.write_tokens(odd, f"file://{tmp_path}/t", path)
     got = [(r.doc_id, r.start, r.n_tokens, list(r.ids)) for r in token_output.read_tokens(spark, out).orderBy("start").collect()]
     want = Counter((r[0], *whole.encode(r[1] or "", add_special_tokens=False).ids, 0) for r in ODD)
@@ -61,13 +60,26 @@ def test_tokens_round_trip(spark, odd, empty, tmp_path):
 
 def test_cached_encoder_equals_library():
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    e = token_output.CachedEncoder(public_tokenizers.path("byte_bpe_50k.json"), cache_words=50)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, plain = token_output.CachedEncoder(path, cache_bytes=20_000), Tokenizer.from_file(path)
     rng = random.Random(1)
-    alphabet = " \n\t .,!'’s re tAbÉß  ᠎1२क中🙂\x1c\x85-#<|endoftext|>"
-    for _ in range(60):
+    alphabet = [*" \n\t .,!'’s re tAbÉß  ᠎1२क中🙂\x1c\x85-#", "<|endoftext|>", "<|endof", "'re", "naïve"]
+    for _ in range(80):
         texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(50)]
-        assert e(texts) == e._whole(texts)
+        assert [np.frombuffer(x, e.dtype).tolist() for x in e(texts)] == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert e(["<|endoftext|>"]) == [np.array([50256], e.dtype).tobytes()] and e.used <= 40_000
+    long = "word, another-word\n" * 200_000
+    assert np.frombuffer(e([long])[0], e.dtype).tolist() == plain.encode(long, add_special_tokens=False).ids
+
+
+def test_slices_by_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (5, 0, 3, 100, 1, 1)] + [None])], ["t"])
+    got = [x.column(0).to_pylist() for x in common.by_bytes(batch, 0, 8)]
+    assert [y for x in got for y in x] == batch.column(0).to_pylist() and [len(x) for x in got] == [3, 1, 3]
 
 
 def test_code_round_trip():
@@ -120,26 +132,62 @@ def test_mix(spark, odd, empty):
 # ---------------------------------------------------------------- 3
 
 
-def test_kneser_ney_is_a_law_and_keeps_clean_text(spark, odd, empty):
+def brute_kneser_ney(texts):
+    """log p(gram) of an interpolated modified Kneser-Ney model, straight from its definition, over tuples of symbols."""
+    n = quality.ORDER
+    counts = {n: Counter()}
+    for t in texts:
+        x = [quality.START] * (n - 1) + list(t) + [quality.END]
+        counts[n].update(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
+    for k in range(n - 1, 0, -1):
+        left, raw = defaultdict(set), Counter()
+        for g, c in counts[k + 1].items():
+            left[g[1:]].add(g[0])
+            raw[g[1:]] += c
+        counts[k] = Counter({g: raw[g] if g[0] == quality.START else len(left[g]) for g in left})
+    spare = {k: quality.discounts([sum(c == i for c in counts[k].values()) for i in (1, 2, 3, 4)]) for k in counts}
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / quality.SYMBOLS
+        following = {h: c for h, c in counts[k].items() if h[:-1] == g[:-1]}
+        if not following:
+            return p(g[1:])
+        total = sum(following.values())
+        d = lambda c: spare[k][min(c, 3) - 1]
+        c = following.get(g, 0)
+        return (c - d(c) if c else 0) / total + sum(map(d, following.values())) / total * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_equals_brute_force(spark):
     rng = np.random.default_rng(2)
-    rows = [(i, "en", prose(rng, 900)) for i in range(60)] + [(100 + i, "en", "".join(chr(int(c)) for c in rng.integers(33, 126, 200))) for i in range(10)]
+    rows = [(i, "en", prose(rng, 12, 20) + ("é\x02\x03" if i % 5 == 0 else "")) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], LABELS)
+    aside = {r.trusted_id for r in quality.trusted_ids(labels).filter("aside").collect()}
+    assert 0 < len(aside) < 10
+    p = brute_kneser_ney([t.encode() for i, _, t in rows if i < 20 and i not in aside])
+    want, n = {}, quality.ORDER
+    for i, _, t in rows:
+        x = [quality.START] * (n - 1) + list(t.encode()) + [quality.END]
+        logs = [np.log(p(tuple(x[j : j + n]))) for j in range(len(x) - n + 1)]
+        want[i] = np.exp(-np.mean(logs))
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert all(got[i].perplexity == pytest.approx(want[i], rel=1e-4) for i in want)
+    limit = max(got[i].perplexity for i in aside)
+    assert all(got[i].threshold == limit and got[i].kept == (got[i].perplexity <= limit) for i in want)
+
+
+def test_quality_keeps_unseen_good_text(spark, odd, empty):
+    rng = np.random.default_rng(3)
+    rows = [(i, "en", prose(rng, 300)) for i in range(260)] + [(1000 + i, "en", "".join(chr(int(c)) for c in rng.integers(33, 126, 200))) for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], LABELS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(160)], LABELS)
     got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
-    assert sum(got[i].kept for i in range(60)) >= 55 and not any(got[100 + i].kept for i in range(10))
-    model = {r.key: r.v for r in quality.train(docs.filter("doc_id < 5").select(F.encode("text", "UTF-8").alias("text"))).collect()}
-    keys = np.array(sorted(model))
-
-    class Table(quality.Shards):
-        def find(self, k):
-            return np.array([model.get(int(x), np.nan) for x in k])
-
-    t = Table([])
-    for context in (b"w1 w", b"zzzz", b"\x02\x02\x02\x02"):
-        head = int.from_bytes(context, "big") << 8
-        total = np.exp(t.log_p(np.arange(256, dtype=np.int64) + head)).sum()
-        assert 0.99 < total < 1 + 1e-6  # the 257th symbol takes the rest
-    assert len(keys) == len(model)
+    assert sum(got[i].kept for i in range(160, 260)) >= 90 and not any(got[1000 + i].kept for i in range(10))
     odd_rows = quality.classify(odd, labels).collect()
     assert len(odd_rows) == len(ODD) and all(r.kept for r in odd_rows if not r.n_bytes)
     assert quality.classify(empty, labels).count() == 0 and quality.classify(odd, labels.limit(0)).filter("kept").count() == len(ODD)
@@ -270,11 +318,18 @@ def test_lines_equal_brute_force(spark, odd, empty):
             if len(key(x)) >= 20:
                 held[key(x)].add(d)
     want = {}
+    rows += [(50, "a line that stands in two documents only\nx")] * 2 + [(51, "a line that stands in two documents only"), (52, "z" * 25), (52, "z" * 25 + "\n" + "z" * 25), (None, "y" * 20)]
+    for d, t in rows[-6:]:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 20:
+                held[key(x)].add(d)
+    lowest = lambda d: -(1 << 63) if d is None else d
+    want = Counter()
     for d, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if len(held[key(x)]) < 3 or max(held[key(x)]) == d]
-        want[d] = (len(lines), len(lines) - len(kept), "\n".join(kept))
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        kept = [x for x in lines if len(held[key(x)]) < 3 or max(held[key(x)], key=lowest) == d]
+        want[(d, len(lines), len(lines) - len(kept), "\n".join(kept))] += 1
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
     assert got == want
     assert line_dedup.dedup_lines(odd).count() == len(ODD) and line_dedup.dedup_lines(empty).count() == 0
 
@@ -294,25 +349,43 @@ def test_toxicity_held_out(spark, odd, empty):
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert len(held) > 40 and all((got[i].toxicity.score >= 0.5) == (i % 4 == 0) for i in held)
     assert not {e for r in got.values() for e in r.toxicity.evidence} & set(held)
-    s = toxicity.score(odd, labels)
+    with pytest.raises(ValueError):
+        toxicity.score(odd, labels)  # it has a column toxicity
+    s = toxicity.score(odd, labels, column="found").drop("toxicity").withColumnRenamed("found", "toxicity")
     assert s.count() == len(ODD) and set(s.columns) == set(odd.columns)
-    assert toxicity.score(empty, labels).count() == 0 and toxicity.score(odd, labels.limit(0)).filter("toxicity.score = 0").count() == len(ODD)
+    assert toxicity.score(empty, labels, column="f").count() == 0 and toxicity.score(odd, labels.limit(0), column="f").filter("f.score = 0").count() == len(ODD)
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("block", [7, 64, 1000])
+def test_block_max_search_is_exact(block, monkeypatch):
+    monkeypatch.setattr(toxicity.BlockIndex.__init__, "__defaults__", (block,))
     rng = np.random.default_rng(7)
     rows = []
     for i in range(500):
-        at = tuple(sorted(rng.choice(40, int(rng.integers(1, 6)), replace=False).tolist())) + (40,)
+        topic = 20 * int(rng.integers(3))  # three groups of texts with their own features, and rare ones
+        at = tuple(sorted({*(topic + rng.choice(20, int(rng.integers(1, 6)), replace=False)).tolist(), 60 + int(rng.integers(80))})) + (140,)
         w = rng.random(len(at))
         rows.append((i, int(rng.integers(2)), 1.0, at, w / np.sqrt(w @ w)))
-    e = toxicity.Examples(rows, 41)
-    for _, _, _, at, w in rows[:60]:
-        q = np.zeros(41)
-        q[list(at)] = w
-        exact = np.sort(e.matrix @ q.astype(np.float32))[::-1]
-        _, cosines = e.nearest(at, w, 15)
-        assert np.allclose(np.sort(cosines)[::-1][:15], exact[:15], atol=1e-5)
+    e = toxicity.Examples(rows, 141)
+    dense = np.zeros((500, 141))
+    for i, _, _, at, w in rows:
+        dense[i, list(at)] = w
+    assert sorted(x for g in e.index.blocks for x in g[0].tolist()) == list(range(len(e.ids))) and max(len(g[0]) for g in e.index.blocks) <= block
+    for i, _, _, at, w in rows[:80]:
+        exact = np.sort(dense @ dense[i])[::-1]
+        names, cosines = e.nearest(at, w, 15)
+        assert np.allclose(cosines[:15], exact[:15], atol=1e-5) and len(names) >= 15
+        assert e.ids[names[0]] == i
+
+
+def test_votes_are_weighted_by_distance():
+    rows = [(1, 1, 1.0, (0, 2), np.array([0.8, 0.6])), (2, 0, 1.0, (1, 2), np.array([0.8, 0.6])), (3, 0, 0.5, (2,), np.array([1.0]))]
+    e = toxicity.Examples(rows, 3)
+    share, names, cosines = e.vote((0, 2), np.array([0.8, 0.6]), 3)
+    c = {1: 1.0, 2: 0.36, 3: 0.6}
+    votes = {i: x**toxicity.POWER for i, x in c.items()}
+    assert e.ids[names].tolist() == [1, 3, 2] and np.allclose(cosines, [1.0, 0.6, 0.36])
+    assert share == pytest.approx(votes[1] / (votes[1] + votes[2] + 2 * votes[3]))
 
 
 # ---------------------------------------------------------------- 9
@@ -326,6 +399,32 @@ def test_main_text(spark):
     assert got[1] == got[5] == "Head & more\nSome words here bolder. Next\nOne"
     assert got[2] == got[3] == "" and got[None] == "x" and got[4].startswith("plain")
     assert html_text.extract(pages.limit(0)).count() == 0
+    clash = pages.selectExpr("page_id", "url", "html", "html as text", "1 as n_chars")
+    assert {r.page_id: r.text for r in html_text.extract(clash).collect()} == got
+
+
+def test_inline_names_drop_nothing():
+    page = '<h1>T</h1><p>Header of the text <span class="header-note">kept</span> more words here</p>'
+    assert html_text.main_text(page, {}) == "T\nHeader of the text kept more words here"
+
+
+def test_best_run_equals_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        x = [rng.choice([-3.0, -1.0, -0.5, 0.0, 1.0, 2.0]) for _ in range(rng.randint(0, 12))]
+        best = max([0.0, *(sum(x[a:b]) for a in range(len(x)) for b in range(a + 1, len(x) + 1))])
+        a, b = html_text.best_run(x)
+        assert sum(x[a:b]) == best and (best > 0 or (a, b) == (0, 0))
+
+
+@pytest.mark.parametrize("page", ['<a "' * 20_000, "<a \"'x" * 20_000 + ">", "<div>" * 20_000 + "</b></section>" * 20_000, "<script " * 20_000, "<" * 100_000 + ">", "<!--" * 30_000, "<p>word " * 50_000])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page, {})
+    assert time.process_time() - began < 10
+    assert list(html_text.pieces("a < b <p class='>'>c")) == [("a ",), ("<",), (" b ",), ("", "p", " class='>'"), ("c",)]
 
 
 # ---------------------------------------------------------------- 10
@@ -345,9 +444,27 @@ def test_leaks_equal_brute_force(spark, odd, empty):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: list(r.item_ids) for r in decontaminate.contaminated(docs, bench).collect()}
     assert got == {d: p for d, _, p in rows}
-    out = decontaminate.contaminated(odd, bench)
-    assert out.count() == len(ODD) and set(out.columns) == set(odd.columns)
-    assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).filter("size(item_ids) > 0").count() == 0
+    out = decontaminate.contaminated(odd, bench, column="found")
+    assert out.count() == len(ODD) and set(out.columns) == {*odd.columns, "found"}
+    assert decontaminate.contaminated(empty, bench, column="found").count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).filter("size(item_ids) > 0").count() == 0
+
+
+def test_shards_and_short_items_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    items = [(i, prose(rng, int(rng.integers(9, 40)), 300)) for i in range(60)] + [(100 + i, f"capital{i} of land{i}? City{i}.") for i in range(8)]
+    rows = []
+    for i in range(150):
+        own = items[i % 60][1].split()
+        rows.append((i, prose(rng, 30, 300) + " " + " ".join(own[: int(rng.integers(4, len(own) + 1))]) + (f" Capital{i % 8} of land{i % 8}? city{i % 8}" if i % 7 == 0 else "")))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = {r.doc_id: list(r.item_ids) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert all((100 + i % 8 in whole[i]) == (i % 7 == 0) for i in whole)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 2500)
+    assert {r.doc_id: list(r.item_ids) for r in decontaminate.contaminated(docs, bench).collect()} == whole
+    without = {r.doc_id: [x for x in r.item_ids if x < 100] for r in decontaminate.contaminated(docs, bench.filter("item_id < 100")).collect()}
+    assert without == {i: [x for x in v if x < 100] for i, v in whole.items()}
+    with pytest.raises(ValueError):
+        decontaminate.contaminated(docs.withColumn("item_ids", F.lit(1)), bench)
 
 
 def test_pruning_loses_nothing():

@@ -18,9 +18,10 @@ whatever their names. An empty table gives no shard and an empty result.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
+from array import array
+from string import punctuation as PUNCTUATION
 
 import numpy as np
 from pyspark import TaskContext
@@ -32,10 +33,16 @@ from varistra.llm import common
 MAGIC = b"VTK1"
 HEAD = struct.Struct("<4sIQQ")
 BLOCK_IDS = 1 << 20
-#: Words whose ids a worker keeps, twice over: when that many are new, those of the time before last are let go.
-CACHE_WORDS = 800_000
-#: White space, a space, white space: a cut before that space could change what the tokenizer's pattern matches.
-INNER_SPACE = re.compile("[\\s\u180e\u200b\ufeff] [\\s\u180e\u200b\ufeff]")
+#: Memory that a worker's known words take, in two generations of half of it: a full one replaces the older.
+CACHE_BYTES = 160 << 20
+#: What a known word takes besides its own bytes.
+ENTRY_BYTES = 220
+#: Bytes of text that are encoded at a time.
+CHUNK_BYTES = 8 << 20
+#: White space of the pattern that str.isspace() doesn't count.
+ODD_SPACE = "\u180e\u200b\ufeff"
+#: The ASCII characters that count as white space, by code.
+SPACES = np.array([c < 128 and chr(c).isspace() for c in range(256)])
 #: Fixed value: the pattern by which byte-level vocabularies of this kind cut texts into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters up to here are letters in every version of Unicode in use; other words are cut by the library alone.
@@ -44,16 +51,39 @@ KNOWN = "\u0530"
 # ---------------------------------------------------------------- tokenizing
 
 
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable in Latin-1, else one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in shown else next(others)) for b in range(256)]
+
+
+def blank_edges(words, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether words (an Arrow array, and as a list) begin and end with white space; an empty word counts as both."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2] or b"\0", np.uint8)
+    out = []
+    for at, place in ((offsets[:-1], 0), (offsets[1:] - 1, -1)):
+        edge = raw[np.clip(at, 0, len(raw) - 1)]
+        blank = SPACES[edge] | (offsets[1:] == offsets[:-1])
+        for i in np.flatnonzero((edge > 0x7F) & (edge != 0xC3) & ~blank).tolist():  # 0xC3 begins Latin letters alone
+            c = names[i][place]
+            blank[i] = c.isspace() or c in ODD_SPACE
+        out.append(blank)
+    return out[0], out[1]
+
+
 class CachedEncoder:
     """Ids of whole texts, by the tokenizers library, with the ids of words that were seen before.
 
     The byte-level pattern always starts a new piece at a space that follows or precedes other than white space,
-    and pieces are merged each on its own. So a text is cut before such spaces, each word's pieces are encoded once
-    by the library, many at a time with line feeds between them, and the words' ids are joined. A text with white
-    space on both sides of a space goes to the library whole, as does every text under any other kind of tokenizer.
+    and pieces are merged each on its own. So texts are cut before such spaces by Arrow, each distinct word of a chunk
+    is looked up once, a new word's pieces go through the library's model once, and ids are gathered by numpy. A text
+    with white space on both sides of a space, or with the content of an added token (such as an end mark written out),
+    goes to the library whole, as does every text under any other kind of tokenizer.
     """
 
-    def __init__(self, tokenizer_path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, tokenizer_path: str, cache_bytes: int = CACHE_BYTES):
         import json
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads only wait for it
@@ -61,119 +91,144 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         spec = json.loads(self.tokenizer.to_str())
         cut = spec["pre_tokenizer"] or {}
-        self.by_word = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not spec["normalizer"]
-        self.pieces = regex.compile(PIECES)
-        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.cache_words = cache_words
-        #: By what stands before a word (a space or nothing): its ids; the same of the time before; pieces other than words.
+        byte_level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        self.by_word = bool(byte_level and not spec["normalizer"] and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout"))
+        self.added = [x["content"] for x in spec["added_tokens"]]
+        self.pieces, self.model = regex.compile(PIECES), self.tokenizer.model
+        self.letters = dict(enumerate(byte_letters()))
+        self.space, self.kind = self.letters[0x20], "H" if self.dtype.itemsize == 2 else "I"
+        self.cache_bytes, self.used = cache_bytes, 0
+        #: By what stands before a word (a space or nothing): its ids; the same of the generation before.
         self.known: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
         self.older: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
-        self.marks: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces of letters: one text of them all, cut again at the line feeds."""
-        if not pieces:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
-        at = np.flatnonzero(ids == self.feed[0]) if len(self.feed) == 1 else []
-        if len(at) != len(pieces) - 1:
-            return self._whole(pieces)
-        raw, width = ids.tobytes(), self.dtype.itemsize
-        begins, ends = [0, *((at + 1) * width).tolist()], [*(at * width).tolist(), len(raw)]
-        return [raw[a:b] for a, b in zip(begins, ends)]
-
-    def _learn(self, words: set[str], before: str) -> None:
-        """Ids of new words: letters; letters and one other character, which is a piece of its own; anything else."""
-        known, older = self.known[before], self.older[before]
-        plain, tails, alone, split = [], [], [], []
-        for w in words:
-            if w in older:
-                known[w] = older[w]
-            elif not (w.isascii() or max(w) < KNOWN) or not w:
-                alone.append(w)
-            elif w.isalpha():
-                plain.append(w)
-            elif w[:-1].isalpha():
-                tails.append(w)
-            else:
-                split.append((w, self.pieces.findall(before + w)))
-        stems = {w[:-1] for w in tails}
-        if before:
-            stems.update(p[1:] for _, ps in split for p in ps if p[0] == before and p[1:].isalpha())
-        plain += stems.difference(known, plain)
-        known.update(zip(plain, self._letters([before + w for w in plain])))
-        known.update(zip(alone, self._whole([before + w for w in alone])))
-        marks = {w[-1] for w in tails}
-        marks.update(p for _, ps in split for p in ps if not (before and p[0] == before and p[1:] in known))
-        if len(self.marks) > self.cache_words:
-            self.marks = {}
-        marks = marks.difference(self.marks)
-        letters = [p for p in marks if p.isalpha()]
-        others = list(marks.difference(letters))
-        self.marks.update(zip(letters, self._letters(letters)))
-        self.marks.update(zip(others, self._whole(others)))
-        ids = self.marks
-        for w in tails:
-            known[w] = known[w[:-1]] + ids[w[-1]]
-        for w, ps in split:
-            known[w] = b"".join([ids[p] if p in ids else known[p[1:]] for p in ps])
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece of the pattern, by the library's model."""
+        return self._shown(piece.encode().decode("latin-1").translate(self.letters))
+
+    def _shown(self, piece: str) -> bytes:
+        return array(self.kind, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def ids_of(self, words: list[str], before: str) -> list[bytes]:
+        """The ids of each word after what stands before it."""
+        if self.used > self.cache_bytes // 2:
+            self.older, self.known, self.used = self.known, {" ": {}, "": {}}, 0
+        known, older, space = self.known[before], self.older[before], self.space if before else ""
+        out = list(map(known.get, words))
+        missing = [i for i, x in enumerate(out) if x is None]
+        marks: dict[str, bytes] = {}
+        alone = []
+        for i in missing:
+            w = words[i]
+            ids = older.get(w)
+            if ids is None:
+                plain = w.isascii()
+                if w and (plain or max(w) < KNOWN):
+                    stem = w.rstrip(PUNCTUATION)  # a run of ASCII punctuation after letters is one piece
+                    if stem.isalpha():
+                        ids = known.get(stem) if stem is not w else None
+                        if ids is None:
+                            ids = self._shown(space + stem) if plain else self._piece(before + stem)
+                        if len(stem) < len(w):
+                            tail = w[len(stem) :]
+                            if tail not in marks:
+                                marks[tail] = self._piece(tail)
+                            ids += marks[tail]
+                    else:
+                        ids = b""
+                        for p in self.pieces.findall(before + w):
+                            if p not in marks:
+                                marks[p] = known.get(p[1:]) if before and p[0] == before else None
+                                marks[p] = self._piece(p) if marks[p] is None else marks[p]
+                            ids += marks[p]
+                else:
+                    alone.append(i)
+                    continue
+            out[i] = known[w] = ids
+        for i, ids in zip(alone, self._whole([before + words[i] for i in alone]) if alone else ()):
+            out[i] = known[words[i]] = ids
+        self.used += len(missing) * ENTRY_BYTES + sum([len(words[i]) + len(out[i]) for i in missing])
+        return out
+
+    def _lists(self, texts: list[str], end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x + end for x in self._whole(texts)]
+        return np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize, np.frombuffer(b"".join(ids), self.dtype)
+
+    def encode(self, texts, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids in each text, all ids) of an Arrow array of texts without nulls; end follows each text's ids."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.by_word or not len(texts):
+            return self._lists(texts.to_pylist(), end)
+        parts = pc.split_pattern(texts, " ")
+        at, words = parts.offsets.to_numpy().astype(np.int64), parts.flatten()
+        coded = words.dictionary_encode()
+        codes, names = coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist()
+        blank_start, blank_end = blank_edges(coded.dictionary, names)
+        inner = blank_end[codes[:-1]] & blank_start[codes[1:]]
+        inner[at[1:-1] - 1] = False
+        whole = np.zeros(len(texts), bool)
+        whole[np.searchsorted(at, np.flatnonzero(inner), "right") - 1] = True
+        for content in self.added:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        first = words.take(pa.array(at[:-1])).to_pylist()
+        chosen = np.flatnonzero(whole)
+        units = [*self.ids_of(names, " "), *self.ids_of(first, ""), *(self._whole(texts.take(pa.array(chosen)).to_pylist()) if len(chosen) else ()), b"", end]
+        codes[at[:-1]] = len(names) + np.arange(len(texts))
+        for i, t in enumerate(chosen.tolist()):
+            codes[at[t] : at[t + 1]] = len(units) - 2
+            codes[at[t]] = len(names) + len(texts) + i
+        codes = np.insert(codes, at[1:], len(units) - 1)
+        n = np.fromiter(map(len, units), np.int64, len(units)) // self.dtype.itemsize
+        begin, n_of = np.cumsum(n) - n, n[codes]
+        ends = np.cumsum(n_of)
+        gathered = np.repeat((begin[codes] - ends + n_of).astype(np.int32), n_of)  # a chunk holds under 2 billion ids, or one text
+        gathered += np.arange(len(gathered), dtype=np.int32)
+        return np.diff(ends[at[1:] + np.arange(len(texts))], prepend=0), np.frombuffer(b"".join(units), self.dtype)[gathered]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._whole(texts)
-        for before in self.known:
-            if len(self.known[before]) > self.cache_words:
-                self.known[before], self.older[before] = {}, self.known[before]
-        parts = [t.split(" ") for t in texts]
-        starts = [p.pop(0) for p in parts]
-        first, later = self.known[""], self.known[" "]
-        new = set(starts).difference(first)
-        if new:
-            self._learn(new, "")
-        seen: set[str] = set()
-        for p in parts:
-            seen.update(p)
-        new = seen.difference(later)
-        if new:
-            self._learn(new, " ")
-        ids = later.__getitem__
-        return [self._whole([t])[0] if INNER_SPACE.search(t) else first[w] + b"".join(map(ids, p)) for t, w, p in zip(texts, starts, parts)]
-
-
-_ENCODERS: dict[str, CachedEncoder] = {}
+        import pyarrow as pa
+
+        n, ids = self.encode(pa.array(texts, pa.string()))
+        ends = np.cumsum(n)
+        return [ids[b - k : b].tobytes() for b, k in zip(ends.tolist(), n.tolist())]
 
 
 def encoder(tokenizer_path: str) -> CachedEncoder:
-    """The worker's own encoder; it outlives the task."""
-    if tokenizer_path not in _ENCODERS:
-        _ENCODERS[tokenizer_path] = CachedEncoder(tokenizer_path)
-    return _ENCODERS[tokenizer_path]
+    """The worker's own encoder; it outlives the task, until another operator runs in that worker."""
+    return common.worker_cache("tokens", tokenizer_path, lambda: CachedEncoder(tokenizer_path))
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, n, ids): the ids of each whole text and the end id as little-endian bytes, 2 to an id where the vocabulary allows."""
+    """(doc_id, n, ids, counts): the ids of each whole text and the end id as little-endian bytes, 2 to an id where the vocabulary allows.
+
+    The last row of each task has counts instead, all else null: how often the task met each id, as 64-bit integers."""
 
     def run(batches):
         import pyarrow as pa
 
         enc = encoder(tokenizer_path)
-        end = np.array([end_id], enc.dtype).tobytes()
-        width = enc.dtype.itemsize
+        width, end = enc.dtype.itemsize, np.array([end_id], enc.dtype).tobytes()
+        total = np.zeros(max(enc.tokenizer.get_vocab_size(), end_id + 1), np.int64)
+        names = ["doc_id", "n", "ids", "counts"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids = [x + end for x in enc(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+            for part in common.by_bytes(batch, 1, CHUNK_BYTES):
+                n, ids = enc.encode(part.column(1), end)
+                total += np.bincount(ids, minlength=len(total))
+                offsets = np.append(0, np.cumsum(n) * width)
+                raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), raw.cast(pa.binary()), pa.nulls(len(n), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary())), pa.array([total.tobytes()])], names)
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n long, ids binary")
+    return chosen.mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
 
 
 # ---------------------------------------------------------------- the code
@@ -230,7 +285,7 @@ def read_blocks(stream, id_of_rank: np.ndarray):
 # ---------------------------------------------------------------- writing and reading
 
 
-def id_counts(tokens: DataFrame, width: int) -> list[tuple[int, int]]:
+def id_counts(tokens: DataFrame) -> list[tuple[int, int]]:
     """(id, occurrences) of all tokens; at most one row for each id of the vocabulary, whatever the input."""
 
     def run(batches):
@@ -238,14 +293,13 @@ def id_counts(tokens: DataFrame, width: int) -> list[tuple[int, int]]:
 
         total = np.zeros(0, np.int64)
         for batch in batches:
-            n = np.bincount(np.frombuffer(b"".join(x.as_buffer() for x in batch.column(0)), f"<u{width}"))
-            if len(n) > len(total):
-                total = np.pad(total, (0, len(n) - len(total)))
-            total[: len(n)] += n
+            for x in batch.column(0):
+                n = np.frombuffer(x.as_buffer(), np.int64)
+                total = n + (total if len(total) else 0)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    counted = tokens.select("ids").mapInArrow(run, "id long, n long")
+    counted = tokens.filter("counts is not null").select("counts").mapInArrow(run, "id long, n long")
     return [(r.id, r.n) for r in counted.groupBy("id").agg(F.sum("n").alias("n")).collect()]
 
 
@@ -254,7 +308,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0
     spark = docs.sparkSession
     width = encoder(tokenizer_path).dtype.itemsize
     tokens = common.materialise(tokenize(docs, tokenizer_path, end_id), "tokens")
-    ranked = sorted(id_counts(tokens, width), key=lambda x: (-x[1], x[0]))
+    ranked = sorted(id_counts(tokens), key=lambda x: (-x[1], x[0]))
     id_of_rank = np.array([i for i, _ in ranked], "<u4")
     common.put_file(f"{out}/ranks.bin", lambda f: f.write(id_of_rank.tobytes()))
     rank_of_id = np.zeros(int(id_of_rank.max()) + 1 if len(id_of_rank) else 1, np.uint32)
@@ -290,7 +344,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0
         common.put_file(name, write)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([name]), pa.array([totals[0]], pa.int64()), pa.array([totals[1]], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
 
-    keyed = tokens.withColumn("tie", F.xxhash64("ids"))
+    keyed = tokens.filter("counts is null").withColumn("tie", F.xxhash64("ids"))
     in_order = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "n", "ids")
     shards = in_order.mapInArrow(run, "shard long, path string, n_docs long, n_ids long").collect()  # a row for each shard
     start, index = 0, []
