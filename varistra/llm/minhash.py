@@ -31,8 +31,8 @@ from varistra.llm.components import components
 BANDS, ROWS = 32, 5
 BLOCK, BLOCK_TEXTS = 64, 256
 STARS = 1
-#: Words whose hashes a worker keeps.
-CACHE_WORDS = 500_000
+#: Words whose hashes a worker keeps (about 100 bytes each).
+CACHE_WORDS = 200_000
 #: Words of the documents that are signed at a time.
 BATCH_WORDS = 100_000
 NULL_ID = -(1 << 63)
@@ -52,7 +52,8 @@ class WordHashes(dict):
         return out
 
 
-HASHES = WordHashes()
+def word_hashes() -> WordHashes:
+    return common.worker_cache("words", None, WordHashes)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,7 +68,7 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
     width = min(k, len(h))
     n = len(h) - width + 1
     out = np.full(n, width, np.uint64)
