@@ -7,18 +7,22 @@ in rows of one label only outweighs common words that only go with the length of
 of unit length with one constant place, so texts without any feature are nearest to labelled texts without any. Equal
 vectors are one example with its counts of labels.
 
-A query's cosines are exact: the rows of each of its features are added up, a feature of at least 1/``COMMON`` of the
-examples as a column of a matrix, any other from its postings; all examples that may be among the k nearest are worked
-out again in double precision; ties at the k-th are all taken. Votes count by a power of the cosine and by how many
-labelled rows each kept one stands for. The share of toxic votes is mapped to a probability by isotonic regression on
-the labelled rows, each left out of its own vote. Evidence: the nearest examples' doc_ids and cosines.
+The examples stand in a block-max inverted index: alike ones together in blocks of at most ``BLOCK``, each block with
+its own postings and each feature's largest weight in it. A query visits the ``FIRST`` blocks by the largest cosine they
+could hold (the sum over its features of weight times block maximum), then those that could hold one over the k-th found.
+Within a visited block features of at least 1/``COMMON`` of all examples are products with a matrix, all others come
+from postings. Cosines are exact: all examples that may be among the k nearest are worked out again in double
+precision; ties at the k-th are all taken. Votes count by a power of the cosine and by how many labelled rows each
+kept one stands for. The share of toxic votes is mapped to a probability by isotonic regression on the labelled rows,
+each left out of its own vote. Evidence: the nearest examples' doc_ids and cosines.
 
 The labelled sample is bounded: at most ``PER_LABEL`` rows of each label, those with the smallest hash of doc_id;
 everything else reads whole texts of all rows. doc_id, lang, source and labels are no inputs of a score.
 
 Defined results. A null or empty text has no feature and gets the score of labelled texts without any. Labels other
 than 0 and 1, or null, or without a document are left out; a doc_id that is labelled both ways counts as both. Without
-any labelled row every score is 0. Repeated rows are scored alike. An empty table gives an empty result.
+any labelled row every score is 0. Repeated rows are scored alike. A column of docs that is called like the result is an
+error, any other stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,11 +36,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_LABEL = 4000
+from varistra.llm import common
+
+PER_LABEL = 1500
 MIN_DF = 3
 K = 15
-COMMON = 16
-CHUNK = 128
+BLOCK = 256
+COMMON = 8
+FIRST = 3
 POWER = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 STARTS = (5, 6, 7)
@@ -141,59 +148,91 @@ class Vectors:
         return self.of(*self.counts(text))
 
 
-class Postings:
-    """Sparse rows: by feature for products with queries, by row for exact cosines."""
-
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
+def alike(rows: np.ndarray, most: int) -> list[np.ndarray]:
+    """Row numbers of a matrix in groups of at most most, by halving along each group's main direction."""
+    out, open_groups = [], [np.arange(len(rows))]
+    while open_groups:
+        group = open_groups.pop()
+        if len(group) <= most:
+            out.append(group)
+            continue
+        x = rows[group] - rows[group].mean(0)
+        way = x[np.argmax((x * x).sum(1))].copy()
+        for _ in range(8):
+            way = x.T @ (x @ way)
+            way /= max(np.linalg.norm(way), 1e-30)
+        along = x @ way
+        left = along > 0
+        if not 0.1 <= left.mean() <= 0.9:
+            left = np.zeros(len(group), bool)
+            left[np.argsort(along, kind="stable")[: len(group) // 2]] = True
+        open_groups += [group[left], group[~left]]
+    return out
+
+
+class BlockIndex:
+    """Sparse rows as a block-max inverted index, and by row for exact cosines."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int, most: int = BLOCK):
         n = np.array([len(at) for at, _ in rows], np.int64)
         self.shape, self.ends = (len(rows), width), np.concatenate([[0], np.cumsum(n)])
         self.columns = np.concatenate([at for at, _ in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
         self.values = np.concatenate([w for _, w in rows]).astype(np.float32) if rows else np.zeros(0, np.float32)
-        row = np.repeat(np.arange(len(rows), dtype=np.int32), n)
-        size = np.bincount(self.columns, minlength=width)
-        common = np.flatnonzero(size * COMMON >= max(1, len(rows)))
+        self.full = None
+        row = np.repeat(np.arange(len(rows)), n)
+        often = np.flatnonzero(np.bincount(self.columns, minlength=width) * COMMON >= max(1, len(rows)))
         self.place = np.full(width, -1, np.int32)
-        self.place[common] = np.arange(len(common))
+        self.place[often] = np.arange(len(often))
         at = self.place[self.columns]
-        self.common = np.zeros((len(common), len(rows)), np.float32)
-        self.common[at[at >= 0], row[at >= 0]] = self.values[at >= 0]
+        wide = np.zeros((len(rows), len(often)), np.float32)
+        wide[row[at >= 0], at[at >= 0]] = self.values[at >= 0]
+        groups = alike(wide, most) if rows else []
+        #: Rows in the order of their blocks, where each block's begin, and each block's matrix of common features.
+        self.names = np.concatenate(groups) if groups else np.zeros(0, np.int64)
+        self.edges = np.concatenate([[0], np.cumsum([len(g) for g in groups])]).astype(np.int64)
+        self.wide = [np.ascontiguousarray(wide[g].T) for g in groups]
+        #: Largest weights by feature and block; postings by block and feature (place of the row, weight), and where those of each begin.
+        self.most = np.zeros((width, len(groups)), np.float32)
+        of_row, place = np.repeat(np.arange(len(groups)), np.diff(self.edges)), np.zeros(len(rows), np.int64)
+        place[self.names] = np.arange(len(rows))
+        block = of_row[place[row]]
+        np.maximum.at(self.most, (self.columns, block), self.values)
         rest = np.flatnonzero(at < 0)
-        rest = rest[np.argsort(self.columns[rest], kind="stable")]
-        self.begin = np.searchsorted(self.columns[rest], np.arange(width + 1))
-        self.row, self.value, self.wide = row[rest], self.values[rest], None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"wide": None}
-
-    def times(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Products of each query with each row, in single precision."""
-        if self.wide is None:
-            self.wide = self.row.astype(np.int64), self.value.astype(np.float64)  # as bincount wants them
-        row, value = self.wide
-        of_common = np.zeros((len(queries), len(self.common)), np.float32)
-        out = np.empty((len(queries), self.shape[0]), np.float32)
-        for i, (at, weight) in enumerate(queries):
-            at, weight = np.asarray(at, np.int64), np.asarray(weight, np.float64)
-            place = self.place[at]
-            of_common[i, place[place >= 0]] = weight[place >= 0]
-            at, weight = at[place < 0], weight[place < 0]
-            begin = self.begin[at]
-            n = self.begin[at + 1] - begin
-            found = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out[i] = np.bincount(row[found], value[found] * np.repeat(weight, n), self.shape[0])
-        out += of_common @ self.common
-        return out
+        key = block[rest] * (width + 1) + self.columns[rest]
+        rest, key = rest[np.argsort(key, kind="stable")], np.sort(key)
+        self.begin = np.searchsorted(key, np.arange(len(groups) * (width + 1))).astype(np.int32).reshape(len(groups), width + 1)
+        self.postings = place[row[rest]] << 32 | self.values[rest].view(np.uint32)
+
+    def bounds(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The largest product that a row of each block could have with a query."""
+        return weight.astype(np.float32) @ self.most[at]
+
+    def near(self, visit: np.ndarray, at: np.ndarray, weight: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, products) of some blocks with a query, in single precision; at, weight: its features that aren't common."""
+        first = self.begin[visit[:, None], at].reshape(-1)
+        n = self.begin[visit[:, None], at + 1].reshape(-1) - first
+        here = np.flatnonzero(n)
+        first, n = first[here], n[here]
+        found = np.repeat(first - np.cumsum(n, dtype=np.int32) + n, n)
+        found += np.arange(len(found), dtype=np.int32)
+        held = self.postings[found]
+        value = held.astype(np.uint32).view(np.float32) * np.repeat(np.tile(weight, len(visit))[here], n)
+        out = np.bincount(held >> 32, value, self.shape[0])
+        spans = [(int(self.edges[b]), int(self.edges[b + 1])) for b in visit]
+        names = np.concatenate([self.names[a:b] for a, b in spans])
+        return names, np.concatenate([out[a:b] + often @ self.wide[k] for k, (a, b) in zip(visit.tolist(), spans)])
 
     def exact(self, rows: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Products of one query with some rows, in double precision: the same wherever they are worked out."""
-        full = np.zeros(self.shape[1])
-        full[at] = weight
-        spans = zip(self.ends[rows].tolist(), self.ends[rows + 1].tolist())
-        return np.array([float(np.dot(self.values[b:e].astype(np.float64), full[self.columns[b:e]])) for b, e in spans])
-
-    def __matmul__(self, query: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(query)
-        return self.times([(at, query[at])])[0]
+        if self.full is None:
+            self.full = np.zeros(self.shape[1])
+        self.full[at] = weight
+        first, n = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
+        begins = np.cumsum(n) - n
+        found = np.repeat(first - begins, n) + np.arange(n.sum())
+        out = np.add.reduceat(self.values[found] * self.full[self.columns[found]], begins) if len(rows) else np.zeros(0)
+        self.full[at] = 0.0
+        return out
 
 
 class Examples:
@@ -208,7 +247,7 @@ class Examples:
             g[4] += 1
             g[5] = min(g[5], doc_id)
         found = sorted(groups.items(), key=lambda g: g[0])
-        self.matrix = Postings([(g[0], g[1]) for _, g in found], width)
+        self.index = BlockIndex([(g[0], g[1]) for _, g in found], width)
         self.votes = np.array([[g[2], g[3]] for _, g in found]).reshape(-1, 2)
         self.rows, self.ids = np.array([g[4] for _, g in found]), np.array([g[5] for _, g in found])
         self.known = {key: row for row, (key, _) in enumerate(found)}
@@ -217,10 +256,14 @@ class Examples:
     def key(at: np.ndarray, weight: np.ndarray) -> bytes:
         return hashlib.blake2b(at.tobytes() + weight.tobytes(), digest_size=16).digest()
 
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, leave: int | None = None, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest labelled rows and all that tie with the last, nearest first; near: the query's products."""
+    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest labelled rows and all that tie with the last, nearest first."""
         at, weight = np.asarray(at, np.int64), np.asarray(weight, np.float64)
-        near = self.matrix.times([(at, weight)])[0] if near is None else near
+        index = self.index
+        place = index.place[at]
+        often = np.zeros(index.wide[0].shape[0], np.float32)
+        often[place[place >= 0]] = weight[place >= 0]
+        rare_at, rare = at[place < 0], weight[place < 0]
 
         def kth(names: np.ndarray, cosines: np.ndarray) -> float:
             order = np.argsort(-cosines, kind="stable")
@@ -228,18 +271,26 @@ class Examples:
             full = np.flatnonzero(np.cumsum(held[order]) >= k)
             return float(cosines[order[full[0]]]) if len(full) else -1.0
 
-        most = min(len(near), k + 1)  # each example but the one left out holds a row at least
-        top = np.argpartition(-near, most - 1)[:most]
-        names = np.flatnonzero(near >= kth(top, near[top]) - 1e-5)
-        cosines = self.matrix.exact(names, at, weight)
+        bounds = index.bounds(at, weight)
+        order = np.argsort(-bounds, kind="stable")
+        names, cosines, least = np.zeros(0, np.int64), np.zeros(0), -1.0
+        for visit in (order[:FIRST], order[FIRST:]):  # the second lot holds only blocks that may yet have one of the k nearest
+            visit = visit[bounds[visit] >= least - 2e-5]
+            if len(visit):
+                found = index.near(visit, rare_at, rare, often)
+                names, cosines = np.append(names, found[0]), np.append(cosines, found[1])
+                keep = cosines >= np.partition(cosines, -min(k + 1, len(cosines)))[-min(k + 1, len(cosines))] - 2e-5
+                names, cosines = names[keep], cosines[keep]  # each example but the one left out holds a row at least
+                least = kth(names, cosines)
+        cosines = index.exact(names, at, weight)
         keep = cosines >= kth(names, cosines) - 1e-6
         names, cosines = names[keep], cosines[keep]
         order = np.lexsort((self.ids[names], -np.round(cosines, 6)))
         return names[order], cosines[order]
 
-    def vote(self, at: np.ndarray, weight: np.ndarray, k: int, leave: tuple[int, int, float] | None = None, near: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, at: np.ndarray, weight: np.ndarray, k: int, leave: tuple[int, int, float] | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         """(share of toxic votes, examples, cosines); leave: an example, label and weight that don't vote."""
-        names, cosines = self.nearest(at, weight, k, leave[0] if leave else None, near)
+        names, cosines = self.nearest(at, weight, k, leave[0] if leave else None)
         votes = self.votes[names].copy()
         if leave:
             votes[names == leave[0], leave[1]] -= leave[2]
@@ -271,47 +322,33 @@ class Model:
         self.examples = Examples(((*row[:3], *vector(row)) for row in rows), len(features) + 1) if rows else None
         self.memo: dict = {}
         if rows:
-            raw = np.empty(len(rows))
             votes: dict = {}
-            for begin, chunk in zip(range(0, len(rows), CHUNK), chunks(rows)):
-                vectors = [vector(row) for row in chunk]
-                own = [self.examples.known[self.examples.key(*v)] for v in vectors]
-                new = {(e, row[1]): (v, row) for e, v, row in zip(own, vectors, chunk) if (e, row[1]) not in votes}
-                for (e, toxic), (v, row), near in zip(new, new.values(), self.examples.matrix.times([v for v, _ in new.values()])):
-                    votes[e, toxic] = self.examples.vote(*v, K, (e, toxic, 1 / row[2]), near)[0]
-                raw[begin : begin + len(chunk)] = [votes[e, row[1]] for e, row in zip(own, chunk)]
+            raw = np.empty(len(rows))
+            for i, row in enumerate(rows):
+                v = vector(row)
+                own = self.examples.known[self.examples.key(*v)], row[1]
+                if own not in votes:
+                    votes[own] = self.examples.vote(*v, K, (*own, 1 / row[2]))[0]
+                raw[i] = votes[own]
             self.knots = isotonic(raw, np.array([x[1] for x in rows], float), np.array([1 / x[2] for x in rows]))
-            self.examples.matrix.wide = None
             self.examples.known.clear()
 
-    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
-        """(score, evidence doc_ids, their cosines) of each text."""
+    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
+        """(score, evidence doc_ids, their cosines) of a text."""
         if self.examples is None:
-            return [(0.0, [], [])] * len(texts)
-        out = []
-        for chunk in chunks(texts):
-            keys, new = [], {}
-            for text in chunk:
-                at, times = self.vectors.counts(text)
-                keys.append(self.examples.key(at, times))
-                if keys[-1] not in self.memo:
-                    new.setdefault(keys[-1], (at, times))
-            if len(self.memo) > 50_000:
-                self.memo = {k: self.memo[k] for k in keys if k in self.memo}
-            asked = [self.vectors.of(*x) for x in new.values()]
-            for key, (at, weight), near in zip(new, asked, self.examples.matrix.times(asked) if asked else []):
-                share, names, cosines = self.examples.vote(at, weight, K, near=near)
-                self.memo[key] = (float(np.interp(share, *self.knots)), self.examples.ids[names[:5]].tolist(), [round(float(c), 6) for c in cosines[:5]])
-            out += [self.memo[k] for k in keys]
-        return out
-
-
-def chunks(rows: list) -> list[list]:
-    return [rows[i : i + CHUNK] for i in range(0, len(rows), CHUNK)]
+            return 0.0, [], []
+        at, times = self.vectors.counts(text)
+        key = self.examples.key(at, times)
+        if key not in self.memo:
+            if len(self.memo) > 20_000:
+                self.memo.clear()
+            share, names, cosines = self.examples.vote(*self.vectors.of(at, times), K)
+            self.memo[key] = (float(np.interp(share, *self.knots)), self.examples.ids[names[:5]].tolist(), [round(float(c), 6) for c in cosines[:5]])
+        return self.memo[key]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    sample = labelled_sample(docs, labels, per_label)
+    sample = common.materialise(labelled_sample(docs, labels, per_label), "labelled")
     features = select_features(sample)
     sent = docs.sparkSession.sparkContext.broadcast(Vectors(features, 1))  # the features of the sample
 
@@ -326,18 +363,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     rows = sample.select("doc_id", "toxic", "share", "text").mapInArrow(run, "doc_id long, toxic int, share double, places binary, times binary")
     found = sorted((r[0], r[1], r[2], bytes(r[3]), bytes(r[4])) for r in rows.collect())
     sent.destroy()
+    common.remove(docs.sparkSession, sample.scratch_path)
     return Model(features, found)
 
 
 def score(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, column: str = "toxicity") -> DataFrame:
     """docs with a column struct(score double, evidence array<long>, cosines array<double>). docs' other columns stay."""
+    if column in docs.columns:
+        raise ValueError(f"docs has a column {column} already")
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_label))  # at most PER_LABEL vectors a label, and their features
 
     @F.pandas_udf("struct<score: double, evidence: array<bigint>, cosines: array<double>>")
     def judge(texts):
         import pandas as pd
 
-        found = sent.value.scores(list(texts))
+        found = [sent.value.score(t) for t in texts]
         return pd.DataFrame({"score": [x[0] for x in found], "evidence": [x[1] for x in found], "cosines": [x[2] for x in found]})
 
     return docs.withColumn(column, judge(F.col("text").cast("string")))
