@@ -104,11 +104,13 @@ def test_search_and_locus(spark):
     assert [(r.id, r.distance) for r in near.collect()] == [(1, 1), (2, 1)]
 
 
-def test_group_pairs_refuses_huge_groups(spark):
-    m = spark.createDataFrame([("g", i) for i in range(6)], "g string, m int")
-    assert R.group_pairs(m, "g", "m").count() == 15
-    with pytest.raises(ValueError):
-        R.group_pairs(m, "g", "m", most=5)
+def test_group_pairs_in_blocks(spark):
+    m = spark.createDataFrame([(g, i) for g, n in ((1, 40), (2, 6), (3, 1)) for i in range(100 * g, 100 * g + n)] + [(1, 100), (2, 100)], "g int, m int")
+    whole = {(r.a, r.b) for r in R.group_pairs(m, "g", "m").collect()}
+    assert len(whole) == 40 * 39 // 2 + 7 * 6 // 2
+    for block in (1, 5, 39):
+        got = R.group_pairs(m, "g", "m", block=block).collect()
+        assert len(got) == len(whole) and {(r.a, r.b) for r in got} == whole
 
 
 def test_neighbours_ties_zero_and_blocks(spark, monkeypatch):
@@ -190,3 +192,36 @@ def test_beta_symmetry(xs, b):
     for a in xs:
         assert special.betainc(a, b, 0.3) + special.betainc(b, a, 0.7) == pytest.approx(1, abs=1e-9)
     assert math.isclose(special.gammaincc(1.0, b), math.exp(-b), rel_tol=1e-9)
+
+
+def test_benjamini_hochberg_over_ranges(spark):
+    rng = np.random.default_rng(1)
+    rows = [(g, i, float(x)) for g, n in (("a", 200), ("b", 7), (None, 3)) for i, x in enumerate(np.round(rng.random(n) ** 2, 2))] + [("a", 999, None)]
+    got = {(r.g, r.i): r.fdr for r in R.benjamini_hochberg(spark.createDataFrame(rows, "g string, i int, p double"), "p", "i", ["g"], parts=5).collect()}
+    assert len(got) == len(rows) and got["a", 999] is None
+    for g in ("a", "b", None):
+        own = sorted((p, i) for h, i, p in rows if h == g and p is not None)
+        low = 1.0
+        for rank in range(len(own), 0, -1):
+            p, i = own[rank - 1]
+            low = min(low, p * len(own) / rank)
+            if rank == 1 or own[rank - 2][0] != p:  # ties share the value of the last of them
+                pass
+            assert got[g, i] == pytest.approx(min(low, *(p * len(own) / (j + 1) for j, x in enumerate(own) if x[0] == p)))
+
+
+def test_row_differences_skip_nulls(spark):
+    rows = [(1, [1.0, None, 3.0, float("nan")], [2.0, 5.0, 1.0, 1.0]), (2, [None], [1.0]), (3, [0.0, 0.0], [1.0, 2.0])]
+    from varistra.functions import scalar as S
+
+    df = spark.createDataFrame(rows, "i int, a array<double>, b array<double>")
+    got = {r.i: r for r in df.select("i", *[c.alias(n) for n, c in S.row_differences(F.col("a"), F.col("b")).items()]).collect()}
+    assert (got[1].mean_diff, got[1].median_diff, got[1].l2) == (1.5, 1.5, pytest.approx(5**0.5)) and got[1].cosine == pytest.approx(5 / (10 * 5) ** 0.5)
+    assert got[2].mean_diff is None and got[2].cosine is None and got[3].cosine is None and got[3].mean_diff == 1.5
+
+
+def test_search_modes(spark):
+    df = spark.createDataFrame([(1, "rs12", 7, "8", "ABC", 0.5), (2, "rs12", 8, "9", "RS12", 0.9), (3, None, None, None, "abcd", 0.7)], "id int, rs string, a long, b string, g string, s double")
+    find = lambda q: [r.id for r in R.search(df, q, "rs", ["a", "b"], "g", "s", "id").collect()]
+    assert find("RS12 ") == [2, 1] and find("8") == [] and find("08") == [] and find("abc") == [1, 3] and find("a") == []
+    assert [r.id for r in R.search(df.withColumn("a", F.col("a") + 10), "18", "rs", ["a", "b"], "g", "s", "id").collect()] == [2]

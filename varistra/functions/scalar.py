@@ -14,6 +14,11 @@ TIERS = ((0.9, "very high"), (0.75, "high"))
 LOW_TIERS = ((0.1, "very low"), (0.25, "low"))
 CALIBRATION = ((0.0, 0.1, 1.8), (0.1, 0.3, 15.6), (0.3, 0.5, 44.4), (0.5, 0.7, 69.6), (0.7, 0.9, 88.1), (0.9, 1.01, 96.7))
 AMINO = "ACDEFGHIKLMNPQRSTVWY"
+CODING_IMPACTS = ("HIGH", "MODERATE")
+CODING_TERMS = ("missense", "frameshift", "stop", "splice", "inframe", "start_lost", "stop_lost")
+CODING_DISPLAY_TERMS = ("missense", "frameshift", "stop", "splice", "inframe", "start lost", "stop lost")
+CONSEQUENCE_BINS = {"Missense": "missense", "Nonsense": "nonsense_like", "Frameshift": "frameshift", "Splice Donor": "splice", "Splice Acceptor": "splice", "Synonymous": "synonymous"}
+ACRONYMS = (("Cpg", "CpG"), ("Plddt", "pLDDT"), ("Cds", "CDS"), ("Utr", "UTR"), ("Ccre", "cCRE"), ("Iii", "III"), ("Ii", "II"))
 
 
 def display_enum(c: Column, names: dict[str, str]) -> Column:
@@ -193,3 +198,79 @@ def fnv1a(texts):
 
 def fnv1a_hex(c: Column) -> Column:
     return F.pandas_udf(fnv1a, "string")(c)
+
+
+def coding(keys: list[Column], impact: Column, consequence: Column, shown: Column) -> Column:
+    """P10: all keys non-blank, and a coding impact or a coding term in the consequence or its display text; never null."""
+    filled = F.lit(True)
+    for k in keys:
+        filled = filled & (F.coalesce(F.trim(k.cast("string")), F.lit("")) != "")
+    has = lambda c, terms: F.coalesce(F.lower(c), F.lit("")).rlike("|".join(terms))  # noqa: E731 - plain words, no pattern characters
+    return filled & (F.coalesce(impact.isin(*CODING_IMPACTS), F.lit(False)) | has(consequence, CODING_TERMS) | has(shown, CODING_DISPLAY_TERMS))
+
+
+def clinical_class(c: Column) -> Column:
+    """Pathogenic or benign where the text has one word and not the other (any case), else null."""
+    bad, good = F.contains(F.lower(c), F.lit("pathogenic")), F.contains(F.lower(c), F.lit("benign"))
+    return F.when(bad & ~good, "pathogenic").when(good & ~bad, "benign")
+
+
+def title_case(c: Column) -> Column:
+    """A capital after anything but a letter, small letters after letters."""
+    letters = F.split(c, "")
+    before = lambda i: F.coalesce(F.get(letters, i - 1), F.lit(" ")).rlike(r"\p{L}")
+    return F.array_join(F.transform(letters, lambda x, i: F.when(before(i), F.lower(x)).otherwise(F.upper(x))), "")
+
+
+def head_display(c: Column, overrides: dict[str, str], prefixes: tuple[str, ...]) -> Column:
+    """an override, else without a final ``_c`` and the first known prefix, in title case with acronyms mended.
+
+    A rest of at most two characters keeps the prefix before it in capitals; accessions (``PF...``) stay as they are."""
+    base = F.regexp_replace(c, "_c$", "")
+    cut = F.coalesce(*(F.when(F.startswith(base, F.lit(p)), F.lit(p)) for p in prefixes), F.lit("")) if prefixes else F.lit("")
+    rest = F.substring(base, F.length(cut) + 1, F.length(base))
+    short = F.concat_ws(" ", title_case(F.replace(F.regexp_replace(cut, "_+$", ""), F.lit("_"), F.lit(" "))), F.upper(rest))
+    spaced = F.replace(rest, F.lit("_"), F.lit(" "))
+    shown = title_case(spaced)
+    for wrong, right in ACRONYMS:
+        shown = F.replace(shown, F.lit(wrong), F.lit(right))
+    known = F.create_map(*(F.lit(x) for kv in overrides.items() for x in kv)) if overrides else F.create_map(F.lit(""), F.lit(""))
+    return F.coalesce(F.try_element_at(known, c), F.when((cut != "") & (F.length(rest) <= 2), short).when(F.startswith(spaced, F.lit("PF")), spaced).otherwise(shown))
+
+
+def consequence_bin(shown: Column) -> Column:
+    """one of five bins, null for any other consequence."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in CONSEQUENCE_BINS.items() for x in kv)), shown)
+
+
+def hgvs_consistent(protein: Column, consequence: Column) -> Column:
+    """false for an unchanged protein (``=``) under a missense consequence and for a changed one under a synonymous one."""
+    p = F.coalesce(protein, F.lit(""))
+    equal = F.contains(p, F.lit("="))
+    clash = (equal & (consequence == "missense_variant")) | (~equal & (p != "") & (consequence == "synonymous_variant"))
+    return ~F.coalesce(clash, F.lit(False))
+
+
+def population_widths(frequencies: dict[str, Column]) -> dict[str, Column]:
+    """each population's frequency as a percentage of the largest (1e-6 at least), 2 at least where it was seen, else 0."""
+    most = F.greatest(F.lit(1e-6), *(F.coalesce(c, F.lit(0.0)) for c in frequencies.values()))
+    return {k: F.when(c > 0, F.greatest(F.lit(2.0), c / most * 100)).otherwise(0.0) for k, c in frequencies.items()}
+
+
+def consensus(flags: list[Column]) -> tuple[Column, Column]:
+    """how many predictors call it damaging, and how many have a call."""
+    return sum((F.coalesce(f.cast("int"), F.lit(0)) for f in flags), F.lit(0)), sum((f.isNotNull().cast("int") for f in flags), F.lit(0))
+
+
+def row_differences(a: Column, b: Column) -> dict[str, Column]:
+    """Mean and median absolute difference, their L2 and cosine of two number arrays over places where neither is null or NaN.
+
+    All are null without such a place; the cosine with fewer than two or where one side is 0."""
+    pairs = F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]))
+    num = lambda v: v.cast("double")
+    total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + f(num(p["x"]), num(p["y"])))
+    n, sizes = F.size(pairs), F.array_sort(F.transform(pairs, lambda p: F.abs(num(p["x"]) - num(p["y"]))))
+    middle = (F.get(sizes, F.floor((n - 1) / 2).cast("int")) + F.get(sizes, F.floor(n / 2).cast("int"))) / 2
+    norms = F.sqrt(total(lambda x, y: x * x)) * F.sqrt(total(lambda x, y: y * y))
+    some = lambda c: F.when(n > 0, c)
+    return {"mean_diff": some(total(lambda x, y: F.abs(x - y)) / n), "median_diff": some(middle), "l2": some(F.sqrt(total(lambda x, y: (x - y) * (x - y)))), "cosine": F.when((n > 1) & (norms > 0), total(lambda x, y: x * y) / norms)}

@@ -46,3 +46,16 @@ def head_stats(long: DataFrame, head: str = "head", value: str = "value", least:
 def abs_z(long: DataFrame, stats: DataFrame, head: str = "head", value: str = "value") -> DataFrame:
     """|value - mean| / std to 2 places; null where the deviation is 0. stats has a row for each head and is broadcast."""
     return long.join(F.broadcast(stats.select(head, "mean", "std")), head).withColumn("z", F.when(F.col("std") > 0, F.round(F.abs(F.col(value) - F.col("mean")) / F.col("std"), 2)))
+
+
+def density(df: DataFrame, cohort: str, value: str, n: int, lo: float, hi: float) -> DataFrame:
+    """(cohort, bin, density): counts over rows and width, so each cohort's densities times the width sum to 1; empty bins aren't there."""
+    counts = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(cohort, bin_of(F.col(value), n, lo, hi).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    total = counts.groupBy(cohort).agg(F.sum("c").alias("total"))
+    return counts.join(total, cohort).select(cohort, "bin", (F.col("c") / (F.col("total") * ((hi - lo) / n))).alias("density"))
+
+
+def cell_fraction(df: DataFrame, cells: DataFrame, x: str, y: str, n: int = 10, missing: float = 0.5) -> DataFrame:
+    """df with fraction: the positive share of the heatmap cell (xb, yb, pct) that a row falls in, ``missing`` without one."""
+    keyed = df.withColumns({"xb": bin_of(F.col(x), n, 0.0, 1.0), "yb": bin_of(F.col(y), n, 0.0, 1.0)})
+    return keyed.join(cells.select("xb", "yb", (F.col("pct") / 100).alias("fraction")), ["xb", "yb"], "left").fillna(missing, ["fraction"]).drop("xb", "yb")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varistra.sources import shared
+
 
 def band_join(left: DataFrame, right: DataFrame, key: list[str], lpos: str, rpos: str, radius: int) -> DataFrame:
     """Inner join of rows with equal key whose positions differ by at most radius (0 counts as 1).
@@ -38,12 +40,20 @@ def average_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFra
     return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2)
 
 
+def range_of(value: Column, cuts: list[float], first: int = 0) -> Column:
+    """How many of the rising cuts are under the value, by halving: a generated expression of few comparisons."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(value <= cuts[mid], range_of(value, cuts[:mid], first)).otherwise(range_of(value, cuts[mid + 1 :], first + mid + 1))
+
+
 def overall_rank(df: DataFrame, value: str, name: str, parts: int = 64) -> DataFrame:
     """Average-tie ranks over a whole table without one task that sorts it: distinct values are counted, cut in ranges at
     approximate quantiles, summed up within each range, and joined back. Only the cuts and the ranges' sums are small."""
     counts = df.groupBy(F.col(value).cast("double").alias("or_value")).agg(F.count(F.lit(1)).alias("or_n")).filter("or_value is not null")
     cuts = sorted(set(counts.approxQuantile("or_value", [i / parts for i in range(1, parts)], 0.005)))
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("or_value"))) if cuts else F.lit(0)
+    place = range_of(F.col("or_value"), cuts)
     ranged = counts.withColumn("or_range", place)
     sums = ranged.groupBy("or_range").agg(F.sum("or_n").alias("or_sum"))
     before = sums.select("or_range", (F.sum("or_sum").over(Window.orderBy("or_range")) - F.col("or_sum")).alias("or_before"))  # at most ``parts`` rows
@@ -52,14 +62,29 @@ def overall_rank(df: DataFrame, value: str, name: str, parts: int = 64) -> DataF
     return df.join(ranks, F.col(value).cast("double") == F.col("or_value"), "left").drop("or_value")
 
 
-def benjamini_hochberg(df: DataFrame, p: str, key: str, by: list[str] | None = None, name: str = "fdr") -> DataFrame:
-    """Adjusted p, monotone from the largest p down, within 0 and 1; ties by key."""
-    w = Window.partitionBy(*(by or []))
-    order = w.orderBy(p, key)
-    ranked = df.withColumn("bh_rn", F.row_number().over(order)).withColumn("bh_n", F.count(F.lit(1)).over(w))
-    raw = F.col(p) * F.col("bh_n") / F.col("bh_rn")
-    below = F.min(raw).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return ranked.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), below))).drop("bh_rn", "bh_n")
+def benjamini_hochberg(df: DataFrame, p: str, key: str, by: list[str] | None = None, name: str = "fdr", parts: int = 64) -> DataFrame:
+    """Adjusted p, monotone from the largest p down, within 0 and 1; null where p is null. key isn't needed: equal p share a value.
+
+    Distinct p are counted and cut in ranges at approximate quantiles, so that no task sorts a whole group: counts run up
+    and minima run down within a range, and the ranges' own counts and minima, a few rows a group, carry both on."""
+    group = F.struct(F.lit(0).alias("all"), *(by or []))  # in a struct null groups are equal
+    counts = df.filter(F.col(p).isNotNull()).groupBy(group.alias("bh_g"), F.col(p).alias("bh_p")).agg(F.count(F.lit(1)).alias("bh_c"))
+    counts, _ = shared.stored(counts, "fdr")  # p may be costly, and is needed more than once
+    cuts = sorted(set(counts.approxQuantile("bh_p", [i / parts for i in range(1, parts)], 0.005)))
+    place = range_of(F.col("bh_p"), cuts)
+    ranged, on = counts.withColumn("bh_range", place), ["bh_g", "bh_range"]
+    sums = ranged.groupBy(*on).agg(F.sum("bh_c").alias("bh_sum"))
+    before = F.sum("bh_sum").over(Window.partitionBy("bh_g").orderBy("bh_range")) - F.col("bh_sum")
+    sums = sums.select(*on, before.alias("bh_before"), F.sum("bh_sum").over(Window.partitionBy("bh_g")).alias("bh_n"))
+    up, down = Window.partitionBy(*on).orderBy("bh_p"), Window.partitionBy(*on).orderBy(F.desc("bh_p"))
+    raw = F.col("bh_p") * F.col("bh_n") / (F.col("bh_before") + F.sum("bh_c").over(up))
+    ranked = ranged.join(sums, on).withColumn("bh_raw", raw).withColumn("bh_low", F.min("bh_raw").over(down))
+    later = ranked.groupBy(*on).agg(F.min("bh_raw").alias("bh_least"))
+    after = Window.partitionBy("bh_g").orderBy(F.desc("bh_range")).rowsBetween(Window.unboundedPreceding, -1)
+    later = later.select(*on, F.min("bh_least").over(after).alias("bh_later"))
+    low = F.greatest(F.lit(0.0), F.least(F.lit(1.0), "bh_low", "bh_later"))
+    out = ranked.join(later, on).select("bh_g", "bh_p", low.alias(name))
+    return df.join(out, (F.col(p) == F.col("bh_p")) & (group == F.col("bh_g")), "left").select(*df.columns, name)
 
 
 def locus_range(df: DataFrame, contig: str, position: str, key: str, at: tuple[str, int], pad: int, limit: int, not_id: int | None = None) -> DataFrame:
@@ -78,6 +103,38 @@ def tiered_search(df: DataFrame, column: str, query: str, score: str, key: str,
     return df.withColumn("tier", tier).filter("tier is not null").orderBy("tier", F.desc(score), key).limit(most)
 
 
+def search(df: DataFrame, query: str, rs_id: str, numbers: list[str], name: str, score: str, key: str, most: int = 30) -> DataFrame:
+    """The mode follows the query: ``rs`` and digits look up rs_id, digits alone look up any of numbers, anything else the
+    name by tiers; queries of fewer than two characters find nothing. Best score first, each row once, at most ``most``."""
+    q = query.strip()
+    if len(q) < 2:
+        return df.limit(0).withColumn("tier", F.lit(0))
+    if q.isascii() and q.isdigit():
+        found = df.filter(F.exists(F.array(*(F.col(c).cast("string") for c in numbers)), lambda x: x == q))
+    elif q[:2].lower() == "rs" and q.isascii() and q[2:].isdigit():
+        found = df.filter(F.col(rs_id) == q.lower())
+    else:
+        return tiered_search(df, name, q, score, key, most)
+    return found.withColumn("tier", F.lit(0)).orderBy(F.desc(score), key).limit(most)
+
+
+def position_lookup(asked: DataFrame, table: DataFrame, keys: list[str], values: list[str], fill: float) -> DataFrame:
+    """Asked with the values that stand in table under exactly its keys, fill where there are none. Keys of table are unique."""
+    marked = table.select(*keys, *values, F.lit(True).alias("pl_hit"))
+    out = asked.join(marked, keys, "left")
+    return out.withColumns({v: F.when(F.col("pl_hit"), F.col(v)).otherwise(F.lit(fill)) for v in values}).drop("pl_hit")
+
+
+def ranked_heads(long: DataFrame, key: str, score: Column, least: float, k: int) -> DataFrame:
+    """(key, head, score, rank): each key's k heads with the largest score, none under least. long(key, head, ...)."""
+    return top_k(long.withColumn("score", score).filter(F.col("score") >= least), [key], [F.desc("score"), F.asc("head")], k).select(key, "head", "score", "rank")
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """N rows without replacement, those with the smallest hash of seed and key, in order of key."""
+    return df.withColumn("ss_draw", F.xxhash64(F.lit(seed), key)).orderBy("ss_draw", key).limit(n).drop("ss_draw").orderBy(key)
+
+
 def canonical_pairs(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
     """Undirected pairs (u, v), u < v, each with its smallest value."""
     return df.filter(F.col(a) != F.col(b)).groupBy(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).agg(F.min(value).alias(value))
@@ -90,14 +147,16 @@ def ego_groups(edges: DataFrame, a: str, b: str, score: str, least_score: float,
     return both.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least_size).orderBy(F.desc("size"), "node").limit(most)
 
 
-def group_pairs(members: DataFrame, group: str, member: str, most: int = 400) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that share a group. Groups over ``most`` members are named in an error, not cut."""
+def group_pairs(members: DataFrame, group: str, member: str, block: int = 400) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that share a group. A large group is dealt in blocks of about ``block`` members, and
+    each two of its blocks meet in one place, so no task gets more than a block's square of its pairs."""
     sized = members.select(group, member).distinct()
-    large = sized.groupBy(group).count().filter(F.col("count") > most).limit(1).collect()
-    if large:
-        raise ValueError(f"group {large[0][0]} has {large[0][1]} members; pairs of it would be their square")
-    x, y = sized.withColumnRenamed(member, "a"), sized.withColumnRenamed(member, "b")
-    return x.join(y, group).filter("a < b").select("a", "b").distinct()
+    counts = sized.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("gp_blocks")).filter("gp_blocks > 1")
+    dealt = sized.join(counts, group, "left").withColumn("gp_blocks", F.coalesce("gp_blocks", F.lit(1)))
+    own, others = F.pmod(F.xxhash64(member), F.col("gp_blocks")).cast("int"), F.sequence(F.lit(0), F.col("gp_blocks") - 1)
+    x = dealt.select(group, F.col(member).alias("a"), own.alias("gp_i"), F.explode(others).alias("gp_j"))
+    y = dealt.select(group, F.col(member).alias("b"), F.explode(others).alias("gp_i"), own.alias("gp_j"))
+    return x.join(y, [group, "gp_i", "gp_j"]).filter("a < b").select("a", "b").distinct()
 
 
 def clip_interval(start: Column, end: Column, lo: int, hi: int) -> tuple[Column, Column, Column]:

@@ -36,23 +36,48 @@ def disjoint_split(df: DataFrame, group: str, share: float, seed: int) -> DataFr
     return df.withColumn("split", F.when(draw(seed, F.col(group)) / float(1 << 63) < share, "test").otherwise("train"))
 
 
-def bootstrap(df: DataFrame, group: str, value: str, replicates: int, seed: int, least: int = 10) -> DataFrame:
-    """One row: groups, mean, lo, hi: percentile interval of the mean over resampled groups; no interval under ``least`` groups.
+def bootstrap(df: DataFrame, group: str, value: str, replicates: int, seed: int, least: int = 10, by: list[str] | None = None) -> DataFrame:
+    """A row for each stratum (one row without ``by``): groups, mean, lo, hi: percentile interval of the mean over resampled
+    groups; no interval under ``least`` groups.
 
     Groups are reduced to sums first. Each replicate takes each group a Poisson(1) number of times by a hash, so the
     replicates are sums over groups in one aggregate and nothing is collected."""
-    sums = df.filter(F.col(value).isNotNull()).groupBy(group).agg(F.avg(F.col(value).cast("double")).alias("m"))
+    by = by or []
+    sums = df.filter(F.col(value).isNotNull()).groupBy(*by, group).agg(F.avg(F.col(value).cast("double")).alias("m"))
     u = draw(seed, F.col(group), F.col("rep")) / float(1 << 63)
     cuts = np.cumsum([np.exp(-1) / np.prod(np.arange(1, i + 1), initial=1) for i in range(9)])
     times = F.lit(9)
     for i in range(8, -1, -1):
         times = F.when(u < float(cuts[i]), i).otherwise(times)
-    reps = sums.select(group, "m", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("k", times)
-    means = reps.groupBy("rep").agg((F.sum(F.col("k") * F.col("m")) / F.greatest(F.lit(1), F.sum("k"))).alias("b"))
-    ci = means.agg(F.percentile("b", F.lit(0.025)).alias("lo"), F.percentile("b", F.lit(0.975)).alias("hi"))
-    point = sums.agg(F.count(F.lit(1)).alias("groups"), F.avg("m").alias("mean"))
-    both = point.crossJoin(ci)  # one row each
-    return both.select("groups", "mean", *[F.when(F.col("groups") >= least, F.col(c)).alias(c) for c in ("lo", "hi")])
+    reps = sums.select(*by, group, "m", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("k", times)
+    means = reps.groupBy(*by, "rep").agg((F.sum(F.col("k") * F.col("m")) / F.greatest(F.lit(1), F.sum("k"))).alias("b"))
+    ci = means.groupBy(*by).agg(F.percentile("b", F.lit(0.025)).alias("lo"), F.percentile("b", F.lit(0.975)).alias("hi"))
+    point = sums.groupBy(*by).agg(F.count(F.lit(1)).alias("groups"), F.avg("m").alias("mean"))
+    both = point.join(ci, by) if by else point.crossJoin(ci)  # one row each
+    return both.select(*by, "groups", "mean", *[F.when(F.col("groups") >= least, F.col(c)).alias(c) for c in ("lo", "hi")])
+
+
+def pair_score(pairs: DataFrame, z: DataFrame, weights: DataFrame) -> DataFrame:
+    """(u, v, score) of pairs(u, v): sum of w * |z_u + z_v| over weighted features, by sum of w; z(node, feature, z), weights(feature, w)."""
+    chosen = z.join(weights, "feature")
+    x = chosen.select(F.col("node").alias("u"), "feature", "w", F.col("z").alias("zu"))
+    y = chosen.select(F.col("node").alias("v"), "feature", F.col("z").alias("zv"))
+    both = pairs.select("u", "v").join(x, "u").join(y, ["v", "feature"])
+    return both.groupBy("u", "v").agg((F.sum(F.col("w") * F.abs(F.col("zu") + F.col("zv"))) / F.sum("w")).alias("score"))
+
+
+def split_halves(long: DataFrame, group: str, feature: str, value: str, repeats: int, half: Column | None = None, seed: int = 0) -> DataFrame:
+    """(repeat, features, rho): groups fall into two halves anew in each repeat; Spearman correlation of the halves' mean by feature.
+
+    half: true for the first half, an expression of the group and ``repeat``; a hash of both where none is given."""
+    from varistra.operators.stats import spearman
+
+    half = draw(seed, F.col(group), F.col("repeat")) % 2 == 0 if half is None else half
+    means = long.groupBy(group, feature).agg(F.avg(F.col(value).cast("double")).alias("m"))
+    many = means.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("half", half)
+    sides = many.groupBy("repeat", feature).agg(F.avg(F.when(F.col("half"), F.col("m"))).alias("a"), F.avg(F.when(~F.col("half"), F.col("m"))).alias("b"))
+    both = sides.filter("a is not null and b is not null")
+    return spearman(both, ["repeat"], "a", "b", 2).select("repeat", F.col("n").alias("features"), F.col("r").alias("rho"))
 
 
 def permutation_null(pairs: DataFrame, labels: DataFrame, key: str, label: str, replicates: int, seed: int) -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varistra.sources import shared
+
 #: A side under this many bytes of vectors is sent to all tasks at once, a larger one in parts of this size.
 BLOCK_BYTES = 64 << 20
 
@@ -34,44 +36,64 @@ def views(a: Column, rows: int, cols: int) -> tuple[Column, Column, Column]:
 def neighbours(df: DataFrame, key: str, vector: str, k: int, digits: int = 6) -> DataFrame:
     """(source, rank, target, similarity): exact cosine top k without the row itself, ties by target.
 
-    Every row is a query against all rows, in blocks: the table is cut in parts of at most BLOCK_BYTES by a hash, each
-    part is sent to all tasks in turn, and a task keeps each query's k best of the part. What parts found for a query
-    is at most k rows each, and meets in one window."""
-    spark = df.sparkSession
+    Every row is a query against all rows, in blocks: the table is written to the shared folder in parts of about
+    BLOCK_BYTES by a hash; a task takes queries of up to as many bytes, reads one part after another and keeps each
+    query's k best so far. Nothing goes through the driver, nothing is broadcast or shuffled after that."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id is not null and v is not null")
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    parts = max(1, -(-(n or 0) * (width or 1) * 4 // BLOCK_BYTES))
-
-    def against(sent):
-        def run(batches):
-            import pyarrow as pa
-
-            ids, matrix = sent.value
-            for batch in batches:
-                own, mine = np.array(batch.column(0).to_pylist(), np.int64), np.array(batch.column(1).to_pylist(), np.float64)
-                for at in range(0, len(own), 512):
-                    q = mine[at : at + 512]
-                    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-10)
-                    sim = np.round(q @ matrix.T, digits)
-                    sim[own[at : at + 512, None] == ids[None, :]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(ids, sim.shape), -sim), axis=1)[:, :k]
-                    best = np.take_along_axis(sim, order, 1)
-                    source = np.repeat(own[at : at + 512], order.shape[1])
-                    keep = np.isfinite(best.reshape(-1))
-                    yield pa.RecordBatch.from_arrays([pa.array(source[keep]), pa.array(ids[order].reshape(-1)[keep]), pa.array(best.reshape(-1)[keep])], ["source", "target", "similarity"])
-
-        return run
-
-    found = None
-    for i in range(parts):
-        part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).collect()  # at most about BLOCK_BYTES
-        matrix = np.array([r.v for r in part], np.float64).reshape(len(part), -1)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-10)
-        sent = spark.sparkContext.broadcast((np.array([r.id for r in part], np.int64), matrix))
-        one = rows.mapInArrow(against(sent), "source long, target long, similarity double")
-        found = one if found is None else found.union(one)
-    w = Window.partitionBy("source").orderBy(F.desc("similarity"), "target")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("source", "rank", "target", "similarity")
+    n, width = n or 0, width or 1
+    parts = max(1, -(-n * width * 4 // BLOCK_BYTES))
+    _, path = shared.stored(rows.repartition(parts, F.xxhash64("id")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))), "vectors", "part")
+    held = max(1, BLOCK_BYTES // (4 * width))
+
+    def unit_rows(column) -> np.ndarray:
+        x = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+        x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
+
+    def best_of(names: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((names, -sim), axis=1)[:, :k]
+        return np.take_along_axis(names, order, 1), np.take_along_axis(sim, order, 1)
+
+    def answer(own: np.ndarray, mine: np.ndarray):
+        names, best = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
+        for i in range(parts):
+            table = shared.read_arrow(f"{path}/part={i}")
+            if table is None:
+                continue
+            ids, matrix = table.column("id").to_numpy(), unit_rows(table.column("v"))
+            found = []
+            for at in range(0, len(own), 512):
+                sim = np.round(mine[at : at + 512] @ matrix.T, digits)
+                sim[own[at : at + 512, None] == ids[None, :]] = -np.inf
+                found.append(best_of(np.broadcast_to(ids, sim.shape), sim))
+            names, best = np.concatenate([names, np.concatenate([x[0] for x in found])], 1), np.concatenate([best, np.concatenate([x[1] for x in found])], 1)
+            names, best = best_of(names, best)
+        return names, best
+
+    def run(batches):
+        import pyarrow as pa
+
+        def flush(own, mine):
+            own, mine = np.concatenate(own), np.concatenate(mine)
+            names, best = answer(own, mine)
+            keep = np.isfinite(best).reshape(-1)
+            rank = np.broadcast_to(np.arange(1, best.shape[1] + 1, dtype=np.int32), best.shape).reshape(-1)
+            columns = [np.repeat(own, best.shape[1]), rank, names.reshape(-1), best.reshape(-1)]
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["source", "rank", "target", "similarity"])
+
+        own, mine, size = [], [], 0
+        for batch in batches:
+            own.append(batch.column(0).to_numpy(zero_copy_only=False))
+            mine.append(unit_rows(batch.column(1)))
+            size += batch.num_rows
+            if size >= held:
+                yield flush(own, mine)
+                own, mine, size = [], [], 0
+        if size:
+            yield flush(own, mine)
+
+    return rows.mapInArrow(run, "source long, rank int, target long, similarity double")
 
 
 def neighbour_arrays(edges: DataFrame, meta: DataFrame, key: str, fills: dict[str, object]) -> DataFrame:

@@ -140,11 +140,11 @@ def permutation(t: Tables) -> DataFrame:
 
 
 @query("m14_mann_whitney", """
-WITH r AS (SELECT l_returnflag = 'R' AS f, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS k FROM lineitem WHERE l_linenumber = 1)
+WITH r AS (SELECT l_returnflag = 'R' AS f, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS k FROM lineitem)
 SELECT count(*) FILTER (WHERE f) AS n1, count(*) FILTER (WHERE NOT f) AS n2, round(sum(k) FILTER (WHERE f) - count(*) FILTER (WHERE f) * (count(*) FILTER (WHERE f) + 1) / 2, 4) AS u FROM r""")
 def mann_whitney(t: Tables) -> DataFrame:
     """M14."""
-    return stats.mann_whitney(t.lineitem.filter("l_linenumber = 1"), "l_quantity", F.col("l_returnflag") == "R").select("n1", "n2", F.round("u", 4).alias("u"))
+    return stats.mann_whitney(t.lineitem, "l_quantity", F.col("l_returnflag") == "R").select("n1", "n2", F.round("u", 4).alias("u"))
 
 
 EVAL = "SELECT l_linestatus AS g, l_discount * 10 AS p, (l_returnflag = 'R')::INT AS y FROM lineitem"

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varistra.functions import scalar as S
 from varistra.operators import hist, schema
 from varistra.plans.catalog import Tables, query
-from varistra.sources import readers, sinks
+from varistra.sources import readers, shared, sinks
 
 HEADS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 SCORED = "CASE WHEN l_quantity % 7 = 0 THEN NULL ELSE l_discount * 10 END"
 
 
 def scratch(t: Tables, tag: str) -> str:
-    """A fresh folder, in the shared one where the cluster names it."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="varistra-")
-    return f"{root.rstrip('/')}/varistra/{tag}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared one."""
+    return shared.scratch(t.spark, tag)
 
 
 # ---------------------------------------------------------------- histograms and statistics of heads
@@ -240,11 +236,11 @@ def freq_text(t: Tables) -> DataFrame:
 
 
 @query("f6_lists", """
-WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(substr(text, 1, 300), ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS items FROM documents)
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS items FROM documents)
 SELECT doc_id, len(items) AS n, items[1] AS first_item, items[-1] AS last_item FROM s""")
 def lists(t: Tables) -> DataFrame:
     """Lists in texts; the JSON is parsed again."""
-    js = S.list_json(F.substring("text", 1, 300), ",")
+    js = S.list_json(F.col("text"), ",")
     df = t.documents.select("doc_id", F.from_json(js, "array<string>").alias("items"))
     return df.select("doc_id", F.size("items").cast("long").alias("n"), F.try_element_at("items", F.lit(1)).alias("first_item"), F.try_element_at("items", F.lit(-1)).alias("last_item"))
 
@@ -319,11 +315,11 @@ def minmax(t: Tables) -> DataFrame:
 
 
 @query("f35_expectation", """
-WITH s AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS l FROM embeddings), e AS (SELECT vec_id, l, list_transform(l, lambda x: exp(x - list_max(l))) AS w FROM s)
-SELECT vec_id, round(list_sum(list_transform(range(1, 9), lambda i: w[i] * (i - 0.5) / 8)) / list_sum(w), 6) AS expect, list_position(l, list_max(l)) - 1 AS top FROM e""")
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS l FROM embeddings), e AS (SELECT vec_id, l, list_transform(l, lambda x: exp(x - list_max(l))) AS w FROM s)
+SELECT vec_id, round(list_sum(list_transform(range(1, len(w) + 1), lambda i: w[i] * (i - 0.5) / len(w))) / list_sum(w), 6) AS expect, list_position(l, list_max(l)) - 1 AS top FROM e""")
 def expectation(t: Tables) -> DataFrame:
     """F35."""
-    logits = F.slice("embedding", 1, 8)
+    logits = F.col("embedding")
     return t.embeddings.select("vec_id", F.round(S.expectation(logits), 6).alias("expect"), S.argmax(logits).cast("int").alias("top"))
 
 

@@ -88,3 +88,8 @@ def label_arrays(long: DataFrame, ids: DataFrame, key: str, head: str, value: st
 def manifest(tables: dict[str, DataFrame], config: dict[str, object]) -> dict[str, object]:
     """Content hashes, settings and environment of a run."""
     return {"tables": {k: fingerprint(df, df.columns) for k, df in sorted(tables.items())}, "config": config, "python": platform.python_version()}
+
+
+def item_files(df: DataFrame, path: str, key: str) -> None:
+    """Each row as JSON in a file of its own, under a folder named by its key; tasks write their own rows."""
+    (df.select(key, F.to_json(F.struct(*df.columns)).alias("value")).repartition(F.col(key)).write.option("maxRecordsPerFile", 1).partitionBy(key).mode("overwrite").text(path))
