@@ -373,7 +373,7 @@ def test_block_max_search_is_exact(block, monkeypatch):
     assert sorted(e.index.names.tolist()) == list(range(len(e.ids))) and np.diff(e.index.edges).max() <= block
     for i, _, _, at, w in rows[:80]:
         exact = np.sort(dense @ dense[i])[::-1]
-        names, cosines = e.nearest(at, w, 15)
+        (names, cosines), _ = e.nearest([toxicity.Query(e.index, at, w), toxicity.Query(e.index, *rows[499 - i][3:])], 15)
         assert np.allclose(cosines[:15], exact[:15], atol=1e-5) and len(names) >= 15
         assert e.ids[names[0]] == i
 
@@ -381,7 +381,7 @@ def test_block_max_search_is_exact(block, monkeypatch):
 def test_votes_are_weighted_by_distance():
     rows = [(1, 1, 1.0, (0, 2), np.array([0.8, 0.6])), (2, 0, 1.0, (1, 2), np.array([0.8, 0.6])), (3, 0, 0.5, (2,), np.array([1.0]))]
     e = toxicity.Examples(rows, 3)
-    share, names, cosines = e.vote((0, 2), np.array([0.8, 0.6]), 3)
+    share, names, cosines = e.votes_of([((0, 2), np.array([0.8, 0.6]))], 3)[0]
     c = {1: 1.0, 2: 0.36, 3: 0.6}
     votes = {i: x**toxicity.POWER for i, x in c.items()}
     assert e.ids[names].tolist() == [1, 3, 2] and np.allclose(cosines, [1.0, 0.6, 0.36])

@@ -11,8 +11,8 @@ The examples stand in a block-max inverted index: alike ones together in blocks
 its own postings and each feature's largest weight in it. A query visits the ``FIRST`` blocks by the largest cosine they
 could hold (the sum over its features of weight times block maximum), then those that could hold one over the k-th found.
 Within a visited block features of at least 1/``COMMON`` of all examples are products with a matrix, all others come
-from postings. Cosines are exact: all examples that may be among the k nearest are worked out again in double
-precision; ties at the k-th are all taken. Votes count by a power of the cosine and by how many labelled rows each
+from postings. Cosines are exact, in double precision; ties at the k-th are all taken. Texts are asked ``CHUNK`` at a
+time, block by block. Votes count by a power of the cosine and by how many labelled rows each
 kept one stands for. The share of toxic votes is mapped to a probability by isotonic regression on the labelled rows,
 each left out of its own vote. Evidence: the nearest examples' doc_ids and cosines.
 
@@ -28,9 +28,10 @@ error, any other stays. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+from array import array
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,15 +39,18 @@ from pyspark.sql import functions as F
 
 from varistra.llm import common
 
-PER_LABEL = 1500
+PER_LABEL = 4000
 MIN_DF = 3
 K = 15
 BLOCK = 256
 COMMON = 8
 FIRST = 3
+#: Texts that are asked together, block by block.
+CHUNK = 128
 POWER = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 STARTS = (5, 6, 7)
+WIDTH = 1 + len(STARTS)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,16 +109,17 @@ def select_features(sample: DataFrame, min_df: int = MIN_DF) -> list[tuple[str,
 
 
 class WordPlaces(dict):
-    """The features' places of a word, worked out once."""
+    """The places of a word's features as bytes of 32-bit integers, -1 where it has none; worked out once."""
 
     def __init__(self, places: dict[str, int], most: int = 200_000):
         super().__init__()
         self.places, self.most = places, most
 
-    def __missing__(self, word: str) -> tuple:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > self.most:
             self.clear()
-        out = self[word] = tuple(self.places[f] for f in features_of(word) if f in self.places)
+        found = [self.places.get(f, -1) for f in features_of(word)]
+        out = self[word] = array("i", found + [-1] * (WIDTH - len(found))).tobytes()
         return out
 
 
@@ -129,10 +134,10 @@ class Vectors:
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(places, times) of a text's features, places ascending."""
         tf = Counter(words_of(text))
-        of_word = list(map(self.places.__getitem__, tf))
-        n = np.fromiter(map(len, of_word), np.int64, len(of_word))
-        at = np.fromiter(chain.from_iterable(of_word), np.int32, int(n.sum()))
-        times = np.repeat(np.fromiter(tf.values(), np.int32, len(tf)), n)
+        at = np.frombuffer(b"".join(map(self.places.__getitem__, tf)), np.int32)
+        times = np.repeat(np.fromiter(tf.values(), np.int32, len(tf)), WIDTH)
+        known = at >= 0
+        at, times = at[known], times[known]
         order = np.argsort(at, kind="stable")
         at, times = at[order], times[order]
         first = np.flatnonzero(np.diff(at, prepend=-1))
@@ -171,68 +176,68 @@ def alike(rows: np.ndarray, most: int) -> list[np.ndarray]:
 
 
 class BlockIndex:
-    """Sparse rows as a block-max inverted index, and by row for exact cosines."""
+    """Sparse rows as a block-max inverted index."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int, most: int = BLOCK):
         n = np.array([len(at) for at, _ in rows], np.int64)
-        self.shape, self.ends = (len(rows), width), np.concatenate([[0], np.cumsum(n)])
-        self.columns = np.concatenate([at for at, _ in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
-        self.values = np.concatenate([w for _, w in rows]).astype(np.float32) if rows else np.zeros(0, np.float32)
-        self.full = None
+        columns = np.concatenate([at for at, _ in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
+        values = np.concatenate([w for _, w in rows]).astype(np.float32) if rows else np.zeros(0, np.float32)
         row = np.repeat(np.arange(len(rows)), n)
-        often = np.flatnonzero(np.bincount(self.columns, minlength=width) * COMMON >= max(1, len(rows)))
+        often = np.flatnonzero(np.bincount(columns, minlength=width) * COMMON >= max(1, len(rows)))
         self.place = np.full(width, -1, np.int32)
         self.place[often] = np.arange(len(often))
-        at = self.place[self.columns]
+        at = self.place[columns]
         wide = np.zeros((len(rows), len(often)), np.float32)
-        wide[row[at >= 0], at[at >= 0]] = self.values[at >= 0]
+        wide[row[at >= 0], at[at >= 0]] = values[at >= 0]
         groups = alike(wide, most) if rows else []
         #: Rows in the order of their blocks, where each block's begin, and each block's matrix of common features.
         self.names = np.concatenate(groups) if groups else np.zeros(0, np.int64)
         self.edges = np.concatenate([[0], np.cumsum([len(g) for g in groups])]).astype(np.int64)
-        self.wide = [np.ascontiguousarray(wide[g].T) for g in groups]
+        self.wide = [np.ascontiguousarray(wide[g].T, np.float64) for g in groups]
         #: Largest weights by feature and block; postings by block and feature (place of the row, weight), and where those of each begin.
         self.most = np.zeros((width, len(groups)), np.float32)
         of_row, place = np.repeat(np.arange(len(groups)), np.diff(self.edges)), np.zeros(len(rows), np.int64)
         place[self.names] = np.arange(len(rows))
         block = of_row[place[row]]
-        np.maximum.at(self.most, (self.columns, block), self.values)
+        np.maximum.at(self.most, (columns, block), values)
         rest = np.flatnonzero(at < 0)
-        key = block[rest] * (width + 1) + self.columns[rest]
+        key = block[rest] * (width + 1) + columns[rest]
         rest, key = rest[np.argsort(key, kind="stable")], np.sort(key)
         self.begin = np.searchsorted(key, np.arange(len(groups) * (width + 1))).astype(np.int32).reshape(len(groups), width + 1)
-        self.postings = place[row[rest]] << 32 | self.values[rest].view(np.uint32)
+        self.postings = place[row[rest]] << 32 | values[rest].view(np.uint32)
 
     def bounds(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """The largest product that a row of each block could have with a query."""
         return weight.astype(np.float32) @ self.most[at]
 
-    def near(self, visit: np.ndarray, at: np.ndarray, weight: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, products) of some blocks with a query, in single precision; at, weight: its features that aren't common."""
-        first = self.begin[visit[:, None], at].reshape(-1)
-        n = self.begin[visit[:, None], at + 1].reshape(-1) - first
+    def near(self, block: int, queries: list["Query"]) -> np.ndarray:
+        """Products of a block's rows (columns) with some queries (rows), in double precision; one block's postings stay in cache."""
+        lo, hi = int(self.edges[block]), int(self.edges[block + 1])
+        at, weight = np.concatenate([q.rare_at for q in queries]), np.concatenate([q.rare for q in queries])
+        first = self.begin[block, at]
+        n = self.begin[block, at + 1] - first
         here = np.flatnonzero(n)
-        first, n = first[here], n[here]
+        base = np.repeat(np.arange(len(queries)) * (hi - lo) - lo, [len(q.rare_at) for q in queries])[here]
+        first, n, weight = first[here], n[here], weight[here]
         found = np.repeat(first - np.cumsum(n, dtype=np.int32) + n, n)
         found += np.arange(len(found), dtype=np.int32)
         held = self.postings[found]
-        value = held.astype(np.uint32).view(np.float32) * np.repeat(np.tile(weight, len(visit))[here], n)
-        out = np.bincount(held >> 32, value, self.shape[0])
-        spans = [(int(self.edges[b]), int(self.edges[b + 1])) for b in visit]
-        names = np.concatenate([self.names[a:b] for a, b in spans])
-        return names, np.concatenate([out[a:b] + often @ self.wide[k] for k, (a, b) in zip(visit.tolist(), spans)])
-
-    def exact(self, rows: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Products of one query with some rows, in double precision: the same wherever they are worked out."""
-        if self.full is None:
-            self.full = np.zeros(self.shape[1])
-        self.full[at] = weight
-        first, n = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
-        begins = np.cumsum(n) - n
-        found = np.repeat(first - begins, n) + np.arange(n.sum())
-        out = np.add.reduceat(self.values[found] * self.full[self.columns[found]], begins) if len(rows) else np.zeros(0)
-        self.full[at] = 0.0
-        return out
+        value = held.astype(np.uint32).view(np.float32) * np.repeat(weight, n)
+        out = np.bincount((held >> 32) + np.repeat(base, n), value, len(queries) * (hi - lo)).reshape(len(queries), hi - lo)
+        return out + np.stack([q.often for q in queries]) @ self.wide[block]
+
+
+class Query:
+    """A vector that is asked for, and the best that was found so far."""
+
+    def __init__(self, index: BlockIndex, at: np.ndarray, weight: np.ndarray, leave: int | None = None):
+        self.at, self.weight, self.leave = np.asarray(at, np.int64), np.asarray(weight, np.float64), leave
+        place = index.place[self.at]
+        self.often = np.zeros(index.wide[0].shape[0])
+        self.often[place[place >= 0]] = self.weight[place >= 0]
+        self.rare_at, self.rare = self.at[place < 0], self.weight[place < 0]
+        self.bounds = index.bounds(self.at, self.weight)
+        self.names, self.cosines, self.least = [], [], -1.0
 
 
 class Examples:
@@ -256,47 +261,56 @@ class Examples:
     def key(at: np.ndarray, weight: np.ndarray) -> bytes:
         return hashlib.blake2b(at.tobytes() + weight.tobytes(), digest_size=16).digest()
 
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest labelled rows and all that tie with the last, nearest first."""
-        at, weight = np.asarray(at, np.int64), np.asarray(weight, np.float64)
+    def kth(self, names: np.ndarray, cosines: np.ndarray, k: int, leave: int | None) -> float:
+        """The cosine of the k-th nearest labelled row; -1 where there are fewer."""
+        order = np.argsort(-cosines, kind="stable")
+        held = self.rows[names] - (names == leave if leave is not None else 0)
+        full = np.flatnonzero(np.cumsum(held[order]) >= k)
+        return float(cosines[order[full[0]]]) if len(full) else -1.0
+
+    def nearest(self, queries: list[Query], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query: (examples, cosines) of the k nearest labelled rows and all that tie with the last, nearest first."""
         index = self.index
-        place = index.place[at]
-        often = np.zeros(index.wide[0].shape[0], np.float32)
-        often[place[place >= 0]] = weight[place >= 0]
-        rare_at, rare = at[place < 0], weight[place < 0]
-
-        def kth(names: np.ndarray, cosines: np.ndarray) -> float:
-            order = np.argsort(-cosines, kind="stable")
-            held = self.rows[names] - (names == leave if leave is not None else 0)
-            full = np.flatnonzero(np.cumsum(held[order]) >= k)
-            return float(cosines[order[full[0]]]) if len(full) else -1.0
-
-        bounds = index.bounds(at, weight)
-        order = np.argsort(-bounds, kind="stable")
-        names, cosines, least = np.zeros(0, np.int64), np.zeros(0), -1.0
-        for visit in (order[:FIRST], order[FIRST:]):  # the second lot holds only blocks that may yet have one of the k nearest
-            visit = visit[bounds[visit] >= least - 2e-5]
-            if len(visit):
-                found = index.near(visit, rare_at, rare, often)
-                names, cosines = np.append(names, found[0]), np.append(cosines, found[1])
-                keep = cosines >= np.partition(cosines, -min(k + 1, len(cosines)))[-min(k + 1, len(cosines))] - 2e-5
-                names, cosines = names[keep], cosines[keep]  # each example but the one left out holds a row at least
-                least = kth(names, cosines)
-        cosines = index.exact(names, at, weight)
-        keep = cosines >= kth(names, cosines) - 1e-6
-        names, cosines = names[keep], cosines[keep]
-        order = np.lexsort((self.ids[names], -np.round(cosines, 6)))
-        return names[order], cosines[order]
-
-    def vote(self, at: np.ndarray, weight: np.ndarray, k: int, leave: tuple[int, int, float] | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        """(share of toxic votes, examples, cosines); leave: an example, label and weight that don't vote."""
-        names, cosines = self.nearest(at, weight, k, leave[0] if leave else None)
-        votes = self.votes[names].copy()
-        if leave:
-            votes[names == leave[0], leave[1]] -= leave[2]
-        votes *= (np.maximum(cosines, 0) ** POWER)[:, None]
-        total = votes.sum()
-        return (float(votes[:, 1].sum() / total) if total > 1e-12 else 0.0), names, cosines
+        orders = [np.argsort(-q.bounds, kind="stable") for q in queries]
+        for lot in (0, 1):  # the second lot holds only blocks that may yet have one of the k nearest
+            asked: dict[int, list[Query]] = {}
+            for q, order in zip(queries, orders):
+                visit = order[:FIRST] if lot == 0 else order[FIRST:]
+                for b in visit[q.bounds[visit] >= q.least - 2e-5].tolist():
+                    asked.setdefault(b, []).append(q)
+            for b, own in asked.items():
+                names = index.names[index.edges[b] : index.edges[b + 1]]
+                for q, near in zip(own, index.near(b, own)):
+                    keep = near >= q.least - 2e-5
+                    q.names.append(names[keep])
+                    q.cosines.append(near[keep])
+            for q in queries:
+                names, cosines = np.concatenate(q.names), np.concatenate(q.cosines)
+                most = min(k + 1, len(cosines))  # each example but the one left out holds a row at least
+                keep = cosines >= np.partition(cosines, -most)[-most] - 2e-5
+                q.names, q.cosines = [names[keep]], [cosines[keep]]
+                q.least = self.kth(names[keep], cosines[keep], k, q.leave)
+        out = []
+        for q in queries:
+            names, cosines = q.names[0], np.round(q.cosines[0], 9)  # the same in whatever company it was worked out
+            keep = cosines >= self.kth(names, cosines, k, q.leave) - 1e-6
+            names, cosines = names[keep], cosines[keep]
+            order = np.lexsort((self.ids[names], -np.round(cosines, 6)))
+            out.append((names[order], cosines[order]))
+        return out
+
+    def votes_of(self, vectors: list[tuple], k: int, leave: list[tuple[int, int, float]] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each vector: (share of toxic votes, examples, cosines); leave: for each an example, label and weight that don't vote."""
+        queries = [Query(self.index, at, weight, leave[i][0] if leave else None) for i, (at, weight) in enumerate(vectors)]
+        out = []
+        for i, (names, cosines) in enumerate(self.nearest(queries, k)):
+            votes = self.votes[names].copy()
+            if leave:
+                votes[names == leave[i][0], leave[i][1]] -= leave[i][2]
+            votes *= (np.maximum(cosines, 0) ** POWER)[:, None]
+            total = votes.sum()
+            out.append(((float(votes[:, 1].sum() / total) if total > 1e-12 else 0.0), names, cosines))
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -322,62 +336,84 @@ class Model:
         self.examples = Examples(((*row[:3], *vector(row)) for row in rows), len(features) + 1) if rows else None
         self.memo: dict = {}
         if rows:
-            votes: dict = {}
-            raw = np.empty(len(rows))
-            for i, row in enumerate(rows):
-                v = vector(row)
-                own = self.examples.known[self.examples.key(*v)], row[1]
-                if own not in votes:
-                    votes[own] = self.examples.vote(*v, K, (*own, 1 / row[2]))[0]
-                raw[i] = votes[own]
+            shares: dict = {}
+            own_of = []
+            for at in range(0, len(rows), CHUNK):
+                new: dict = {}
+                for row in rows[at : at + CHUNK]:
+                    v = vector(row)
+                    own_of.append((self.examples.known[self.examples.key(*v)], row[1]))
+                    if own_of[-1] not in shares:
+                        new[own_of[-1]] = v, (*own_of[-1], 1 / row[2])
+                found = self.examples.votes_of([v for v, _ in new.values()], K, [x for _, x in new.values()]) if new else []
+                shares.update(zip(new, (x[0] for x in found)))
+            raw = np.array([shares[x] for x in own_of])
             self.knots = isotonic(raw, np.array([x[1] for x in rows], float), np.array([1 / x[2] for x in rows]))
             self.examples.known.clear()
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """(score, evidence doc_ids, their cosines) of a text."""
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
+        """(score, evidence doc_ids, their cosines) of each text."""
         if self.examples is None:
-            return 0.0, [], []
-        at, times = self.vectors.counts(text)
-        key = self.examples.key(at, times)
-        if key not in self.memo:
+            return [(0.0, [], [])] * len(texts)
+        out = []
+        for at in range(0, len(texts), CHUNK):
+            keys, new = [], {}
+            for text in texts[at : at + CHUNK]:
+                places, times = self.vectors.counts(text)
+                keys.append(self.examples.key(places, times))
+                if keys[-1] not in self.memo:
+                    new.setdefault(keys[-1], (places, times))
             if len(self.memo) > 20_000:
-                self.memo.clear()
-            share, names, cosines = self.examples.vote(*self.vectors.of(at, times), K)
-            self.memo[key] = (float(np.interp(share, *self.knots)), self.examples.ids[names[:5]].tolist(), [round(float(c), 6) for c in cosines[:5]])
-        return self.memo[key]
+                self.memo = {k: self.memo[k] for k in keys if k in self.memo}
+            found = self.examples.votes_of([self.vectors.of(*x) for x in new.values()], K) if new else []
+            for key, (share, names, cosines) in zip(new, found):
+                self.memo[key] = (float(np.interp(share, *self.knots)), self.examples.ids[names[:5]].tolist(), [round(float(c), 6) for c in cosines[:5]])
+            out += [self.memo[k] for k in keys]
+        return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> str:
+    """Fit the model in one task, whose input the sample's bound limits, and return the shared file that holds it."""
+    spark = docs.sparkSession
     sample = common.materialise(labelled_sample(docs, labels, per_label), "labelled")
-    features = select_features(sample)
-    sent = docs.sparkSession.sparkContext.broadcast(Vectors(features, 1))  # the features of the sample
+    sent = spark.sparkContext.broadcast(select_features(sample))  # the features of the sample
+    out = common.scratch(spark, "toxicity") + "/model"
 
-    def run(batches):  # the driver gets places and counts, not texts
+    def run(batches):
         import pyarrow as pa
 
+        counts, rows = Vectors(sent.value, 1).counts, []
         for batch in batches:
-            found = [sent.value.counts(t) for t in batch.column(3).to_pylist()]
-            columns = [pa.array([x[i].astype(np.int32).tobytes() for x in found], pa.binary()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], ["doc_id", "toxic", "share", "places", "times"])
-
-    rows = sample.select("doc_id", "toxic", "share", "text").mapInArrow(run, "doc_id long, toxic int, share double, places binary, times binary")
-    found = sorted((r[0], r[1], r[2], bytes(r[3]), bytes(r[4])) for r in rows.collect())
+            for doc_id, toxic, share, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                rows.append((doc_id, toxic, share, *(x.astype(np.int32).tobytes() for x in counts(text))))
+        model = Model(sent.value, sorted(rows))
+        common.put_file(out, lambda f: pickle.dump(model, f, 5))
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
+
+    if not sample.select("doc_id", "toxic", "share", "text").repartition(1).mapInArrow(run, "n long").collect():
+        common.put_file(out, lambda f: pickle.dump(Model([], []), f, 5))
     sent.destroy()
-    common.remove(docs.sparkSession, sample.scratch_path)
-    return Model(features, found)
+    common.remove(spark, sample.scratch_path)
+    return out
+
+
+def load(uri: str) -> Model:
+    where, path = common.store(uri)
+    with where.open_input_file(path) as f:
+        return pickle.loads(f.read())
 
 
 def score(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, column: str = "toxicity") -> DataFrame:
     """docs with a column struct(score double, evidence array<long>, cosines array<double>). docs' other columns stay."""
     if column in docs.columns:
         raise ValueError(f"docs has a column {column} already")
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_label))  # at most PER_LABEL vectors a label, and their features
+    model = fit(docs, labels, per_label)
 
     @F.pandas_udf("struct<score: double, evidence: array<bigint>, cosines: array<double>>")
     def judge(texts):
         import pandas as pd
 
-        found = [sent.value.score(t) for t in texts]
+        found = common.worker_cache("toxicity", model, lambda: load(model)).scores(list(texts))
         return pd.DataFrame({"score": [x[0] for x in found], "evidence": [x[1] for x in found], "cosines": [x[2] for x in found]})
 
     return docs.withColumn(column, judge(F.col("text").cast("string")))
