@@ -41,7 +41,7 @@ def test_cosines_over_many_places_equal_dense():
     examples = toxicity.Examples(rows, width)
     for i in range(40):
         exact = dense @ dense[i]
-        names, cosines = examples.nearest(rows[i][3], rows[i][4], 15)
+        ((names, cosines),) = examples.nearest([toxicity.Query(examples.index, rows[i][3], rows[i][4])], 15)
         assert np.allclose(np.sort(cosines)[::-1][:15], np.sort(exact)[::-1][:15], atol=1e-5)
         assert np.allclose(cosines, exact[examples.ids[names]], atol=1e-6)
 
