@@ -105,7 +105,7 @@ WITH o AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size < 35), n AS (S
 SELECT coalesce(o.p_brand, n.p_brand) AS p_brand, count(*) FILTER (WHERE o.p_type IS NOT NULL AND n.p_type IS NOT NULL) AS shared, count(*) FILTER (WHERE o.p_type IS NULL) AS added, count(*) FILTER (WHERE n.p_type IS NULL) AS removed
 FROM o FULL JOIN n ON o.p_brand = n.p_brand AND o.p_type = n.p_type GROUP BY 1""")
 def old_new(t: Tables) -> DataFrame:
-    """A29, M15."""
+    """A29."""
     return pairs.compare_sets(t.part.filter("p_size < 35"), t.part.filter("p_size > 15"), "p_brand", "p_type").drop("jaccard")
 
 
@@ -213,7 +213,7 @@ WITH {KNN}, e AS (SELECT rank, a.label = b.label AS hit FROM top JOIN embeddings
 n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), base AS (SELECT sum(n * (n - 1)) / (sum(n) * (sum(n) - 1)) AS base FROM n)
 SELECT k, count(*) AS pairs, round(avg(hit::INT), 6) AS observed, round(any_value(base), 6) AS base, round(avg(hit::INT) / any_value(base), 4) AS fold FROM e, base, (SELECT unnest([1, 5, 10]) AS k) WHERE rank <= k GROUP BY k""")
 def enrichment(t: Tables) -> DataFrame:
-    """M8, M28, A16, A31."""
+    """M8, M28, A16."""
     s = pairs.same_label_enrichment(edges(t), t.embeddings, "vec_id", "label", [1, 5, 10])
     return s.select("k", "pairs", F.round("observed", 6).alias("observed"), F.round("base", 6).alias("base"), F.round("fold", 4).alias("fold"))
 
@@ -247,12 +247,12 @@ def mean_vectors(t: Tables) -> DataFrame:
 
 @query("a11_standardise", "WITH s AS (SELECT label, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings), m AS (SELECT label, i, avg(v::DOUBLE) AS mean FROM s GROUP BY ALL) SELECT label, CAST(i AS INT) AS i, round((mean - avg(mean) OVER (PARTITION BY i)) / stddev_pop(mean) OVER (PARTITION BY i), 4) AS z FROM m")
 def standardise(t: Tables) -> DataFrame:
-    """A11, M16."""
+    """A11."""
     return V.standardise(V.mean_vectors(t.embeddings, "label", "embedding"), "i", "mean").select("label", "i", F.round("z", 4).alias("z"))
 
 
 @query("m3_views", "WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT vec_id, round(list_avg(v[1:8]), 5) AS row0, round((v[1] + v[9] + v[17] + v[25] + v[33] + v[41] + v[49] + v[57]) / 8, 5) AS col0, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS norm FROM s")
 def matrix_views(t: Tables) -> DataFrame:
-    """M3, M1, A12."""
+    """M3, M1."""
     row, col, flat = V.views(F.col("embedding"), 8, 8)
     return t.embeddings.select("vec_id", F.round(F.get(row, F.lit(0)), 5).alias("row0"), F.round(F.get(col, F.lit(0)), 5).alias("col0"), F.round(V.norm(flat), 4).alias("norm"))

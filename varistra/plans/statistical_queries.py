@@ -93,7 +93,7 @@ def pearson(t: Tables) -> DataFrame:
 WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2 AS b FROM lineitem)
 SELECT l_returnflag, count(*) AS n, round(corr(a, b), 6) AS r FROM r GROUP BY 1""")
 def spearman(t: Tables) -> DataFrame:
-    """M5, W5, M17."""
+    """M5, W5."""
     return rounded(stats.spearman(t.lineitem, ["l_returnflag"], "l_quantity", "l_extendedprice"))
 
 
@@ -122,7 +122,7 @@ def controls(t: Tables) -> DataFrame:
 
 @query("m9_bootstrap_ci")
 def bootstrap(t: Tables) -> DataFrame:
-    """M9, M13."""
+    """M9."""
     return resample.bootstrap(t.lineitem, "l_suppkey", "l_discount", 500, 3)
 
 

@@ -37,7 +37,7 @@ WITH b AS (SELECT c_mktsegment AS seg, CAST(least(9, greatest(0, CASE WHEN (c_ac
 t AS (SELECT seg, sum(c) AS total FROM b GROUP BY seg), g AS (SELECT seg, total, unnest(range(10)) AS bin FROM t)
 SELECT g.seg, g.bin, round(coalesce(c, 0) / total, 4) AS frac, CAST(total AS BIGINT) AS total FROM g LEFT JOIN b ON g.seg = b.seg AND g.bin = b.bin""")
 def dense(t: Tables) -> DataFrame:
-    """A1, A31 with empty bins."""
+    """A1 with empty bins."""
     df = t.customer.select(F.col("c_mktsegment").alias("seg"), "c_acctbal")
     return hist.dense_histogram(df, "seg", "c_acctbal", 10, -1000, 10000).select("seg", F.posexplode("hist").alias("bin", "frac"), "total").select("seg", F.col("bin").cast("long").alias("bin"), "frac", "total")
 
@@ -177,7 +177,7 @@ def families(t: Tables) -> DataFrame:
 
 @query("p10_coding_filter", "SELECT p_partkey, p_name FROM part WHERE trim(p_brand) <> '' AND trim(p_type) <> '' AND (p_type IN ('STANDARD', 'PROMO') OR lower(p_name) LIKE '%red%' OR lower(p_name) LIKE '%blue%' OR lower(p_type) LIKE '%eco%')")
 def coding(t: Tables) -> DataFrame:
-    """P10, P11, P19, P12."""
+    """P11, P19."""
     name = F.lower(F.coalesce("p_name", F.lit("")))
     some = F.col("p_type").isin("STANDARD", "PROMO") | name.contains("red") | name.contains("blue") | F.lower("p_type").contains("eco")
     return t.part.filter(schema.non_blank(F.col("p_brand")) & schema.non_blank(F.col("p_type"), ("?", "[]")) & some).select("p_partkey", "p_name")
@@ -191,7 +191,7 @@ def regex_filter(t: Tables) -> DataFrame:
 
 @query("p18_column_health", f"SELECT c AS \"column\", n, nulls FROM (SELECT 'half' AS c, count(*) AS n, count(*) FILTER (WHERE {SCORED} IS NULL) AS nulls FROM lineitem UNION ALL SELECT 'l_tax', count(*), 0 FROM lineitem)")
 def health(t: Tables) -> DataFrame:
-    """One pass over columns; a constant one is dropped."""
+    """One pass over columns; a constant one is dropped."""
     df = t.lineitem.select(F.when(F.col("l_quantity") % 7 != 0, F.col("l_discount") * 10).alias("half"), "l_tax", F.lit(1.0).alias("flat"))
     kept = schema.drop_degenerate(df, df.columns)
     return schema.column_health(kept, kept.columns).select("column", "n", "nulls")
@@ -268,13 +268,13 @@ def decode(t: Tables) -> DataFrame:
 
 @query("f13_keyword_class", "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'red|rose') THEN 'warm' WHEN regexp_matches(lower(p_name), 'blue|green') THEN 'cold' ELSE 'other' END AS cls, lower(split_part(p_name, '_', 1)) AS grp, lower(coalesce(nullif(trim(p_type), ''), 'unknown')) AS bucket FROM part")
 def keywords(t: Tables) -> DataFrame:
-    """F13, F14, F16, F18, F19."""
+    """F13, F14, F16, F18."""
     return t.part.select("p_partkey", S.keyword_class(F.col("p_name"), [("red|rose", "warm"), ("blue|green", "cold")], "other").alias("cls"), S.head_group(F.col("p_name")).alias("grp"), S.bucket(F.col("p_type")).alias("bucket"))
 
 
 @query("f20_sameness", "WITH s AS (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS a, CASE WHEN o_custkey % 2 = 0 THEN 'O' ELSE 'P' END AS b FROM orders) SELECT o_orderkey, a = b AS same_null, coalesce(a = b, FALSE) AS same_false FROM s")
 def sameness(t: Tables) -> DataFrame:
-    """F20, F31."""
+    """F20."""
     a, b = F.nullif(F.col("o_orderstatus"), F.lit("F")), F.when(F.col("o_custkey") % 2 == 0, "O").otherwise("P")
     return t.orders.select("o_orderkey", S.same(a, b, False).alias("same_null"), S.same(a, b, True).alias("same_false"))
 
@@ -293,7 +293,7 @@ WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 3 THEN NULL
 SELECT l_orderkey, l_linenumber, round(1 - coalesce(db, own), 6) AS inverted, round(1 - pow(10.0, -coalesce(db, own) * 100 / 10), 6) AS phred,
 CASE WHEN d = 0 THEN 'at variant' WHEN abs(d) <= 5 THEN 'local' WHEN abs(d) <= 50 THEN 'regional' ELSE 'distal' END AS where_at, CAST((coalesce(db, own) > 0.05) AS INT) + CAST((own > 0.05) AS INT) AS damaging FROM s""")
 def predictors(t: Tables) -> DataFrame:
-    """F26, F27, F30."""
+    """F26, F27."""
     db = F.when(F.col("l_linenumber") <= 3, F.col("l_discount"))
     own, v = F.col("l_tax"), S.predictor(F.when(F.col("l_linenumber") <= 3, F.col("l_discount")), F.col("l_tax"))
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(S.predictor(db, own, invert=True), 6).alias("inverted"), F.round(S.predictor(db * 100, own * 100, phred=True), 6).alias("phred"), S.locality(F.col("l_quantity") - 25).alias("where_at"), ((v > 0.05).cast("int") + (own > 0.05).cast("int")).alias("damaging"))
