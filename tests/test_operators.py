@@ -225,3 +225,9 @@ def test_search_modes(spark):
     find = lambda q: [r.id for r in R.search(df, q, "rs", ["a", "b"], "g", "s", "id").collect()]
     assert find("RS12 ") == [2, 1] and find("8") == [] and find("08") == [] and find("abc") == [1, 3] and find("a") == []
     assert [r.id for r in R.search(df.withColumn("a", F.col("a") + 10), "18", "rs", ["a", "b"], "g", "s", "id").collect()] == [2]
+
+
+def test_metadata_heads_go_and_null_heads_stay(spark):
+    df = spark.createDataFrame([("exon_number", 1.0), ("depth", 2.0), (None, 3.0), ("Exon_number", 4.0)], "head string, value double")
+    assert {tuple(r) for r in schema.without_metadata(df).collect()} == {("depth", 2.0), (None, 3.0), ("Exon_number", 4.0)}
+    assert schema.without_metadata(df.limit(0)).collect() == []

@@ -50,6 +50,15 @@ def feature_groups(columns: list[str], prefixes: tuple[str, ...]) -> dict[str, l
     return out
 
 
+# Heads that are positions or counts, no properties to predict.
+METADATA_HEADS = ("residue_number", "exon_number", "n_transcripts_with_exon", "ppi_partner_count", "fstack_state")
+
+
+def without_metadata(df: DataFrame, head: str = "head") -> DataFrame:
+    """P20: rows of long form, or of a catalog of heads, whose head is no metadata; a null head stays."""
+    return df.filter(~F.coalesce(F.col(head).isin(*METADATA_HEADS), F.lit(False)))
+
+
 def column_health(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n, nulls, nans, std): one pass over all columns."""
     value = lambda c: F.col(c).cast("double")

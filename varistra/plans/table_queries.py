@@ -69,6 +69,15 @@ def head_stats(t: Tables) -> DataFrame:
     return hist.head_stats(schema.unpivot(t.lineitem, [], HEADS))
 
 
+@query("p20_metadata_heads", """
+WITH long AS (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME head VALUE v)
+SELECT head, count(*) AS n, round(avg(v), 5) AS mean, round(stddev_samp(v), 5) AS std FROM long GROUP BY head HAVING count(*) > 10""")
+def metadata_heads(t: Tables) -> DataFrame:
+    """P20."""
+    wide = t.lineitem.withColumns({"exon_number": F.col("l_linenumber").cast("double"), "residue_number": F.col("l_partkey").cast("double")})
+    return hist.head_stats(schema.without_metadata(schema.unpivot(wide, [], [*HEADS, "exon_number", "residue_number"])))
+
+
 @query("w12_abs_zscore", """
 WITH s AS (SELECT round(avg(l_quantity), 5) AS m, round(stddev_samp(l_quantity), 5) AS d FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_quantity AS value, round(abs(l_quantity - m) / d, 2) AS z FROM lineitem, s""")
