@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varistra.llm import common, decontaminate, divergence, filter_audit, html_text, line_dedup, minhash, mixing, order_minhash, quality, token_output, toxicity, warc
+from varistra.llm import common, decontaminate, divergence, filter_audit, html_text, line_dedup, minhash, mixing, order_minhash, quality, suffix_dedup, token_output, toxicity, warc
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes, those removed as repeated strings of 50 bytes, and a digest of the rest."""
+    left = suffix_dedup.dedup_bytes(common.read_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source's divergence from every other of its language, and its 200 most typical terms."""
     return divergence.audit(common.read_table(spark, sf_dir, "documents"))
@@ -86,6 +92,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op10_decontaminate": op10_decontaminate,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_source_divergence": op12_source_divergence,
     "op13_filter_audit": op13_filter_audit,
     "op2_mixing": op2_mixing,
