@@ -99,15 +99,17 @@ def test_windows_depend_on_their_bytes_alone():
     rng = np.random.default_rng(6)
     data = rng.integers(97, 100, 200_000).astype(np.uint8)
     data[150_000:150_500] = data[100:600]
-    h, place, first, end = S.anchors(data)
+    grams = S.gram_hashes(data)
+    h, place, first, end = S.anchors(grams, np.ones(len(data) - 49, bool))
     assert first[0] == 0 and end[-1] == len(data) - 49 and (first[1:] == end[:-1]).all() and (end > first).all()
-    assert ((place >= end - 1) & (place - first <= 25)).all()
+    assert ((place >= end - 1) & (place - first <= 25)).all() and (place[1:] != place[:-1]).all()
     of = np.repeat(np.arange(len(h)), end - first)
     for i in rng.integers(0, 450, 60).tolist():
         a, b = of[100 + i], of[150_000 + i]
         assert h[a] == h[b] and place[a] - (100 + i) == place[b] - (150_000 + i)
-        ((h1,), (p1,), _, _) = S.anchors(data[100 + i : 150 + i])
+        ((h1,), (p1,), _, _) = S.anchors(grams[100 + i : 126 + i], np.ones(1, bool))
         assert h1 == h[a] and p1 == place[a] - (100 + i)
+    assert 0.4 < (h < 1 << 47).mean() < 0.6  # ranges of hashes are equally full
     for w in (1, 2, 25, 50):
         (r,) = S.rolling(data[:500], (w,))
         assert len(r) == 501 - w and r[7] == S.rolling(data[7 : 7 + w], (w,))[0][0]

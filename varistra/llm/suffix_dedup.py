@@ -43,6 +43,8 @@ WIDTH, GRAM = 50, 25
 SIDE = (WIDTH - GRAM + 1) // 2  # bytes that a window has left or right of its anchor at least
 CHUNK_BYTES, SORT_BYTES, RANGE_BYTES = 4 << 20, 1 << 20, 16 << 20
 ANCHOR_BITS = 48
+#: Strings hashed at a time; their places take 16 bits.
+BLOCK = 0xFFFF
 FOLDER_CHUNKS, MOST_FOLDERS = 16, 4096
 LOWEST = -(1 << 63)
 #: Ends what is sorted: no UTF-8 text has these bytes, so no window equals a string cut short.
@@ -83,6 +85,29 @@ def rolling(data: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
         of_power = join_hashes(of_power[: max(0, len(of_power) - power // 2)], of_power[power // 2 :])
 
 
+def in_order(keys: list[np.ndarray]) -> np.ndarray:
+    """Places in rising order of the first key; ties are sorted by the next, and so on."""
+    order = np.argsort(keys[0])
+    if not len(order):
+        return order
+    key = keys[0][order]
+    new = np.ones(len(order), bool)
+    new[1:] = key[1:] != key[:-1]
+    for key in keys[1:]:
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        group = (np.cumsum(new) - 1)[at]
+        sub = order[at]
+        by = np.lexsort((key[sub], group))  # groups stay where they are
+        order[at] = sub = sub[by]
+        value = key[sub]
+        new[at[1:]] = (value[1:] != value[:-1]) | (group[1:] != group[:-1])
+    return order
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each ``width`` neighbours."""
     span, n = 1, len(x) - width + 1
@@ -92,60 +117,72 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - span : width - span + n])
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first window, end of windows) of each anchor of a text of at least WIDTH bytes."""
-    (grams,) = rolling(data, (GRAM,))
-    span = WIDTH - GRAM + 1
-    # the upper bits order the strings; the lower ones hold the place, so that of equal ones the leftmost is the smallest
-    low = U(0xFFFF)
-    if len(grams) <= 0xFFFF:
-        least = sliding_min((grams & ~low) | np.arange(len(grams), dtype=U), span)
-        begins = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        place = (least[begins] & low).astype(np.int64)
-        hashed = least[begins] >> U(16)
-    else:  # in parts that overlap by a window less one place, each with places of its own
-        step, found = 0xFFFF - span + 1, []
-        for at in range(0, len(grams) - span + 1, step):
-            part = grams[at : at + step + span - 1]
-            least = sliding_min((part & ~low) | np.arange(len(part), dtype=U), span)
-            found.append(((least >> U(16)), (least & low).astype(np.int64) + at))
-        h, p = (np.concatenate(x) for x in zip(*found))
-        begins = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        hashed, place = h[begins], p[begins]
-    ends = np.concatenate([begins[1:], [len(data) - WIDTH + 1]])
-    return hashed, place, begins, ends
-
-
-def phrase_hashes(data: np.ndarray, place: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """56 bits of each phrase and of where its anchor is: its first and its last window cover it."""
-    (windows,) = rolling(data, (WIDTH,))
-    own = (place - first).astype(U) * U(64) + (place - (end - 1)).astype(U)
-    return mixed(join_hashes(windows[first], windows[end - 1]) + own * U(0x9E3779B97F4A7C15)) >> U(8)
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of all GRAM-byte strings, in blocks that fit in a core's cache."""
+    out = np.zeros(max(0, len(data) - GRAM + 1), U)
+    for at in range(0, len(out), BLOCK):
+        (out[at : at + BLOCK],) = rolling(data[at : at + BLOCK + GRAM - 1], (GRAM,))
+    return out
+
+
+def anchors(grams: np.ndarray, begins_here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, first window, end of windows) of each anchor, in order; begins_here tells which windows count."""
+    span, parts = WIDTH - GRAM + 1, []
+    # the upper bits order the strings; the lower ones hold the place in a block, so that of equal ones the leftmost is the smallest
+    low, step = U(0xFFFF), BLOCK - span + 1
+    for at in range(0, len(begins_here), step):
+        block = grams[at : at + BLOCK]
+        windows = np.flatnonzero(begins_here[at : at + step])
+        if not len(windows):
+            continue
+        least = sliding_min((block & ~low) | np.arange(len(block), dtype=U), span)[windows]
+        new = np.ones(len(windows), bool)
+        new[1:] = (least[1:] != least[:-1]) | (windows[1:] != windows[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(windows)) - 1
+        parts.append((least[first] >> U(16), (least[first] & low).astype(np.int64) + at, windows[first] + at, windows[last] + at + 1))
+    if not parts:
+        return np.zeros(0, U), *[np.zeros(0, np.int64)] * 3
+    h, place, first, end = (np.concatenate(x) for x in zip(*parts))
+    goes_on = np.zeros(len(h), bool)  # from one block into the next
+    goes_on[1:] = (place[1:] == place[:-1]) & (first[1:] == end[:-1])
+    stays, last = ~goes_on, np.append(~goes_on[1:], True)
+    return mixed(h[stays]) >> U(64 - ANCHOR_BITS), place[stays], first[stays], end[last]  # mixed again: minima are small numbers
+
+
+def phrase_hashes(grams: np.ndarray, place: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """56 bits of each phrase and of where its anchor is: its first and its last window, two strings each, cover it."""
+    half, last = WIDTH - GRAM, end - 1
+    windows = join_hashes(join_hashes(grams[first], grams[first + half]), join_hashes(grams[last], grams[last + half]))
+    own = (place - first).astype(U) * U(64) + (place - last).astype(U)
+    return mixed(join_hashes(windows, own * U(0x9E3779B97F4A7C15))) >> U(8)
 
 
 class Chunk:
     """The phrases of a chunk's texts: distinct (anchor, phrase) in order, each with its first document."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
-        self.texts, n = texts, len(texts)
+        self.texts = texts
         self.doc_ids, self.rank = np.unique(np.array(ids, np.int64), return_inverse=True)  # equal doc_ids are one document
-        parts = []
-        for i in range(n):
-            data = np.frombuffer(texts[i], np.uint8)
-            if len(data) >= WIDTH:
-                h, place, first, end = anchors(data)
-                parts.append((h, phrase_hashes(data, place, first, end), np.full(len(h), i), place, first, end))
-        columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, U), np.zeros(0, U), *[np.zeros(0, np.int64)] * 4]
-        rank = self.rank[columns[2]] if len(columns[2]) else columns[2]
-        order = np.lexsort((rank, columns[1], columns[0]))
-        self.anchor, self.phrase, self.text, self.place, self.first, self.end = (c[order] for c in columns)
-        rank = rank[order]
-        new = np.ones(len(order), bool)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        grams = gram_hashes(np.frombuffer(b"".join(texts), np.uint8))
+        counts = np.zeros(max(0, int(lengths.sum()) - WIDTH + 1), bool)
+        for a, n in zip(starts.tolist(), lengths.tolist()):
+            counts[a : max(a, a + n - WIDTH + 1)] = True
+        anchor, place, first, end = anchors(grams, counts)
+        phrase = phrase_hashes(grams, place, first, end)
+        text = np.searchsorted(starts, first, "right") - 1  # of texts that begin there only the last isn't empty
+        rank = self.rank[text]
+        order = in_order([anchor, phrase, rank])
+        self.anchor, self.phrase, self.text = anchor[order], phrase[order], text[order]
+        self.place, self.first, self.end = (x[order] - starts[self.text] for x in (place, first, end))
+        rank, new = rank[order], np.ones(len(order), bool)
         new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.phrase[1:] != self.phrase[:-1])
         self.begins = np.flatnonzero(new)
         self.entry = np.cumsum(new) - 1
-        self.own = rank[self.begins] if len(order) else rank  # the smallest document of each entry
-        self.later = rank > self.own[self.entry] if len(order) else np.zeros(0, bool)
+        self.own = rank[self.begins]  # the smallest document of each entry
+        self.later = rank > self.own[self.entry]
 
     def cuts(self, ranges: int) -> np.ndarray:
         """Where each range of anchor hashes begins among the entries; the last is their number."""
@@ -248,7 +285,7 @@ def anchor_records(chunks: DataFrame, ranges: int) -> DataFrame:
 def verdicts(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """For each entry of some chunks' lists of one range 0, 1: an earlier document has this phrase, or 2: to be sorted."""
     anchor, phrase, doc = (np.concatenate(x) for x in zip(*lists))
-    order = np.lexsort((doc, phrase, anchor))
+    order = in_order([anchor, phrase, doc])
     a, p, d = anchor[order], phrase[order], doc[order]
     new_a = np.concatenate([[True], a[1:] != a[:-1]])
     new_p = new_a | np.concatenate([[True], p[1:] != p[:-1]])
@@ -362,27 +399,6 @@ def words_at(data: np.ndarray, count: int) -> list[np.ndarray]:
     return [word[8 * i : 8 * i + len(data)] for i in range(count)]
 
 
-def sort_directly(places: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    """places in the order of the strings there: by their first word, ties by the next, and so on."""
-    order = places[np.argsort(words[0][places], kind="stable")]
-    key = words[0][order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    for word in words[1:]:
-        group = np.cumsum(new) - 1
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        sub = order[at]
-        by = np.lexsort((word[sub], group[at]))
-        order[at] = sub = sub[by]
-        value = word[sub]
-        same = np.concatenate([[False], (value[1:] == value[:-1]) & (group[at][1:] == group[at][:-1])])
-        new[at] = ~same
-    return order
-
-
 def suffix_array(data: np.ndarray, depth: int = WIDTH) -> np.ndarray:
     """All suffixes of data in the order of their first ``depth`` bytes at least, in two stages.
 
@@ -398,7 +414,8 @@ def suffix_array(data: np.ndarray, depth: int = WIDTH) -> np.ndarray:
     inside = after < len(changes)
     at = changes[after[inside]]
     rises[inside] = data[at] < data[at + 1]
-    direct = sort_directly(np.flatnonzero(rises), words_at(data, -(-depth // 8) + 1))
+    rising_at = np.flatnonzero(rises)
+    direct = rising_at[in_order([w[rising_at] for w in words_at(data, -(-depth // 8) + 1)])]
     counts = np.bincount(data, minlength=256)
     rising = np.split(direct, np.cumsum(np.bincount(data[direct], minlength=256))[:-1])
     falling: list[list[np.ndarray]] = [[] for _ in range(256)]
