@@ -58,9 +58,12 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 4 << 20), (2, 700), (3, 5000)])
-def test_equals_brute_force(spark, monkeypatch, seed, chunk):
+@pytest.mark.parametrize("seed,chunk,crowd,hot", [(1, 4 << 20, 16, 20_000), (2, 700, 1, 3), (3, 5000, 2, 1)])
+def test_equals_brute_force(spark, monkeypatch, seed, chunk, crowd, hot):
+    """One chunk and many, with and without anchors and keys of too many phrases."""
     monkeypatch.setattr(S, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(S, "MOST_PHRASES", crowd)
+    monkeypatch.setattr(S, "HOT_PHRASES", hot)
     monkeypatch.setattr(S, "SORT_BYTES", 2000)
     rows = corpus(seed, 150)
     got = same(S.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), rows)

@@ -22,8 +22,10 @@ together they are its phrase, at most 75 bytes, and every window lies in exactly
    document are repeated.
 5. ``apply``: each chunk takes its answers from the shared folder, marks bytes and cuts them out.
 
-Phrase hashes have 56 bits within an anchor's 48; windows of sorted phrases are compared byte by byte. Nothing is capped: what
-one task holds of an anchor are its different phrases, an entry for each chunk at most.
+Phrase hashes have 56 bits within an anchor's 48; windows of sorted phrases are compared byte by byte. Nothing is capped. A
+passage that very many documents have, each with other words around it, gives an anchor very many phrases: a chunk passes on two of
+them and has the others sorted in any case, and keys of over ``HOT_PHRASES`` phrases are settled window by window, by
+aggregates that begin in each task (``single_windows``).
 
 Defined results. A null text counts as empty; texts under 50 bytes stay whole. Rows that share a doc_id are one document for
 what is smaller: neither loses bytes to the other. A null doc_id is smaller than any other. A repeated row gets its copy's
@@ -46,6 +48,8 @@ ANCHOR_BITS = 48
 #: Strings hashed at a time; their places take 16 bits.
 BLOCK = 0xFFFF
 FOLDER_CHUNKS, MOST_FOLDERS = 16, 4096
+#: Different phrases of an anchor that a chunk passes on; phrases of a key that are sorted in one task.
+MOST_PHRASES, HOT_PHRASES = 16, 20_000
 LOWEST = -(1 << 63)
 #: Ends what is sorted: no UTF-8 text has these bytes, so no window equals a string cut short.
 END = b"\xff" * 64
@@ -183,11 +187,22 @@ class Chunk:
         self.entry = np.cumsum(new) - 1
         self.own = rank[self.begins]  # the smallest document of each entry
         self.later = rank > self.own[self.entry]
+        self.sent = self.to_judge()
+
+    def to_judge(self) -> np.ndarray:
+        """The entries that are passed on: all but those of anchors with over MOST_PHRASES, of which the first and the last document's are."""
+        anchor = self.anchor[self.begins]
+        order = in_order([anchor, self.own])
+        sizes = np.unique(anchor, return_counts=True)[1]
+        last = np.cumsum(sizes)
+        keep = np.repeat(sizes <= MOST_PHRASES, sizes)
+        keep[last - sizes] = keep[last - 1] = True
+        return np.sort(order[keep])
 
     def cuts(self, ranges: int) -> np.ndarray:
-        """Where each range of anchor hashes begins among the entries; the last is their number."""
+        """Where each range of anchor hashes begins among the entries sent; the last is their number."""
         lows = np.array([-(-(i << ANCHOR_BITS) // ranges) for i in range(ranges)], U)
-        return [*np.searchsorted(self.anchor[self.begins], lows).tolist(), len(self.begins)]
+        return [*np.searchsorted(self.anchor[self.begins[self.sent]], lows).tolist(), len(self.sent)]
 
 
 def planes(x: np.ndarray, size: int) -> bytes:
@@ -272,11 +287,12 @@ def anchor_records(chunks: DataFrame, ranges: int) -> DataFrame:
 
         for name, c in opened(batches):
             cuts, parts, out = c.cuts(ranges), [], []
-            anchor, phrase = c.anchor[c.begins], c.phrase[c.begins]
+            at, own = c.begins[c.sent], c.own[c.sent]
+            anchor, phrase = c.anchor[at], c.phrase[at]
             for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if a < b:
                     parts.append(i)
-                    out.append(pack(anchor[a:b], phrase[a:b], c.own[a:b], c.doc_ids))
+                    out.append(pack(anchor[a:b], phrase[a:b], own[a:b], c.doc_ids))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array(out, pa.binary())], ["part", "chunk", "pack"])
 
     return chunks.mapInArrow(run, "part int, chunk long, pack binary")
@@ -349,14 +365,16 @@ def read_answers(path: str, folder: int, name: int):
 
 
 def codes_of(c: Chunk, name: int, folder: int, path: str, ranges: int) -> np.ndarray:
-    """The verdicts of a chunk's entries."""
+    """The verdicts of a chunk's entries; those that weren't sent are to be sorted."""
     import zstandard
 
-    cuts, out = c.cuts(ranges), np.zeros(len(c.begins), np.uint8)
+    cuts, found = c.cuts(ranges), np.zeros(len(c.sent), np.uint8)
     for table in read_answers(path, folder, name):
         for part, data in zip(table.column("part").to_pylist(), table.column("codes").to_pylist()):
             n = int.from_bytes(data[:4], "little")
-            out[cuts[part] : cuts[part] + n] = np.frombuffer(zstandard.decompress(data[4:]), np.uint8)
+            found[cuts[part] : cuts[part] + n] = np.frombuffer(zstandard.decompress(data[4:]), np.uint8)
+    out = np.full(len(c.begins), 2, np.uint8)
+    out[c.sent] = found
     return out
 
 
@@ -482,7 +500,29 @@ def repeated(texts: list[bytes], windows: np.ndarray, docs: np.ndarray) -> list[
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """(chunk, entry, mask): bit i stands for the window that begins i bytes left of the anchor."""
+    """(chunk, entry, mask): bit i stands for the window that begins i bytes left of the anchor.
+
+    Keys of over HOT_PHRASES phrases never meet in one task: their windows are compared one by one."""
+    rows = common.materialise(rows, "phrases")
+    hot = common.materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_PHRASES).select("key"), "hot")
+    if hot.isEmpty():
+        return sorted_windows(rows)
+    return sorted_windows(rows.join(hot, "key", "left_anti")).union(single_windows(rows.join(hot, "key", "left_semi")))
+
+
+def single_windows(rows: DataFrame) -> DataFrame:
+    """The same by the smallest document of each window, summed up in each task first and joined back in salted parts."""
+    salt = F.pmod(F.xxhash64("chunk", "entry"), F.lit(common.SALTS)).cast("int").alias("salt")
+    each = rows.select("doc_id", "chunk", "entry", "back", "text", salt, F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("i"))
+    each = each.select("doc_id", "chunk", "entry", "salt", F.substring("text", F.col("i") + 1, F.lit(WIDTH)).alias("window"), (F.col("back") - F.col("i")).alias("left"))
+    least = each.groupBy("window", "salt").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n")).groupBy("window").agg(F.min("doc").alias("least"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts"))
+    least = least.filter("n > 1").select("window", "least", F.explode("salts").alias("salt"))
+    lost = each.join(least, ["window", "salt"]).filter("doc_id > least")
+    return lost.groupBy("chunk", "entry").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("left"))).alias("mask"))
+
+
+def sorted_windows(rows: DataFrame) -> DataFrame:
+    """The same by sorting the suffixes of each key's phrases."""
 
     def run(batches):
         import pyarrow as pa
