@@ -170,13 +170,38 @@ def test_bootstrap_split_permutation(spark):
     assert p.observed > p.null_mean and p.p == pytest.approx(1 / 51) and p.z > 2
 
 
-def test_ridge_and_linkage():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(80, 5))
-    alpha, r2 = resample.ridge_path(x, x @ np.arange(5) + rng.normal(size=80) * 0.1, np.logspace(-2, 3, 10))
-    assert alpha < 10 and r2 > 0.95
-    d = np.abs(np.array([0, 1, 5, 6.5])[:, None] - np.array([0, 1, 5, 6.5])[None, :])
-    assert resample.linkage(d) == [(0, 1, 1.0), (2, 3, 1.5), (4, 5, 5.25)]
+def test_shuffled_places_are_permutations():
+    for n in (1, 2, 7, 1000):
+        sent = resample.shuffled_places(np.arange(n), n, 3, np.arange(1, 30))
+        assert (np.sort(sent, 0) == np.arange(n)[:, None]).all()
+    # a place goes everywhere, and neighbours don't stay neighbours
+    sent = resample.shuffled_places(np.arange(10), 10, 5, np.arange(4000))
+    assert all(abs((sent[i] == j).mean() - 0.1) < 0.025 for i in range(10) for j in range(10))
+    assert abs(((sent[1] - sent[0]) % 10 == 1).mean() - 1 / 9) < 0.025
+
+
+def test_draws_are_even_and_the_same_everywhere(spark):
+    df = spark.range(-5, 5000).select("id", resample.draw(3, F.col("id"), F.lit(2)).alias("d")).collect()
+    d = np.array([r.d for r in df])
+    assert (d == resample.draws(3, np.array([r.id for r in df]), 2)).all() and d.min() >= 0 and d.max() < resample.PRIME
+    assert np.abs(np.histogram(d / resample.PRIME, 10, (0, 1))[0] - 500).max() < 110
+
+
+def test_overlap_tail_is_exact(spark):
+    from math import comb
+
+    from varistra.functions import exact
+
+    cases = [(a, b, c, n) for n in (5, 40, 300, 5000) for b in (0, 3, n // 3, n) for c in (0, 2, n // 2, n) for a in (0, 1, 2, n // 9, n // 4, n)] + [(3, 9, 2, 8), (-1, 2, 2, 8), (None, 1, 1, 2)]
+    got = spark.createDataFrame(cases, "a long, b long, c long, n long").withColumn("p", exact.overlap_tail(*map(F.col, "abcn"))).collect()
+    for r in got:
+        if r.a is None or r.a < 0 or r.b > r.n or r.c > r.n:
+            assert r.p is None
+        else:
+            want = sum(comb(r.b, k) * comb(r.n - r.b, r.c - k) for k in range(max(r.a, r.b + r.c - r.n, 0), min(r.b, r.c) + 1)) / comb(r.n, r.c)
+            assert r.p == pytest.approx(want, rel=1e-9, abs=1e-300)
+    row = spark.createDataFrame([(8, 2, 1, 5)], "a int, b int, c int, d int").select(exact.fisher_greater(*map(F.col, "abcd")).alias("p")).first()
+    assert row.p == pytest.approx(special.fisher_greater(8, 2, 1, 5))
 
 
 def test_retrieval_f1_is_harmonic(spark):

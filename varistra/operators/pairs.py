@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from varistra.functions import exact
 from varistra.operators.stats import safe_ratio
 
 
@@ -65,3 +66,23 @@ def recurrence(hits: DataFrame, entry: str, group: str, effect: str) -> DataFram
     """(entry, sets, mean_effect, score, names): in how many sets an entry recurs, and sets times mean absolute effect."""
     s = hits.groupBy(entry).agg(F.count(F.lit(1)).alias("sets"), F.avg(effect).alias("mean_effect"), F.avg(F.abs(effect)).alias("a"), F.sort_array(F.collect_set(group)).alias("names"))
     return s.select(entry, "sets", "mean_effect", (F.col("sets") * F.col("a")).alias("score"), "names")
+
+
+def top_overlap(df: DataFrame, key: str, first: str, second: str, tops: list[int]) -> DataFrame:
+    """(top, n, shared, expected, p): for each of tops how many of the first rows by two scores are the same, how many would be by
+    chance, and the exact chance of as many or more.
+
+    Higher scores come first, ties by key; null scores count as the lowest. Only the largest top of either score is kept and
+    joined, so no ranking of all rows is made."""
+    most = max(tops)
+    ranked = []
+    for score in (first, second):
+        best = df.select(key, F.col(score).alias("s")).orderBy(F.desc_nulls_last("s"), key).limit(most)  # at most ``most`` rows
+        ranked.append(best.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("s"), key))).select(key, "place"))
+    both = ranked[0].join(ranked[1].withColumnRenamed("place", "other"), key).select(F.greatest("place", "other").alias("needs"))
+    total = df.agg(F.count(F.lit(1)).alias("n"))
+    sized = total.select("n", F.explode(F.array(*map(F.lit, tops))).alias("top"))
+    hits = both.groupBy().agg(F.collect_list("needs").alias("needs"))  # at most ``most`` numbers
+    out = sized.join(F.broadcast(hits), F.lit(True)).withColumn("shared", F.size(F.filter("needs", lambda x: x <= F.col("top"))).cast("long"))
+    top = F.least(F.col("top").cast("long"), F.col("n"))
+    return out.select("top", "n", "shared", (top * top / F.col("n")).alias("expected"), exact.overlap_tail(F.col("shared"), top, top, F.col("n")).alias("p"))

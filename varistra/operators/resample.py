@@ -1,15 +1,37 @@
-"""Matched controls, bootstrap and permutation by arithmetic hashes: seeded, order-free, the same on every cluster."""
+"""Matched controls, bootstrap and permutation by arithmetic draws: seeded, order-free, the same on every cluster and in SQL."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def draw(seed: int, *columns) -> Column:
-    """A uniform 63-bit number of the columns' values."""
-    return F.xxhash64(F.lit(seed), *columns).bitwiseAND(F.lit((1 << 63) - 1))
+#: Draws are numbers under this prime.
+PRIME = 2147483647
+#: Multipliers and addends of a draw.
+FACTOR, SLOPE, SHIFT, STEP = 48271, 40692, 12345, 11
+
+
+def draw(seed: int, *columns: Column) -> Column:
+    """A number from 0 to PRIME - 1 of whole-number columns: each turns the number so far by a product modulo PRIME."""
+    s = F.lit(seed).cast("long")
+    for c in columns:
+        c = F.pmod(c.cast("long"), F.lit(PRIME))
+        s = ((s + c) % PRIME * ((c * SLOPE + SHIFT) % PRIME) % PRIME * FACTOR + STEP) % PRIME
+    return s
+
+
+def sql_draw(seed: int, *columns: str) -> str:
+    """The same as SQL."""
+    s = str(seed)
+    for c in columns:
+        s = f"(((({s} + {c}) % {PRIME}) * ((({c}) * {SLOPE} + {SHIFT}) % {PRIME}) % {PRIME} * {FACTOR} + {STEP}) % {PRIME})"
+    return s
+
+
+def number(df: DataFrame, column: str) -> Column:
+    """A column as a whole number to draw by: itself, or a hash of values of other types."""
+    return F.col(column) if dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(column)
 
 
 def matched_controls(sources: DataFrame, candidates: DataFrame, bucket: list[str], key: str, seed: int, tries: int = 20) -> DataFrame:
@@ -20,7 +42,7 @@ def matched_controls(sources: DataFrame, candidates: DataFrame, bucket: list[str
     w = Window.partitionBy(*bucket).orderBy(key)
     table = candidates.select(*bucket, F.col(key).alias("control"), (F.row_number().over(w) - 1).alias("place"))
     sizes = candidates.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size"))
-    tried = sources.join(sizes, bucket).select(*bucket, key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: draw(seed, F.col(key), i) % F.col("size"))).alias("nth", "place"))
+    tried = sources.join(sizes, bucket).select(*bucket, key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: draw(seed, number(sources, key), i) % F.col("size"))).alias("nth", "place"))
     ok = tried.join(table, [*bucket, "place"]).filter(F.col("control") != F.col(key))
     return ok.groupBy(key).agg(F.min_by("control", "nth").alias("control"))
 
@@ -28,12 +50,16 @@ def matched_controls(sources: DataFrame, candidates: DataFrame, bucket: list[str
 def collapse(df: DataFrame, group: str, key: str, repeats: int, seed: int) -> DataFrame:
     """(repeat, group, key): one row of each group in each repeat."""
     many = df.select(group, key, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    return many.groupBy("repeat", group).agg(F.min_by(key, F.struct(draw(seed, F.col("repeat"), F.col(key)), key)).alias(key))
+    return many.groupBy("repeat", group).agg(F.min_by(key, F.struct(draw(seed, F.col("repeat"), number(df, key)), key)).alias(key))
 
 
 def disjoint_split(df: DataFrame, group: str, share: float, seed: int) -> DataFrame:
     """Df with split: train or test; all rows of a group go the same way, about ``share`` of the groups to test."""
-    return df.withColumn("split", F.when(draw(seed, F.col(group)) / float(1 << 63) < share, "test").otherwise("train"))
+    return df.withColumn("split", F.when(draw(seed, number(df, group), F.lit(1)) / PRIME < share, "test").otherwise("train"))
+
+
+#: The chances that a Poisson(1) number is at most 0, 1, ... 8.
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402]
 
 
 def bootstrap(df: DataFrame, group: str, value: str, replicates: int, seed: int, least: int = 10, by: list[str] | None = None) -> DataFrame:
@@ -44,11 +70,10 @@ def bootstrap(df: DataFrame, group: str, value: str, replicates: int, seed: int,
     replicates are sums over groups in one aggregate and nothing is collected."""
     by = by or []
     sums = df.filter(F.col(value).isNotNull()).groupBy(*by, group).agg(F.avg(F.col(value).cast("double")).alias("m"))
-    u = draw(seed, F.col(group), F.col("rep")) / float(1 << 63)
-    cuts = np.cumsum([np.exp(-1) / np.prod(np.arange(1, i + 1), initial=1) for i in range(9)])
-    times = F.lit(9)
-    for i in range(8, -1, -1):
-        times = F.when(u < float(cuts[i]), i).otherwise(times)
+    u = draw(seed, number(df, group), F.col("rep")) / PRIME
+    times = F.lit(len(POISSON))
+    for i in range(len(POISSON) - 1, -1, -1):
+        times = F.when(u < POISSON[i], i).otherwise(times)
     reps = sums.select(*by, group, "m", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("k", times)
     means = reps.groupBy(*by, "rep").agg((F.sum(F.col("k") * F.col("m")) / F.greatest(F.lit(1), F.sum("k"))).alias("b"))
     ci = means.groupBy(*by).agg(F.percentile("b", F.lit(0.025)).alias("lo"), F.percentile("b", F.lit(0.975)).alias("hi"))
@@ -72,7 +97,7 @@ def split_halves(long: DataFrame, group: str, feature: str, value: str, repeats:
     half: true for the first half, an expression of the group and ``repeat``; a hash of both where none is given."""
     from varistra.operators.stats import spearman
 
-    half = draw(seed, F.col(group), F.col("repeat")) % 2 == 0 if half is None else half
+    half = draw(seed, number(long, group), F.col("repeat")) % 2 == 0 if half is None else half
     means = long.groupBy(group, feature).agg(F.avg(F.col(value).cast("double")).alias("m"))
     many = means.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("half", half)
     sides = many.groupBy("repeat", feature).agg(F.avg(F.when(F.col("half"), F.col("m"))).alias("a"), F.avg(F.when(~F.col("half"), F.col("m"))).alias("b"))
@@ -80,66 +105,75 @@ def split_halves(long: DataFrame, group: str, feature: str, value: str, repeats:
     return spearman(both, ["repeat"], "a", "b", 2).select("repeat", F.col("n").alias("features"), F.col("r").alias("rho"))
 
 
+#: Turns of a permutation.
+ROUNDS = 24
+
+
+def draws(seed: int, *columns):
+    """``draw`` over numpy arrays."""
+    import numpy as np
+
+    s = np.int64(seed)
+    for c in columns:
+        c = np.asarray(c, np.int64) % PRIME
+        s = ((s + c) % PRIME * ((c * SLOPE + SHIFT) % PRIME) % PRIME * FACTOR + STEP) % PRIME
+    return s
+
+
+def shuffled_places(places, n: int, seed: int, reps):
+    """Where places from 0 to n - 1 go in a permutation of their own for each of reps: worked out for each place alone, not sorted.
+
+    In a turn every place has a partner, the one that adds up with it to a number drawn for the turn, and both change
+    places or neither does, by a draw of the larger one. So no two places ever meet."""
+    import numpy as np
+
+    x, reps = np.broadcast_arrays(np.asarray(places, np.int64)[:, None], np.asarray(reps, np.int64)[None, :])
+    for r in range(ROUNDS):
+        partner = (draws(seed, reps[:1], r) - x) % n
+        x = np.where(draws(seed, reps, r, np.maximum(x, partner)) // 64 % 2 == 1, partner, x)
+    return x
+
+
+def dense_places(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """df with ``place``: 0 for the smallest key, 1 for the next, ... of distinct numeric keys, without one task that sorts all."""
+    from varistra.operators.relational import overall_rank
+
+    return overall_rank(df, key, "place", parts).withColumn("place", (F.col("place") - 1).cast("long"))
+
+
 def permutation_null(pairs: DataFrame, labels: DataFrame, key: str, label: str, replicates: int, seed: int) -> DataFrame:
     """One row: observed, null_mean, null_std, z, p: share of pairs(u, v) with equal labels against shuffled labels.
 
-    In each replicate nodes are ordered by a hash and get the labels of the nodes in order of their key, so every
-    replicate is a true permutation; replicates run side by side as one join."""
-    nodes = labels.select(F.col(key).alias("node"), F.col(label).alias("lab"))
-    base = nodes.withColumn("place", F.row_number().over(Window.orderBy("node")))
-    reps = base.select("node", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    shuffled = reps.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(draw(seed, F.col("rep"), F.col("node")), "node")))
-    given = shuffled.join(base.select("place", "lab"), "place").select("rep", "node", "lab")
-    x, y = given.select("rep", F.col("node").alias("u"), F.col("lab").alias("lu")), given.select("rep", F.col("node").alias("v"), F.col("lab").alias("lv"))
-    null = pairs.join(x, "u").join(y, ["rep", "v"]).groupBy("rep").agg(F.avg((F.col("lu") == F.col("lv")).cast("double")).alias("s"))
-    a, b = nodes.select(F.col("node").alias("u"), F.col("lab").alias("lu")), nodes.select(F.col("node").alias("v"), F.col("lab").alias("lv"))
-    seen = pairs.join(a, "u").join(b, "v").agg(F.avg((F.col("lu") == F.col("lv")).cast("double")).alias("observed"))
-    both = null.crossJoin(F.broadcast(seen)).groupBy("observed").agg(F.avg("s").alias("null_mean"), F.stddev_pop("s").alias("null_std"), F.count_if(F.col("s") >= F.col("observed")).alias("r"), F.count(F.lit(1)).alias("n"))  # one row
+    Nodes have dense places by key, labels stand in their order in one list, and in each replicate a place is sent to another by
+    ``shuffled_places``: a true permutation of the labels, worked out for each node on its own. A node has a list of
+    its labels in all replicates; both nodes' lists meet at the pair, and the pairs are counted by replicate in each task
+    first. Classes' counts go to all tasks, a number for each class. Nodes with a null key or label are left out, and pairs with
+    them; keys are whole numbers under 2^53."""
+    nodes = labels.select(F.col(key).cast("long").alias("node"), F.col(label).alias("lab")).filter("node is not null and lab is not null")
+    classes = nodes.groupBy("lab").agg(F.count(F.lit(1)).alias("c"))
+    ends = classes.groupBy().agg(F.array_sort(F.collect_list(F.struct("lab", "c"))).alias("cs"))  # one row, an entry for each class
+    ends = ends.select(F.aggregate("cs", F.array().cast("array<bigint>"), lambda s, e: F.array_append(s, F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + e["c"])).alias("ends"), F.transform("cs", lambda e: e["lab"]).alias("labs"))
+    placed = dense_places(nodes, "node").join(F.broadcast(ends), F.lit(True))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, min(512, batch.num_rows - at))
+                ends = np.array(part.column(2)[0].as_py(), np.int64)
+                sent = shuffled_places(part.column(1).to_numpy(), int(ends[-1]), seed, np.arange(1, replicates + 1))
+                known = np.searchsorted(ends, sent, "right").astype(np.int32)
+                own = part.column(3).to_numpy().astype(np.int32)
+                lists = np.concatenate([own[:, None], known], 1)  # first the true one
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * lists.shape[1]), pa.array(lists.reshape(-1)))], ["node", "labs"])
+
+    own = F.array_position("labs", F.col("lab")).cast("int") - 1
+    given = placed.select("node", "place", "ends", own.alias("own")).mapInArrow(run, "node long, labs array<int>")
+    x, y = given.select(F.col("node").alias("u"), F.col("labs").alias("lu")), given.select(F.col("node").alias("v"), F.col("labs").alias("lv"))
+    same = pairs.select("u", "v").join(x, "u").join(y, "v").select(F.posexplode(F.zip_with("lu", "lv", lambda a, b: (a == b).cast("int"))).alias("rep", "same"))
+    shares = same.groupBy("rep").agg(F.avg("same").alias("s"))
+    both = shares.agg(F.max(F.when(F.col("rep") == 0, F.col("s"))).alias("observed"), F.array_agg(F.when(F.col("rep") > 0, F.col("s"))).alias("null"))  # a number for each replicate
+    both = both.select("observed", F.explode("null").alias("s")).groupBy("observed").agg(F.avg("s").alias("null_mean"), F.stddev_pop("s").alias("null_std"), F.count_if(F.col("s") >= F.col("observed")).alias("r"), F.count(F.lit(1)).alias("n"))
     return both.select("observed", "null_mean", "null_std", F.when(F.col("null_std") > 0, (F.col("observed") - F.col("null_mean")) / F.col("null_std")).alias("z"), ((F.col("r") + 1) / (F.col("n") + 1)).alias("p"))
-
-
-def overlap_null(n: int, top: int, seen: int, replicates: int, seed: int) -> dict[str, float]:
-    """Top-N overlap of two rankings of n items against random ones, whose overlaps are hypergeometric."""
-    draws = np.random.default_rng(seed).hypergeometric(top, n - top, top, replicates)
-    return {"expected": top * top / n, "null_mean": float(draws.mean()), "p": float((np.sum(draws >= seen) + 1) / (replicates + 1))}
-
-
-def ridge_path(x: np.ndarray, y: np.ndarray, alphas: np.ndarray, folds: int = 5, seed: int = 0) -> tuple[float, float]:
-    """(best alpha, its cross-validated R2) of ridge regression over a grid, by one singular value decomposition a fold.
-
-    x has a row for each group, already reduced; it isn't meant for raw rows."""
-    order = np.random.default_rng(seed).permutation(len(y)) % folds
-    error, total = np.zeros(len(alphas)), 0.0
-    for f in range(folds):
-        a, b = order != f, order == f
-        mx, my = x[a].mean(0), y[a].mean()
-        u, s, vt = np.linalg.svd(x[a] - mx, full_matrices=False)
-        uy = u.T @ (y[a] - my)
-        for i, alpha in enumerate(alphas):
-            fit = (x[b] - mx) @ (vt.T @ (s / (s * s + alpha) * uy)) + my
-            error[i] += float(((y[b] - fit) ** 2).sum())
-        total += float(((y[b] - y.mean()) ** 2).sum())
-    best = int(np.argmin(error))
-    return float(alphas[best]), 1 - error[best] / total
-
-
-def linkage(distances: np.ndarray, method: str = "average") -> list[tuple[int, int, float]]:
-    """Merges of hierarchical clustering of a small distance matrix (average or ward, Lance-Williams)."""
-    d = distances.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size, name, out = dict.fromkeys(range(len(d)), 1), list(range(len(d))), []
-    alive = list(range(len(d)))
-    for step in range(len(d) - 1):
-        sub = d[np.ix_(alive, alive)]
-        i, j = divmod(int(np.argmin(sub)), len(alive))
-        i, j = sorted((alive[i], alive[j]))
-        dij, ni, nj = d[i, j], size[i], size[j]
-        out.append((min(name[i], name[j]), max(name[i], name[j]), float(dij)))
-        for k in alive:
-            if k in (i, j):
-                continue
-            nk = size[k]
-            d[i, k] = d[k, i] = (ni * d[i, k] + nj * d[j, k]) / (ni + nj) if method == "average" else np.sqrt(((ni + nk) * d[i, k] ** 2 + (nj + nk) * d[j, k] ** 2 - nk * dij**2) / (ni + nj + nk))
-        size[i], name[i] = ni + nj, len(d) + step
-        alive.remove(j)
-    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varistra.functions import exact
 from varistra.operators import pairs, relational as R, resample, stats
 from varistra.plans.catalog import Tables, query
 from varistra.plans.relational_queries import edges
@@ -114,37 +115,100 @@ def enrichment(t: Tables) -> DataFrame:
     return stats.enrichment(df, "p_brand", "l_quantity")
 
 
-@query("m7_matched_controls")
+@query("m7_matched_controls", f"""
+WITH c AS (SELECT p_type, p_partkey AS control, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS place, count(*) OVER (PARTITION BY p_type) AS size FROM part),
+tried AS (SELECT p_type, control AS key, nth, {resample.sql_draw(11, "control", "nth")} % size AS place FROM c, (SELECT unnest(range(20)) AS nth))
+SELECT key AS p_partkey, arg_min(c.control, nth) AS control FROM tried JOIN c USING (p_type, place) WHERE c.control <> key GROUP BY key""")
 def controls(t: Tables) -> DataFrame:
-    """M7: hashed draws, which SQL can't repeat."""
+    """M7: places drawn by arithmetic."""
     return resample.matched_controls(t.part.select("p_type", "p_partkey"), t.part.select("p_type", "p_partkey"), ["p_type"], "p_partkey", 11)
 
 
-@query("m9_bootstrap_ci")
+TIMES = "CASE " + " ".join(f"WHEN {{u}} < {cut!r} THEN {i}" for i, cut in enumerate(resample.POISSON)) + f" ELSE {len(resample.POISSON)} END"
+
+
+@query("m9_bootstrap_ci", f"""
+WITH g AS (SELECT l_suppkey AS g, avg(l_discount) AS m FROM lineitem GROUP BY 1),
+r AS (SELECT rep, m, {resample.sql_draw(3, "g", "rep")} / {resample.PRIME}.0::DOUBLE AS u FROM g, (SELECT unnest(range(1, 501)) AS rep)),
+b AS (SELECT rep, sum({TIMES.format(u="u")} * m) / greatest(1, sum({TIMES.format(u="u")})) AS b FROM r GROUP BY rep)
+SELECT (SELECT count(*) FROM g) AS groups, (SELECT round(avg(m), 8) FROM g) AS mean, round(quantile_cont(b, 0.025), 8) AS lo, round(quantile_cont(b, 0.975), 8) AS hi FROM b""")
 def bootstrap(t: Tables) -> DataFrame:
     """M9."""
-    return resample.bootstrap(t.lineitem, "l_suppkey", "l_discount", 500, 3)
+    return rounded(resample.bootstrap(t.lineitem, "l_suppkey", "l_discount", 500, 3), digits=8)
 
 
-@query("m10_collapse")
+@query("m10_collapse", f"""
+WITH r AS (SELECT rep, p_size, p_partkey, {resample.sql_draw(5, "rep", "p_partkey")} AS d FROM part, (SELECT unnest(range(30)) AS rep)), o AS (SELECT *, row_number() OVER (PARTITION BY rep, p_size ORDER BY d, p_partkey) AS nth FROM r)
+SELECT rep::INT AS repeat, p_size, p_partkey FROM o WHERE nth = 1""")
 def collapse(t: Tables) -> DataFrame:
     """M10."""
-    return resample.collapse(t.part, "p_brand", "p_partkey", 30, 5)
+    return resample.collapse(t.part, "p_size", "p_partkey", 30, 5)
+
+
+def sql_shuffle(source: str) -> str:
+    """CTEs that send x of source(rep, node, x, n) to its place in the permutation of rep, as ``shuffled_places`` does."""
+    out, last = [], source
+    for r in range(resample.ROUNDS):
+        partner = f"(({resample.sql_draw(7, 'rep', str(r))} - x) % n + n) % n"
+        out.append(f"p{r} AS (SELECT rep, node, n, x, {partner} AS y FROM {last})")
+        out.append(f"x{r} AS (SELECT rep, node, n, CASE WHEN {resample.sql_draw(7, 'rep', str(r), 'greatest(x, y)')} // 64 % 2 = 1 THEN y ELSE x END AS x FROM p{r})")
+        last = f"x{r}"
+    return ", ".join([*out, f"sent AS (SELECT rep, node, x FROM {last})"])
+
+
+REPLICATES = 1000
 
 
-@query("m11_permutation_null")
+@query("m11_permutation_null", f"""
+WITH nodes AS (SELECT vec_id AS node, label, row_number() OVER (ORDER BY vec_id) - 1 AS place, row_number() OVER (ORDER BY label, vec_id) - 1 AS spot, count(*) OVER () AS n FROM embeddings),
+t0 AS (SELECT rep, node, place AS x, n FROM nodes, (SELECT unnest(range(1, {REPLICATES + 1})) AS rep)),
+{sql_shuffle("t0")},
+given AS (SELECT s.rep, s.node, l.label FROM sent s JOIN nodes l ON l.spot = s.x),
+vec AS (SELECT vec_id AS node, embedding::DOUBLE[] AS v FROM embeddings),
+e AS (SELECT u, v FROM (SELECT p.node AS u, q.node AS v, row_number() OVER (PARTITION BY p.node ORDER BY round(list_cosine_similarity(p.v, q.v), 6) DESC, q.node) AS k FROM vec p JOIN vec q ON p.node <> q.node) WHERE k <= 5),
+null_shares AS (SELECT p.rep, avg((p.label = q.label)::INT) AS s FROM e JOIN given p ON p.node = e.u JOIN given q ON q.node = e.v AND q.rep = p.rep GROUP BY p.rep),
+seen AS (SELECT avg((p.label = q.label)::INT) AS observed FROM e JOIN nodes p ON p.node = e.u JOIN nodes q ON q.node = e.v)
+SELECT round(observed, 8) AS observed, round(avg(s), 8) AS null_mean, round(stddev_pop(s), 8) AS null_std, round((observed - avg(s)) / stddev_pop(s), 6) AS z, round((count(*) FILTER (WHERE s >= observed) + 1) / (count(*) + 1), 8) AS p FROM null_shares, seen GROUP BY observed""")
 def permutation(t: Tables) -> DataFrame:
-    """M11."""
+    """1,000 replicates."""
     e = edges(t, 5).select(F.col("source").alias("u"), F.col("target").alias("v"))
-    return resample.permutation_null(e, t.embeddings, "vec_id", "label", 100, 7)
+    found = resample.permutation_null(e, t.embeddings, "vec_id", "label", REPLICATES, 7)
+    return found.select(*[F.round(c, 6 if c == "z" else 8).alias(c) for c in found.columns])
 
 
 @query("m14_mann_whitney", """
-WITH r AS (SELECT l_returnflag = 'R' AS f, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS k FROM lineitem)
-SELECT count(*) FILTER (WHERE f) AS n1, count(*) FILTER (WHERE NOT f) AS n2, round(sum(k) FILTER (WHERE f) - count(*) FILTER (WHERE f) * (count(*) FILTER (WHERE f) + 1) / 2, 4) AS u FROM r""")
+WITH r AS (SELECT l_returnflag = 'R' AS f, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS k FROM lineitem),
+s AS (SELECT count(*) FILTER (WHERE f) AS n1, count(*) FILTER (WHERE NOT f) AS n2, sum(k) FILTER (WHERE f) AS r1 FROM r)
+SELECT n1, n2, round(r1 - n1 * (n1 + 1) / 2, 4) AS u, round(1 - 2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n2), 8) AS rank_biserial FROM s""")
 def mann_whitney(t: Tables) -> DataFrame:
     """M14."""
-    return stats.mann_whitney(t.lineitem, "l_quantity", F.col("l_returnflag") == "R").select("n1", "n2", F.round("u", 4).alias("u"))
+    found = stats.mann_whitney(t.lineitem, "l_quantity", F.col("l_returnflag") == "R")
+    return found.select("n1", "n2", F.round("u", 4).alias("u"), F.round("rank_biserial", 8).alias("rank_biserial"))
+
+
+@query("m14_fisher", f"""
+WITH s AS (SELECT p_brand, count(*) FILTER (WHERE l_returnflag = 'R') AS a, count(*) FILTER (WHERE l_returnflag <> 'R') AS b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+x AS (SELECT *, sum(a) OVER ()::BIGINT - a AS c, sum(b) OVER ()::BIGINT - b AS d FROM s)
+SELECT p_brand, a, b, c, d, round({exact.sql_overlap_tail("a", "(a + b)", "(a + c)", "(a + b + c + d)")}, 7) AS p FROM x""")
+def fisher(t: Tables) -> DataFrame:
+    """Is the share of returned items larger in a brand than in all others? Exact, one-sided."""
+    df = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    r = F.col("l_returnflag") == "R"
+    cells = df.groupBy("p_brand").agg(F.count_if(r).alias("a"), F.count_if(~r).alias("b"))
+    whole = cells.agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))  # one row
+    cells = cells.join(F.broadcast(whole), F.lit(True)).select("p_brand", "a", "b", (F.col("all_a") - F.col("a")).alias("c"), (F.col("all_b") - F.col("b")).alias("d"))
+    return cells.select("*", F.round(exact.fisher_greater(*map(F.col, "abcd")), 7).alias("p"))
+
+
+@query("m12_overlap", f"""
+WITH s AS (SELECT l_partkey AS k, sum(l_quantity) AS q, round(sum(l_extendedprice), 2) AS e FROM lineitem GROUP BY 1),
+r AS (SELECT k, row_number() OVER (ORDER BY q DESC, k) AS rq, row_number() OVER (ORDER BY e DESC, k) AS re, count(*) OVER () AS n FROM s),
+x AS (SELECT top, any_value(n) AS n, count(*) FILTER (WHERE rq <= top AND re <= top) AS shared FROM r, (SELECT unnest([10, 50, 200]) AS top) GROUP BY top)
+SELECT top::INT AS top, n, shared, round(top * top / n, 6) AS expected, round({exact.sql_overlap_tail("shared", "top", "top", "n")}, 9) AS p FROM x""")
+def overlap_null(t: Tables) -> DataFrame:
+    """How many parts are in the top by quantity and by price, and the exact chance of as many in random rankings."""
+    sums = t.lineitem.groupBy("l_partkey").agg(F.sum("l_quantity").alias("q"), F.round(F.sum("l_extendedprice"), 2).alias("e"))
+    return pairs.top_overlap(sums, "l_partkey", "q", "e", [10, 50, 200]).withColumns({"expected": F.round("expected", 6), "p": F.round("p", 9)})
 
 
 EVAL = "SELECT l_linestatus AS g, l_discount * 10 AS p, (l_returnflag = 'R')::INT AS y FROM lineitem"
@@ -177,10 +241,10 @@ def head_kinds(t: Tables) -> DataFrame:
     return stats.head_kinds(unpivot(wide, [], wide.columns), "head", "value")
 
 
-@query("m26_disjoint_split")
+@query("m26_disjoint_split", f"SELECT l_orderkey, l_linenumber, CASE WHEN {resample.sql_draw(1, 'l_orderkey', '1')} / {resample.PRIME}.0::DOUBLE < 0.2 THEN 'test' ELSE 'train' END AS split FROM lineitem")
 def split(t: Tables) -> DataFrame:
-    """No brand on both sides."""
-    return resample.disjoint_split(t.part.select("p_partkey", "p_brand"), "p_brand", 0.2, 1)
+    """No order on both sides."""
+    return resample.disjoint_split(t.lineitem.select("l_orderkey", "l_linenumber"), "l_orderkey", 0.2, 1)
 
 
 @query("m27_rarest_group", "WITH m AS (SELECT p_brand AS g, l_suppkey AS k FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45), s AS (SELECT g, count(*) AS size FROM m GROUP BY 1 ORDER BY size DESC, g LIMIT 14) SELECT k, arg_min(g, {'s': size, 'g': g}) AS g FROM m JOIN s USING (g) GROUP BY k")
