@@ -114,20 +114,27 @@ def old_new(t: Tables) -> DataFrame:
 
 @query("p5_point_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77")
 def lookup(t: Tables) -> DataFrame:
-    """P5: the key's filter reaches the scan."""
-    return t.orders.filter("o_orderkey = 77").select("o_orderkey", "o_custkey", "o_totalprice")
+    """P5, K4: the file whose range holds the key, and the key's filter in its scan."""
+    from varistra.plans import storage_queries
+
+    return storage_queries.orders_by_key(t).between(77, 77).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query("p6_locus_range", "SELECT l_partkey, l_orderkey, l_linenumber, abs(l_orderkey - 500) AS distance FROM (SELECT l_orderkey AS k, * FROM lineitem) WHERE l_linestatus = 'O' AND l_orderkey BETWEEN 400 AND 600 AND l_orderkey <> 500 ORDER BY distance, l_orderkey, l_linenumber, l_partkey LIMIT 50".replace("SELECT l_partkey, l_orderkey, l_linenumber, abs", "SELECT l_orderkey, abs").replace(", l_linenumber, l_partkey LIMIT", " LIMIT"))
 def locus(t: Tables) -> DataFrame:
-    """P6, O2, F32."""
-    return R.locus_range(t.lineitem, "l_linestatus", "l_orderkey", "l_orderkey", ("O", 500), 100, 900, 500).select("l_orderkey", "distance")
+    """Of the files whose ranges meet the window."""
+    from varistra.plans import storage_queries
+
+    near = storage_queries.lines_by_order(t).between(500 - 100, 500 + 100)
+    return R.locus_range(near, "l_linestatus", "l_orderkey", "l_orderkey", ("O", 500), 100, 900, 500).select("l_orderkey", "distance")
 
 
 @query("p7_search", "SELECT p_partkey, p_brand, CASE WHEN upper(p_brand) = 'BRAND#1' THEN 0 ELSE 1 END AS tier FROM part WHERE starts_with(upper(p_brand), 'BRAND#1') ORDER BY tier, p_retailprice DESC, p_partkey LIMIT 30")
 def search(t: Tables) -> DataFrame:
-    """Exact, then prefix, best first."""
-    return R.tiered_search(t.part, "p_brand", "Brand#1", "p_retailprice", "p_partkey").select("p_partkey", "p_brand", "tier")
+    """Exact, then prefix, best first, in the files that the index of names gives."""
+    from varistra.plans import storage_queries
+
+    return R.tiered_search(storage_queries.parts_by_name(t).prefixed("brand", "BRAND#1"), "p_brand", "Brand#1", "p_retailprice", "p_partkey").select("p_partkey", "p_brand", "tier")
 
 
 @query("w3_topk_per_set", "SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 20")

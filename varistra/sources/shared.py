@@ -31,15 +31,31 @@ def stored(df: DataFrame, tag: str, by: str | None = None) -> tuple[DataFrame, s
     return df.sparkSession.read.parquet(path), path
 
 
+def store(uri: str):
+    """(file system, path) of a shared folder's URI, for Python code on executors."""
+    from pyarrow import fs
+
+    if uri.startswith("file:") or "://" not in uri:
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def put_file(uri: str, write) -> None:
+    """Write a file under a temporary name and move it into place: a lost task leaves no half file under its name."""
+    where, path = store(uri)
+    where.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    draft = f"{path}.{uuid.uuid4().hex}.tmp"
+    with where.open_output_stream(draft, compression=None) as out:
+        write(out)
+    where.move(draft, path)
+
+
 def read_arrow(uri: str):
     """An Arrow table of a Parquet folder, read by Python on an executor; None where there is none."""
     from pyarrow import fs
     from pyarrow import parquet as pq
 
-    if uri.startswith("file:") or "://" not in uri:
-        where, path = fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    else:
-        where, path = fs.FileSystem.from_uri(uri)
+    where, path = store(uri)
     if where.get_file_info(path).type == fs.FileType.NotFound:
         return None
     files = sorted(x.path for x in where.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet"))
