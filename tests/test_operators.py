@@ -256,3 +256,36 @@ def test_metadata_heads_go_and_null_heads_stay(spark):
     df = spark.createDataFrame([("exon_number", 1.0), ("depth", 2.0), (None, 3.0), ("Exon_number", 4.0)], "head string, value double")
     assert {tuple(r) for r in schema.without_metadata(df).collect()} == {("depth", 2.0), (None, 3.0), ("Exon_number", 4.0)}
     assert schema.without_metadata(df.limit(0)).collect() == []
+
+
+def test_heads_are_ranked_within_the_row(spark):
+    from varistra.operators import relational as R
+
+    rows = [(1, 3.0, 2.0, 2.0, None), (1, 3.0, 2.0, 2.0, None), (2, 0.4, 0.1, None, 0.5), (3, None, None, None, None), (4, float("nan"), 9.0, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "id int, a_x double, a_y double, b_x double, c_x double")
+    heads = df.columns[1:]
+    got = R.attribute(df, ["id"], heads, lambda h: F.substring(h, 1, 1), 2)
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == sorted([(1, "a_x", "a", 3.0, 1), (1, "b_x", "b", 2.0, 2)] * 2 + [(4, "a_y", "a", 9.0, 1), (4, "c_x", "c", 2.0, 2)])
+    top = R.ranked_heads(df, ["id"], heads, lambda v, i: F.abs(v), 0.45, 2)
+    assert sorted(map(tuple, top.collect())) == sorted([(1, "a_x", 3.0, 1), (1, "a_y", 2.0, 2)] * 2 + [(2, "c_x", 0.5, 1), (4, "a_y", 9.0, 1), (4, "c_x", 2.0, 2)])
+
+
+def test_pairs_counted_by_label_equal_pairs_made(spark):
+    from varistra.operators import relational as R
+
+    rng = np.random.default_rng(3)
+    labels = spark.createDataFrame([(i, int(rng.integers(4)) if i % 9 else None) for i in range(60)], "id int, lab int")
+    predicted = spark.createDataFrame([(int(a), int(b)) for a, b in np.sort(rng.integers(0, 60, (150, 2)), 1)], "a int, b int").filter("a < b")
+    made = pairs.retrieval(predicted, R.group_pairs(labels.filter("lab is not null"), "lab", "id")).first()
+    counted = pairs.retrieval_by_label(predicted, labels, "id", "lab").first()
+    assert list(counted) == pytest.approx(list(made))
+
+
+def test_domain_names_replace_accessions(spark):
+    from varistra.functions import scalar
+
+    heads = spark.createDataFrame([("pfam_PF00001.2",), ("pfam_PF99999",), ("score_other_head",), (None,)], "head string")
+    names = spark.createDataFrame([("PF00001", "7tm_1"), ("PF00001", "8tm"), (None, "x")], "acc string, name string")
+    got = {r.head: r.shown for r in scalar.domain_display(heads, "head", names, "acc", "name", ("pfam_", "score_")).collect()}
+    assert got == {"pfam_PF00001.2": "7tm_1", "pfam_PF99999": "PF99999", "score_other_head": "Other Head", None: None}

@@ -5,7 +5,7 @@ All are Column functions; each null rule is in its docstring.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- fixed values: result classes that must match
@@ -274,3 +274,13 @@ def row_differences(a: Column, b: Column) -> dict[str, Column]:
     norms = F.sqrt(total(lambda x, y: x * x)) * F.sqrt(total(lambda x, y: y * y))
     some = lambda c: F.when(n > 0, c)
     return {"mean_diff": some(total(lambda x, y: F.abs(x - y)) / n), "median_diff": some(middle), "l2": some(F.sqrt(total(lambda x, y: (x - y) * (x - y)))), "cosine": F.when((n > 1) & (norms > 0), total(lambda x, y: x * y) / norms)}
+
+
+def domain_display(heads: DataFrame, head: str, names: DataFrame, accession: str, name: str, prefixes: tuple[str, ...], overrides: dict[str, str] | None = None) -> DataFrame:
+    """heads with ``shown``: ``head_display``, and where that is an accession of names, the name there.
+
+    An accession may carry a version after a point. Of repeated accessions the smallest name counts."""
+    shown = heads.withColumn("shown", head_display(F.col(head), overrides or {}, prefixes))
+    table = names.filter(F.col(accession).isNotNull()).groupBy(F.col(accession).alias("dd_key")).agg(F.min(name).alias("dd_name"))
+    found = shown.join(table, F.substring_index("shown", ".", 1) == F.col("dd_key"), "left")
+    return found.withColumn("shown", F.coalesce("dd_name", "shown")).drop("dd_key", "dd_name")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varistra.functions import exact
 from varistra.operators.stats import safe_ratio
+from varistra.sources import shared
 
 
 def labelled_edges(edges: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
@@ -49,6 +50,28 @@ def retrieval(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return one.select(safe_ratio(F.col("nh"), F.col("np")).alias("micro_precision"), safe_ratio(F.col("nh"), F.col("nt")).alias("micro_recall"), safe_ratio(2 * F.col("nh"), F.col("np") + F.col("nt")).alias("micro_f1"), "macro_precision", "macro_recall", "macro_f1")
 
 
+def retrieval_by_label(predicted: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """As ``retrieval``, where all pairs of nodes with one label are true: they are counted, never made.
+
+    A node is in as many true pairs as its label has other nodes, and a predicted pair is true if its nodes' labels are equal.
+    Keys of labels are unique; nodes with a null label, and pairs of a node with itself, are in no true pair."""
+    named = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("node"), F.col(label).alias("lab"))
+    members = named.groupBy("lab").agg((F.count(F.lit(1)) - 1).alias("t"))
+    p = predicted.select("a", "b").distinct()
+    side = lambda c: named.select(F.col("node").alias(c), F.col("lab").alias(f"lab_{c}"))
+    hit = (F.col("lab_a") == F.col("lab_b")) & (F.col("a") != F.col("b"))
+    judged = p.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", F.coalesce(hit, F.lit(False)).cast("long").alias("h"))
+    judged, _ = shared.stored(judged, "judged")
+    by_node = judged.select(F.explode(F.array("a", "b")).alias("node"), "h").groupBy("node").agg(F.count(F.lit(1)).alias("p"), F.sum("h").alias("h"))
+    nodes = named.join(members.filter("t > 0"), "lab").join(by_node, "node", "left").fillna(0, ["p", "h"])
+    pr, re = F.when(F.col("p") > 0, F.col("h") / F.col("p")).otherwise(0.0), F.col("h") / F.col("t")
+    f1 = F.when(pr + re > 0, 2 * pr * re / (pr + re)).otherwise(0.0)
+    macro = nodes.agg(F.avg(pr).alias("macro_precision"), F.avg(re).alias("macro_recall"), F.avg(f1).alias("macro_f1"), (F.sum("t") / 2).alias("nt"))
+    micro = judged.agg(F.count(F.lit(1)).cast("double").alias("np"), F.coalesce(F.sum("h"), F.lit(0)).cast("double").alias("nh"))
+    one = micro.join(F.broadcast(macro), F.lit(True))  # one row each
+    return one.select(safe_ratio(F.col("nh"), F.col("np")).alias("micro_precision"), safe_ratio(F.col("nh"), F.col("nt")).alias("micro_recall"), safe_ratio(2 * F.col("nh"), F.col("np") + F.col("nt")).alias("micro_f1"), "macro_precision", "macro_recall", "macro_f1")
+
+
 def compare_sets(old: DataFrame, new: DataFrame, group: str, member: str) -> DataFrame:
     """(group, shared, added, removed, jaccard) of two versions of group members."""
     o, n = old.select(group, member).distinct().withColumn("o", F.lit(1)), new.select(group, member).distinct().withColumn("n", F.lit(1))

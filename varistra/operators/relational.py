@@ -24,12 +24,27 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str =
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
 
 
-def attribute(long: DataFrame, key: str, group: Column, k: int, floor: float = 0.5) -> DataFrame:
-    """Of each key's 3k largest z, those over the floor, the first of each group, then k of them. long(key, head, z)."""
-    w = Window.partitionBy(key)
-    some = long.withColumn("place", F.row_number().over(w.orderBy(F.desc("z"), "head"))).filter((F.col("place") <= 3 * k) & (F.col("z") > floor))
-    first = some.withColumn("grp", group).withColumn("nth", F.row_number().over(Window.partitionBy(key, "grp").orderBy(F.desc("z"), "head"))).filter("nth = 1")
-    return first.withColumn("rank", F.row_number().over(w.orderBy(F.desc("z"), "head"))).filter(F.col("rank") <= k).select(key, "head", "grp", "z", "rank")
+def row_heads(heads: list[str], score=lambda z, i: z) -> Column:
+    """A row's heads as structs (minus, head, score), the largest score first, ties by head; null and NaN scores are left out.
+
+    score turns a head's value and its place among heads into the number to rank by. All of it stays in the row."""
+    values = F.array(*[F.col(h).cast("double") for h in heads])
+    scored = F.transform(values, lambda z, i: F.struct((-score(z, i)).alias("minus"), F.get(F.array(*map(F.lit, heads)), i).alias("head"), score(z, i).alias("score")))
+    return F.sort_array(F.filter(scored, lambda e: e["score"].isNotNull() & ~F.isnan(e["score"])))
+
+
+def attribute(df: DataFrame, keys: list[str], heads: list[str], group, k: int, floor: float = 0.5) -> DataFrame:
+    """(keys, head, grp, z, rank): of each row's 3k largest heads, those over the floor, the first of each group, then k of them.
+
+    group turns a head's name into its group. A row's heads are ranked within the row: nothing is shuffled."""
+    best = F.filter(F.slice(row_heads(heads), 1, 3 * k), lambda e: e["score"] > floor)
+
+    def pick(taken: Column, e: Column) -> Column:
+        new = ~F.exists(taken, lambda x: x["grp"] == group(e["head"])) & (F.size(taken) < k)
+        return F.when(new, F.array_append(taken, F.struct(e["head"].alias("head"), group(e["head"]).alias("grp"), e["score"].alias("z")))).otherwise(taken)
+
+    picked = F.aggregate(best, F.array().cast("array<struct<head:string,grp:string,z:double>>"), pick)
+    return df.select(*keys, F.posexplode(picked).alias("at", "e")).select(*keys, "e.head", "e.grp", "e.z", (F.col("at") + 1).alias("rank"))
 
 
 def average_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
@@ -125,14 +140,17 @@ def position_lookup(asked: DataFrame, table: DataFrame, keys: list[str], values:
     return out.withColumns({v: F.when(F.col("pl_hit"), F.col(v)).otherwise(F.lit(fill)) for v in values}).drop("pl_hit")
 
 
-def ranked_heads(long: DataFrame, key: str, score: Column, least: float, k: int) -> DataFrame:
-    """(key, head, score, rank): each key's k heads with the largest score, none under least. long(key, head, ...)."""
-    return top_k(long.withColumn("score", score).filter(F.col("score") >= least), [key], [F.desc("score"), F.asc("head")], k).select(key, "head", "score", "rank")
+def ranked_heads(df: DataFrame, keys: list[str], heads: list[str], score, least: float, k: int) -> DataFrame:
+    """(keys, head, score, rank): each row's k heads with the largest score, none under least, ranked within the row."""
+    best = F.slice(F.filter(row_heads(heads, score), lambda e: e["score"] >= least), 1, k)
+    return df.select(*keys, F.posexplode(best).alias("at", "e")).select(*keys, "e.head", "e.score", (F.col("at") + 1).alias("rank"))
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """N rows without replacement, those with the smallest hash of seed and key, in order of key."""
-    return df.withColumn("ss_draw", F.xxhash64(F.lit(seed), key)).orderBy("ss_draw", key).limit(n).drop("ss_draw").orderBy(key)
+    """N rows without replacement, those with the smallest draw by seed and key, in order of key."""
+    from varistra.operators.resample import draw, number
+
+    return df.withColumn("ss_draw", draw(seed, number(df, key), F.lit(0))).orderBy("ss_draw", key).limit(n).drop("ss_draw").orderBy(key)
 
 
 def canonical_pairs(df: DataFrame, a: str, b: str, value: str) -> DataFrame:

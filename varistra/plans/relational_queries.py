@@ -102,11 +102,11 @@ def algebra(t: Tables) -> DataFrame:
 
 @query("a29_old_vs_new", """
 WITH o AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size < 35), n AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size > 15)
-SELECT coalesce(o.p_brand, n.p_brand) AS p_brand, count(*) FILTER (WHERE o.p_type IS NOT NULL AND n.p_type IS NOT NULL) AS shared, count(*) FILTER (WHERE o.p_type IS NULL) AS added, count(*) FILTER (WHERE n.p_type IS NULL) AS removed
+SELECT coalesce(o.p_brand, n.p_brand) AS p_brand, count(*) FILTER (WHERE o.p_type IS NOT NULL AND n.p_type IS NOT NULL) AS shared, count(*) FILTER (WHERE o.p_type IS NULL) AS added, count(*) FILTER (WHERE n.p_type IS NULL) AS removed, round(count(*) FILTER (WHERE o.p_type IS NOT NULL AND n.p_type IS NOT NULL) / count(*), 8) AS jaccard
 FROM o FULL JOIN n ON o.p_brand = n.p_brand AND o.p_type = n.p_type GROUP BY 1""")
 def old_new(t: Tables) -> DataFrame:
     """A29."""
-    return pairs.compare_sets(t.part.filter("p_size < 35"), t.part.filter("p_size > 15"), "p_brand", "p_type").drop("jaccard")
+    return pairs.compare_sets(t.part.filter("p_size < 35"), t.part.filter("p_size > 15"), "p_brand", "p_type").withColumn("jaccard", F.round("jaccard", 8))
 
 
 # ---------------------------------------------------------------- lookups, searches, windows
@@ -153,15 +153,14 @@ def bh(t: Tables) -> DataFrame:
 
 
 @query("w7_attribution", """
-WITH long AS (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity / 25 AS a_qty, l_discount * 20 AS a_disc, l_tax * 25 AS b_tax, l_extendedprice / 40000 AS b_price FROM lineitem) ON a_qty, a_disc, b_tax, b_price INTO NAME head VALUE z),
-c AS (SELECT *, l_orderkey * 10 + l_linenumber AS id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY z DESC, head) AS place FROM long),
-g AS (SELECT *, left(head, 1) AS grp, row_number() OVER (PARTITION BY id, left(head, 1) ORDER BY z DESC, head) AS nth FROM c WHERE place <= 6 AND z > 0.5)
-SELECT id, head, grp, z, row_number() OVER (PARTITION BY id ORDER BY z DESC, head) AS rank FROM g WHERE nth = 1 QUALIFY rank <= 2""")
+WITH long AS (UNPIVOT (SELECT row_number() OVER () AS r, l_orderkey, l_linenumber, l_quantity / 25 AS a_qty, l_discount * 20 AS a_disc, l_tax * 25 AS b_tax, l_extendedprice / 40000 AS b_price FROM lineitem) ON a_qty, a_disc, b_tax, b_price INTO NAME head VALUE z),
+c AS (SELECT *, l_orderkey * 10 + l_linenumber AS id, row_number() OVER (PARTITION BY r ORDER BY z DESC, head) AS place FROM long),
+g AS (SELECT *, left(head, 1) AS grp, row_number() OVER (PARTITION BY r, left(head, 1) ORDER BY z DESC, head) AS nth FROM c WHERE place <= 6 AND z > 0.5)
+SELECT id, head, grp, z, row_number() OVER (PARTITION BY r ORDER BY z DESC, head) AS rank FROM g WHERE nth = 1 QUALIFY rank <= 2""")
 def attribution(t: Tables) -> DataFrame:
     """The strongest heads, one for each group."""
     wide = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") / 25).alias("a_qty"), (F.col("l_discount") * 20).alias("a_disc"), (F.col("l_tax") * 25).alias("b_tax"), (F.col("l_extendedprice") / 40000).alias("b_price"))
-    long = schema.unpivot(wide, ["id"], ["a_qty", "a_disc", "b_tax", "b_price"], value="z")
-    return R.attribute(long, "id", F.substring("head", 1, 1), 2)
+    return R.attribute(wide, ["id"], ["a_qty", "a_disc", "b_tax", "b_price"], lambda head: F.substring(head, 1, 1), 2)
 
 
 @query("w8_dense_index", "SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS seg, count(*) OVER (PARTITION BY c_nationkey) AS in_nation FROM customer")
@@ -241,8 +240,7 @@ SELECT round((SELECT count(*) FROM h) / (SELECT count(*) FROM p), 6) AS micro_pr
 def retrieval(t: Tables) -> DataFrame:
     """A24, J13, U5."""
     predicted = edges(t, 5).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
-    truth = R.group_pairs(t.embeddings, "label", "vec_id")
-    s = pairs.retrieval(predicted, truth)
+    s = pairs.retrieval_by_label(predicted, t.embeddings, "vec_id", "label")
     return s.select(*[F.round(c, 6).alias(c) for c in s.columns if c != "micro_f1"])
 
 

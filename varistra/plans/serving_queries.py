@@ -108,6 +108,16 @@ def head_display(t: Tables) -> DataFrame:
     return heads.select("head", S.head_display(F.col("head"), {"known": "A known head"}, ("amino_acid_", "score_", "region_")).alias("shown"))
 
 
+@query("f15_domain_names", """
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE 'Region ' || (p_partkey % 90 + 10) END AS shown FROM part""")
+def domain_names(t: Tables) -> DataFrame:
+    """heads of a table; accessions get their domain's name from another, an unknown one keeps its own."""
+    k = F.col("p_partkey")
+    heads = t.part.select("p_partkey", F.when(k % 3 == 0, F.concat(F.lit("pfam_PF"), F.lpad(k.cast("string"), 7, "0"))).otherwise(F.concat(F.lit("score_region_"), k % 90 + 10)).alias("head"))
+    names = t.part.select(F.concat(F.lit("PF"), F.lpad(k.cast("string"), 7, "0")).alias("accession"), F.col("p_brand").alias("name"))
+    return S.domain_display(heads, "head", names, "accession", "name", ("pfam_", "score_")).select("p_partkey", "shown")
+
+
 @query("f30_population_widths", """
 WITH s AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE (c_custkey % 50) / 1000.0 END AS afr, (c_custkey % 7) / 10.0 AS nfe FROM customer), m AS (SELECT *, greatest(1e-6, coalesce(afr, 0), nfe) AS most FROM s)
 SELECT c_custkey, round(CASE WHEN afr > 0 THEN greatest(2, afr / most * 100) ELSE 0 END, 6) AS afr, round(CASE WHEN nfe > 0 THEN greatest(2, nfe / most * 100) ELSE 0 END, 6) AS nfe FROM m""")
@@ -126,30 +136,32 @@ def consensus(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", n.alias("damaging"), calls.alias("calls"))
 
 
-LONG = "UNPIVOT (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity / 25 - 1 AS qty, l_discount * 20 - 1 AS disc, l_tax * 25 - 1 AS tax FROM lineitem) ON qty, disc, tax INTO NAME head VALUE v"
+LONG = "UNPIVOT (SELECT row_number() OVER () AS r, l_orderkey * 10 + l_linenumber AS id, l_quantity / 25 - 1 AS qty, l_discount * 20 - 1 AS disc, l_tax * 25 - 1 AS tax FROM lineitem) ON qty, disc, tax INTO NAME head VALUE v"
+
+
+HEADS = ["qty", "disc", "tax"]
 
 
-def heads_long(t: Tables) -> DataFrame:
-    wide = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") / 25 - 1).alias("qty"), (F.col("l_discount") * 20 - 1).alias("disc"), (F.col("l_tax") * 25 - 1).alias("tax"))
-    return wide.unpivot(["id"], ["qty", "disc", "tax"], "head", "v")
+def heads_wide(t: Tables) -> DataFrame:
+    return t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") / 25 - 1).alias("qty"), (F.col("l_discount") * 20 - 1).alias("disc"), (F.col("l_tax") * 25 - 1).alias("tax"))
 
 
 @query("f28_disruption_top", f"""
-WITH l AS ({LONG}), s AS (SELECT head, stddev_samp(v) AS sd FROM l GROUP BY 1), z AS (SELECT id, l.head, CASE WHEN sd > 0 THEN round(abs(v) / sd, 6) ELSE 0 END AS score FROM l JOIN s USING (head)), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, head) AS rank FROM z WHERE score >= 1)
+WITH l AS ({LONG}), s AS (SELECT head, stddev_samp(v) AS sd FROM l GROUP BY 1), z AS (SELECT r, id, l.head, CASE WHEN sd > 0 THEN round(abs(v) / sd, 6) ELSE 0 END AS score FROM l JOIN s USING (head)), k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, head) AS rank FROM z WHERE score >= 1)
 SELECT id, head, score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 2""")
 def disruption(t: Tables) -> DataFrame:
     """heads whose difference is at least one standard deviation, largest first."""
-    long = heads_long(t)
-    sd = long.groupBy("head").agg(F.stddev_samp("v").alias("sd"))
-    both = long.join(F.broadcast(sd), "head")  # a row for each head
-    return R.ranked_heads(both, "id", F.when(F.col("sd") > 0, F.round(F.abs("v") / F.col("sd"), 6)).otherwise(0.0), 1.0, 2)
+    wide = heads_wide(t)
+    sd = wide.agg(F.array(*[F.stddev_samp(h) for h in HEADS]).alias("sd"))  # one row
+    score = lambda v, i: F.when(F.get("sd", i) > 0, F.round(F.abs(v) / F.get("sd", i), 6)).otherwise(0.0)
+    return R.ranked_heads(wide.join(F.broadcast(sd), F.lit(True)), ["id"], HEADS, score, 1.0, 2)
 
 
 @query("f29_effect_top", f"""
-WITH l AS ({LONG}), k AS (SELECT id, head, abs(v) AS score, row_number() OVER (PARTITION BY id ORDER BY abs(v) DESC, head) AS rank FROM l) SELECT id, head, score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 1""")
+WITH l AS ({LONG}), k AS (SELECT id, head, abs(v) AS score, row_number() OVER (PARTITION BY r ORDER BY abs(v) DESC, head) AS rank FROM l) SELECT id, head, score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 1""")
 def effect(t: Tables) -> DataFrame:
     """the largest effects by size."""
-    return R.ranked_heads(heads_long(t), "id", F.abs("v"), 0.0, 1)
+    return R.ranked_heads(heads_wide(t), ["id"], HEADS, lambda v, i: F.abs(v), 0.0, 1)
 
 
 @query("f24_cell_fraction", """
@@ -233,11 +245,10 @@ def strata(t: Tables) -> DataFrame:
     return found.select("c_mktsegment", "groups", "mean", inside.alias("inside"))
 
 
-@query("o6_seeded_sample", "SELECT 100 AS n, 100 AS distinct_keys, true AS known")
+@query("o6_seeded_sample", f"SELECT c_custkey FROM (SELECT c_custkey FROM customer ORDER BY {resample.sql_draw(3, 'c_custkey', '0')}, c_custkey LIMIT 100)")
 def sample(t: Tables) -> DataFrame:
-    """A seeded sample; SQL can't draw it, so its size, distinctness and membership are compared."""
-    s = R.seeded_sample(t.customer.select("c_custkey"), "c_custkey", 100, 3).join(t.customer.select("c_custkey", F.lit(1).alias("k")), "c_custkey", "left")
-    return s.agg(F.count(F.lit(1)).cast("int").alias("n"), F.countDistinct("c_custkey").cast("int").alias("distinct_keys"), F.bool_and(F.col("k").isNotNull()).alias("known"))
+    """A seeded sample in order of its keys."""
+    return R.seeded_sample(t.customer.select("c_custkey"), "c_custkey", 100, 3)
 
 
 # ---------------------------------------------------------------- sources that are written and read again
@@ -292,17 +303,24 @@ def cache(t: Tables) -> DataFrame:
     return readers.cached(t.spark, path, key, again).withColumn("kept", F.lit(same))
 
 
-@query("s17_vocabulary", "SELECT * FROM (VALUES ('a', 2, 'binary', 'x', NULL, NULL), ('b', NULL, 'continuous', NULL, 'B', 'g')) AS t(head, n_classes, kind, category, display_name, \"group\")")
+@query("s17_vocabulary", """
+SELECT p_brand AS head, count(DISTINCT p_type)::INT AS n_classes, CASE WHEN count(DISTINCT p_type) = 2 THEN 'binary' ELSE 'categorical' END AS kind, CASE WHEN max(p_size) > 49 THEN 'large' END AS category, NULL::VARCHAR AS display_name, NULL::VARCHAR AS "group" FROM part GROUP BY 1""")
 def vocabulary(t: Tables) -> DataFrame:
-    """heads' settings."""
-    return readers.vocabulary(t.spark, {"b": {"kind": "continuous", "display_name": "B", "group": "g"}, "a": {"n_classes": 2, "kind": "binary", "category": "x"}})
+    """heads' settings, written as JSON files and read back; a missing setting is null."""
+    types = F.count_distinct("p_type").cast("int")
+    about = t.part.groupBy(F.col("p_brand").alias("head")).agg(types.alias("n_classes"), F.when(types == 2, "binary").otherwise("categorical").alias("kind"), F.when(F.max("p_size") > 49, "large").alias("category"))
+    path = scratch(t, "vocabulary")
+    about.select(F.to_json(F.struct(*about.columns)).alias("value")).write.text(path)
+    return readers.vocabulary_files(t.spark, path)
 
 
-@query("k5_settings", "SELECT 'heads' AS key, '{\"a\": 1, \"b\": [2, 3]}' AS value UNION ALL SELECT 'n', '5'")
+@query("k5_settings", """
+SELECT o_orderstatus AS key, '{"lo":' || min(o_orderkey) || ',"n":' || count(*) || ',"priorities":["' || list_aggregate(list_sort(list(DISTINCT o_orderpriority)), 'string_agg', '","') || '"]}' AS value FROM orders GROUP BY 1""")
 def settings(t: Tables) -> DataFrame:
-    """K3, K5: settings as JSON, written and read."""
+    """K3, K5: statistics of a table as JSON settings, written and read."""
+    found = t.orders.groupBy(F.col("o_orderstatus").alias("key")).agg(F.min("o_orderkey").alias("lo"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("o_orderpriority")).alias("priorities"))
     path = scratch(t, "settings")
-    sinks.settings(t.spark, {"n": 5, "heads": {"b": [2, 3], "a": 1}}).write.parquet(path)
+    sinks.settings_of(found, "key").write.parquet(path)
     return t.spark.read.parquet(path)
 
 

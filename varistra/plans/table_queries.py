@@ -165,12 +165,14 @@ def insert_absent(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
-@query("k9_label_arrays", "SELECT o_orderstatus AS head, count(*) AS n, count(*) FILTER (WHERE o_custkey = c_custkey) AS joined FROM (SELECT s.o_orderstatus, c.c_custkey, o.o_custkey FROM (SELECT DISTINCT o_orderstatus FROM orders) s CROSS JOIN customer c LEFT JOIN (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = s.o_orderstatus) GROUP BY 1")
+@query("k9_label_arrays", """
+WITH v AS (SELECT o_orderstatus AS head, o_custkey, count(*) AS v FROM orders GROUP BY ALL), g AS (SELECT head, c_custkey AS place FROM (SELECT DISTINCT head FROM v), customer)
+SELECT g.head, list(v.v ORDER BY place) AS labels FROM g LEFT JOIN v ON v.head = g.head AND v.o_custkey = g.place GROUP BY g.head""")
 def label_arrays(t: Tables) -> DataFrame:
     """Labels of each head in the order of the ids, missing ones null."""
     long = t.orders.groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("v")).select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("head"), "v")
     ids = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("place"))
-    return sinks.label_arrays(long, ids, "id", "head", "v").select("head", F.size("labels").cast("long").alias("n"), F.size(F.filter("labels", lambda x: x.isNotNull())).cast("long").alias("joined"))
+    return sinks.label_arrays(long, ids, "id", "head", "v")
 
 
 # ---------------------------------------------------------------- projections
@@ -341,10 +343,14 @@ def soft(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(F.get(bins, F.lit(0)), 6).alias("b0"), F.round(F.get(bins, F.lit(2)), 6).alias("b2"))
 
 
-@query("f21_fnv1a")
+@query("f21_fnv1a", r"""
+WITH RECURSIVE b AS (SELECT c_custkey, hex(encode(c_name)) AS x FROM customer),
+f AS (SELECT c_custkey, x, 14695981039346656037::HUGEINT AS h, 0 AS i FROM b
+UNION ALL SELECT c_custkey, x, (xor(h, ('0x' || substr(x, 2 * i + 1, 2))::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, i + 1 FROM f WHERE 2 * i < length(x))
+SELECT c_custkey, lpad(lower(to_hex(h::UBIGINT)), 16, '0') AS h FROM f WHERE 2 * i >= length(x)""")
 def fnv(t: Tables) -> DataFrame:
-    """no built-in or SQL function has this hash."""
-    return t.nation.select("n_nationkey", S.fnv1a_hex(F.col("n_name")).alias("h"))
+    """over UTF-8 bytes."""
+    return t.customer.select("c_custkey", S.fnv1a_hex(F.col("c_name")).alias("h"))
 
 
 @query("map_nested_heads", "SELECT l_orderkey, l_linenumber, round(l_discount, 2) AS disc, CAST(l_discount > 0.05 AS INT) + CAST(l_tax > 0.05 AS INT) AS n_high FROM lineitem")

@@ -75,7 +75,7 @@ def zipped_sets(spark: SparkSession, path: str, organism: str) -> DataFrame:
 
 
 def arrow_ipc(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Arrow IPC files, batch by batch."""
+    """Arrow IPC files, batch by batch."""
 
     def run(batches):
         import pyarrow as pa
@@ -156,3 +156,8 @@ def vocabulary(spark: SparkSession, heads: dict[str, dict]) -> DataFrame:
     """heads' settings as rows; a missing setting is null."""
     rows = [(k, v.get("n_classes"), v.get("kind"), v.get("category"), v.get("display_name"), v.get("group")) for k, v in sorted(heads.items())]
     return spark.createDataFrame(rows, "head string, n_classes int, kind string, category string, display_name string, group string")
+
+
+def vocabulary_files(spark: SparkSession, path: str) -> DataFrame:
+    """The same from JSON files, one head a line."""
+    return spark.read.schema("head string, n_classes int, kind string, category string, display_name string, `group` string").json(path)

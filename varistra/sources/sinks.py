@@ -68,6 +68,11 @@ def settings(spark: SparkSession, values: dict[str, object]) -> DataFrame:
     return spark.createDataFrame([(k, json.dumps(v, sort_keys=True)) for k, v in sorted(values.items())], "key string, value string")
 
 
+def settings_of(df: DataFrame, key: str) -> DataFrame:
+    """K3, K5: (key, value): each row's other columns as a JSON text."""
+    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("value"))
+
+
 def materialise_views(spark: SparkSession, views: dict[str, DataFrame], path: str, fmt: str = "parquet") -> list[str]:
     """K6: write each view under its name, with a header for CSV; returns the paths."""
     out = []
