@@ -79,6 +79,7 @@ def overall_rank(df: DataFrame, value: str, name: str, parts: int = 64) -> DataF
 
 def benjamini_hochberg(df: DataFrame, p: str, key: str, by: list[str] | None = None, name: str = "fdr", parts: int = 64) -> DataFrame:
     """Adjusted p, monotone from the largest p down, within 0 and 1; null where p is null. key isn't needed: equal p share a value.
+    p is worked out twice and must be the same both times: store it first where it comes from sums of doubles.
 
     Distinct p are counted and cut in ranges at approximate quantiles, so that no task sorts a whole group: counts run up
     and minima run down within a range, and the ranges' own counts and minima, a few rows a group, carry both on."""

@@ -62,6 +62,14 @@ def disjoint_split(df: DataFrame, group: str, share: float, seed: int) -> DataFr
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402]
 
 
+def poisson(u: Column) -> Column:
+    """The Poisson(1) number of a uniform one."""
+    times = F.lit(len(POISSON))
+    for i in range(len(POISSON) - 1, -1, -1):
+        times = F.when(u < POISSON[i], i).otherwise(times)
+    return times
+
+
 def bootstrap(df: DataFrame, group: str, value: str, replicates: int, seed: int, least: int = 10, by: list[str] | None = None) -> DataFrame:
     """A row for each stratum (one row without ``by``): groups, mean, lo, hi: percentile interval of the mean over resampled
     groups; no interval under ``least`` groups.
@@ -70,10 +78,7 @@ def bootstrap(df: DataFrame, group: str, value: str, replicates: int, seed: int,
     replicates are sums over groups in one aggregate and nothing is collected."""
     by = by or []
     sums = df.filter(F.col(value).isNotNull()).groupBy(*by, group).agg(F.avg(F.col(value).cast("double")).alias("m"))
-    u = draw(seed, number(df, group), F.col("rep")) / PRIME
-    times = F.lit(len(POISSON))
-    for i in range(len(POISSON) - 1, -1, -1):
-        times = F.when(u < POISSON[i], i).otherwise(times)
+    times = poisson(draw(seed, number(df, group), F.col("rep")) / PRIME)
     reps = sums.select(*by, group, "m", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("k", times)
     means = reps.groupBy(*by, "rep").agg((F.sum(F.col("k") * F.col("m")) / F.greatest(F.lit(1), F.sum("k"))).alias("b"))
     ci = means.groupBy(*by).agg(F.percentile("b", F.lit(0.025)).alias("lo"), F.percentile("b", F.lit(0.975)).alias("hi"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varistra.functions import special
 from varistra.operators.relational import average_rank, benjamini_hochberg
+from varistra.sources import shared
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
@@ -40,18 +41,24 @@ def welch(df: DataFrame, group: str, value: str, least: int = 3) -> DataFrame:
     sums = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
     total = Window.partitionBy()
     sums = sums.select("*", *[(F.sum(c).over(total) - F.col(c)).alias(f"rest_{c}") for c in ("n", "s", "q")]).filter((F.col("n") >= least) & (F.col("rest_n") >= least))
+    return welch_columns(sums).select(group, "n", "rest_n", "diff", "t", "dof", "d")
+
+
+def welch_columns(sums: DataFrame) -> DataFrame:
+    """sums (n, s, q of a sample, rest_n, rest_s, rest_q of the other: count, sum, sum of squares) with diff, t, dof and d."""
     var = lambda n, s, q: F.greatest(F.lit(0.0), (F.col(q) - F.col(s) * F.col(s) / F.col(n)) / (F.col(n) - 1))
     out = sums.withColumns({"v1": var("n", "s", "q"), "v2": var("rest_n", "rest_s", "rest_q"), "diff": F.col("s") / F.col("n") - F.col("rest_s") / F.col("rest_n")})
     a, b = F.col("v1") / F.col("n"), F.col("v2") / F.col("rest_n")
     dof = F.greatest(F.lit(1.0), F.pow(a + b, 2) / F.greatest(F.lit(1e-300), a * a / (F.col("n") - 1) + b * b / (F.col("rest_n") - 1)))
     pooled = F.sqrt(((F.col("n") - 1) * F.col("v1") + (F.col("rest_n") - 1) * F.col("v2")) / (F.col("n") + F.col("rest_n") - 2))
-    return out.select(group, "n", "rest_n", "diff", safe_ratio(F.col("diff"), F.sqrt(a + b)).alias("t"), dof.alias("dof"), safe_ratio(F.col("diff"), pooled).alias("d"))
+    return out.withColumns({"t": safe_ratio(F.col("diff"), F.sqrt(a + b)), "dof": dof, "d": safe_ratio(F.col("diff"), pooled)}).drop("v1", "v2")
 
 
 def enrichment(df: DataFrame, group: str, value: str, least: int = 3) -> DataFrame:
     """M6 with p and false-discovery rate."""
-    tested = welch(df, group, value, least)
-    return benjamini_hochberg(tested.withColumn("p", F.coalesce(special.t_p(F.col("t"), F.col("dof")), F.lit(1.0))), "p", group)
+    tested = welch(df, group, value, least).withColumn("p", F.coalesce(special.t_p(F.col("t"), F.col("dof")), F.lit(1.0)))
+    tested, _ = shared.stored(tested, "tested")  # sums of doubles may differ in their last digits when they are worked out again
+    return benjamini_hochberg(tested, "p", group)
 
 
 def mann_whitney(df: DataFrame, value: str, in_first: Column) -> DataFrame:

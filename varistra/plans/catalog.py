@@ -35,4 +35,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from varistra.plans import model_queries, relational_queries, serving_queries, statistical_queries, storage_queries, table_queries  # noqa: E402,F401
+from varistra.plans import forward_queries, model_queries, relational_queries, serving_queries, statistical_queries, storage_queries, table_queries  # noqa: E402,F401
