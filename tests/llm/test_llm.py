@@ -408,6 +408,35 @@ def test_inline_names_drop_nothing():
     assert html_text.main_text(page, {}) == "T\nHeader of the text kept more words here"
 
 
+@pytest.fixture(scope="module")
+def learnt(spark):
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    return html_text.learn(spark.read.parquet(path))
+
+
+LAST = "one two three four five six seven eight nine ten eleven"
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        (f'<h1>T</h1><p>Read the <a href="/r">full report</a> today.</p><p>{LAST}</p>', f"T\nRead the full report today.\n{LAST}"),
+        (f"<p>First of all</p><ul><li>this item</li><li>and <a href='/x'>that</a></li></ul><p>{LAST}</p>", f"First of all\nthis item\nand that\n{LAST}"),
+        (f'<p>First of all some words</p><div class="ad">Buy <a href="/b">this</a> now, please do</div><p>{LAST}</p>', f"First of all some words\n{LAST}"),
+        (f"<p>First of all some words</p><form><label>Name</label><input><button>Go on</button></form><p>{LAST}</p>", f"First of all some words\n{LAST}"),
+        (f"<p>First of all some words</p><header><ul><li><a href='/'>Up</a></li></ul></header><p>{LAST}</p>", f"First of all some words\n{LAST}"),
+        (f'<p class="reply">A reply of his</p><div class="share-price">42 euros a share</div><div id="related-work">Others did so</div><div class="form-of-government">A republic</div><p>{LAST}</p>', f"A reply of his\n42 euros a share\nOthers did so\nA republic\n{LAST}"),
+        (f"<table><tr><th>Year</th><td>Sum</td></tr></table><blockquote><p>Quoted words</p></blockquote><div class='site-footer'>No</div><div class='cookie-banner'>No</div><p>{LAST}</p>", f"Year\nSum\nQuoted words\n{LAST}"),
+    ],
+)
+def test_articles_keep_links_lists_and_what_follows(learnt, body, want):
+    """With learnt weights: nothing within an article but its excluded blocks is lost, and nothing around it comes in."""
+    page = f"<html><head><title>T</title></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/a'>About</a></li></ul></nav><div class='ad'>Buy it</div><article>{body}</article><div class='comments'><p>I disagree</p></div><footer>Us</footer></body></html>"
+    assert html_text.main_text(page, learnt) == want
+
+
 def test_best_run_equals_brute_force():
     rng = random.Random(5)
     for _ in range(300):
@@ -492,7 +521,7 @@ def test_pruning_loses_nothing():
 def test_pipeline_on_odd_rows(spark, odd):
     import corpus_pipeline as pipeline
 
-    docs, d = odd.drop("mix_size"), "/root/testdata/sf0.001"
+    docs, d = odd.withColumn("mix_key", F.lit("own")).withColumn("mix_copies", F.lit(7)), "/root/testdata/sf0.001"
     for name, stage in pipeline.STAGES[:-1]:
         out = common.materialise(stage(spark, docs, d), name)
         assert out.columns == docs.columns, name
@@ -500,9 +529,22 @@ def test_pipeline_on_odd_rows(spark, odd):
         if name == "near_duplicates":
             assert out.count() == len(ODD) - 1  # of two equal rows one stays
         docs = out
+    assert docs.filter("mix_key = 'own' and mix_copies = 7").count() == docs.count() > 0
     assert [c for c in pipeline.STAGES[-1][1](spark, docs, d).columns] == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_blank_texts_are_never_toxic(spark, tmp_path):
+    """Also where labelled rows without text are toxic."""
+    import corpus_pipeline as pipeline
+
+    rows = [(i, None if i % 4 else " \n", "en", "s", 0) for i in range(80)] + [(100 + i, f"kind words number {i} here", "en", "s", 0) for i in range(40)]
+    spark.createDataFrame([(r[0], 1, int(r[0] < 100)) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    kept = pipeline.without_toxic(spark, docs, str(tmp_path))
+    assert kept.filter("doc_id < 100").count() == 80
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

@@ -133,7 +133,9 @@ def mix_sized(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float =
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """The mixed documents: every row of docs as many times as the mix takes it, with the columns of docs."""
-    mixed = mix_sized(with_size(docs), weights, share, cap, seed)
+    """The mixed documents: every row of docs as many times as the mix takes it, with the columns of docs, whatever their names."""
+    # docs' columns travel as one, so that none meets a helper's name
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("mix_row"))
+    mixed = mix_sized(with_size(rows).drop("text"), weights, share, cap, seed)
     repeated = mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies"))))
-    return repeated.select(*docs.columns)
+    return repeated.select("mix_row.*")
