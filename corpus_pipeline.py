@@ -28,10 +28,11 @@ def fresh(docs: DataFrame, name: str) -> str:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under REJECT_AT."""
+    """Documents whose toxicity score is under REJECT_AT, and those that have no word to be toxic."""
     found = fresh(docs, "stage_toxicity")
     scored = toxicity.score(docs, common.read_table(spark, sf_dir, "labels"), column=found)
-    return scored.filter(F.col(f"{found}.score") < REJECT_AT).select(*docs.columns)
+    blank = F.regexp_count(common.text_or_empty(), F.lit(common.WORD)) == 0
+    return scored.filter(blank | (F.col(f"{found}.score") < REJECT_AT)).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
