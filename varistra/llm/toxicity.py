@@ -30,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
-from array import array
+import struct
 from collections import Counter
 
 import numpy as np
@@ -109,7 +109,9 @@ def select_features(sample: DataFrame, min_df: int = MIN_DF) -> list[tuple[str,
 
 
 class WordPlaces(dict):
-    """The places of a word's features as bytes of 32-bit integers, -1 where it has none; worked out once."""
+    """The places of a word's features as bytes of 32-bit integers, -1 where it has none; worked out once.
+
+    A row with a word has its beginnings too, so where one is in too few rows neither longer ones nor the word are features."""
 
     def __init__(self, places: dict[str, int], most: int = 200_000):
         super().__init__()
@@ -118,11 +120,23 @@ class WordPlaces(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > self.most:
             self.clear()
-        found = [self.places.get(f, -1) for f in features_of(word)]
-        out = self[word] = array("i", found + [-1] * (WIDTH - len(found))).tobytes()
+        get, length, found, known = self.places.get, len(word), [-1] * WIDTH, True
+        for i, n in enumerate(STARTS, 1):
+            if length <= n:
+                break
+            found[i] = at = get(word[:n] + "-", -1)
+            if at < 0:
+                known = False
+                break
+        if known:
+            found[0] = get(word, -1)
+        out = self[word] = PLACES(*found)
         return out
 
 
+PLACES = struct.Struct(f"{WIDTH}i").pack
+
+
 class Vectors:
     """Vectors of unit length over the features and a constant place."""
 
