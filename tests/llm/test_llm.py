@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import os
 import random
 import zlib
@@ -496,6 +497,53 @@ def test_shards_and_short_items_change_nothing(spark, monkeypatch):
         decontaminate.contaminated(docs.withColumn("item_ids", F.lit(1)), bench)
 
 
+def bm25_leaks(text, items, threshold=0.5, k1=1.2, b=0.75):
+    """Items that a text leaks, from the definition: every window scores every item, no index."""
+    split = lambda t: "".join(c for c in t.lower() if c not in ".,;:!?\"'()[]").split()
+    sets = {i: split(t) for i, t in items}
+    n, mean, longest = len(sets), sum(map(len, sets.values())) / len(sets), max(map(len, sets.values()))
+    df = Counter(w for x in sets.values() for w in set(x))
+
+    def weight(w, x):
+        return math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * x.count(w) * (k1 + 1) / (x.count(w) + k1 * (1 - b + b * len(x) / mean))
+
+    def share(part, passage, k):
+        grams = {tuple(part[i : i + k]) for i in range(len(part) - k + 1)}
+        return len(grams & {tuple(passage[i : i + k]) for i in range(len(passage) - k + 1)}) / len(grams)
+
+    words, out = split(text), set()
+    for begin in range(0, len(words), longest):
+        passage = words[begin : begin + 2 * longest]
+        for i, t in items:
+            x = sets[i]
+            score = sum(weight(w, x) for w in set(x) & set(passage)) / sum(weight(w, x) for w in set(x))
+            if len(x) < 8:
+                good = any(passage[j : j + len(x)] == x for j in range(len(passage)))
+            else:
+                cut = max((j for j in range(len(t) - 2) if t[j] in ".!?"), default=-1) + 1
+                question, answer = (split(t[:cut]), split(t[cut:])) if cut else (x, x)
+                good = share(question, passage, min(5, len(question))) >= 0.5 and share(sorted(set(answer)), sorted(set(passage)), 1) >= 0.5
+            if score >= threshold - 1e-9 and good:
+                out.add(i)
+    return sorted(out)
+
+
+def test_leaks_equal_plain_bm25(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    items = [(i, prose(rng, int(rng.integers(8, 30)), 200) + "? " + prose(rng, int(rng.integers(1, 6)), 200) + ".") for i in range(30)]
+    items += [(50 + i, prose(rng, int(rng.integers(3, 7)), 2000)) for i in range(10)]
+    rows = []
+    for i in range(120):
+        own = items[i % 40][1].split()
+        rows.append((i, prose(rng, 60, 200) + " " + " ".join(own[int(rng.integers(0, 3)) : int(rng.integers(1, len(own) + 1))]) + " " + prose(rng, int(rng.integers(0, 60)), 200)))
+    want = {i: bm25_leaks(t, items) for i, t in rows}
+    assert 20 < sum(map(len, want.values())) and sum(not v for v in want.values()) > 10
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (16 << 20, 700):
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", size)
+        assert {r.doc_id: list(r.item_ids) for r in decontaminate.contaminated(docs, bench).collect()} == want
+
+
 def test_pruning_loses_nothing():
     rng = np.random.default_rng(9)
     items = [(i, prose(rng, 30, 300), None) for i in range(50)]

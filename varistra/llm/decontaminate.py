@@ -12,12 +12,14 @@ scored. Every item at or over the threshold is found. An item counts as leaked i
 shingles and of its answer's words stand in the passage; the answer is the item's ``answer`` where the table has that
 column, else its last sentence, the question the rest.
 
-Counts, document frequencies, the mean length and the passages' width are those of all items. Items are read in shards of
-a bounded size, one after another, and only one shard's index is in memory at a time, so a task's memory doesn't depend
-on the benchmark's size, and neither does what is found on how items fall into shards.
+Counts, document frequencies, the mean length and the passages' width are those of all items. Items fall into shards of
+a bounded size, each indexed by one task and written to the shared folder. A task asks one shard after another about the
+texts that it holds, with one shard's index in memory at a time: documents are read once and never written, a task's
+memory doesn't depend on the benchmark's size, and neither does what is found on how items fall into shards.
 
-Items of fewer than ``MIN_WORDS`` words, which a share of their words can't tell from chance, leak only if the whole of
-them, question and answer, stands in the text word by word; in scripts without spaces, character by character.
+Characters of scripts that put no spaces between words are words of their own. Items of fewer than ``MIN_WORDS`` pieces
+between white space are found by BM25 like all others; as shares of so few can't be told from chance, the overlap asked
+of them is the whole item, question and answer, word by word.
 
 Defined results. A null or empty text or item matches nothing; an item of one word leaks where that word stands. Rows that share a doc_id are answered each. A null item_id is reported as -1. A
 column of docs that is called like the result is an error, any other stays. Without items nothing is contaminated;
@@ -26,11 +28,16 @@ without documents the result is empty.
 
 from __future__ import annotations
 
+import itertools
 import math
+import pickle
 import re
+import uuid
 from collections import Counter, defaultdict
+from typing import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +51,18 @@ SHINGLE = 5
 EDGE = b".,;:!?\"'()[]"
 #: Characters of scripts that put no spaces between words: Thai, Lao, Burmese, Khmer, kana, Han.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-START = 8
+#: Texts that a task holds while it asks one shard after another.
+HELD_BYTES = 32 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Words in lower case (of every script) without punctuation, in UTF-8."""
-    return (text or "").lower().encode(errors="surrogatepass").translate(None, EDGE).split()
+    """Words in lower case (of every script) without punctuation, in UTF-8; characters of unspaced scripts are words."""
+    text = (text or "").lower()
+    return pieces_of(text if text.isascii() else UNSPACED.sub(r" \g<0> ", text))
+
+
+def pieces_of(text: str) -> list[bytes]:
+    return text.lower().encode(errors="surrogatepass").translate(None, EDGE).split()
 
 
 def split_item(text: str, answer: str | None) -> tuple[str, str]:
@@ -65,57 +78,24 @@ def shingles(words: list[bytes], k: int = SHINGLE) -> set[tuple]:
     return set(zip(*(words[i:] for i in range(k)))) if k else set()
 
 
-class ShortItems:
-    """Items of few words [(place, words)], found where all of one stands in a text: by its rarest word, or by its first characters."""
-
-    def __init__(self, items: list[tuple[int, list[bytes]]]):
-        df = Counter(w for _, words in items for w in set(words))
-        self.by_word: dict[bytes, list] = defaultdict(list)
-        self.by_start: dict[str, list] = defaultdict(list)
-        for at, words in items:
-            text = b"".join(words).decode(errors="surrogatepass")
-            if UNSPACED.search(text):
-                self.by_start[text[:START]].append((at, text))
-            else:
-                offset = min(range(len(words)), key=lambda i: (df[words[i]], i))
-                self.by_word[words[offset]].append((at, offset, words))
-        self.words = frozenset(self.by_word)
-        self.widths = sorted(set(map(len, self.by_start)))
-
-    def search(self, words: list[bytes]) -> set[int]:
-        """Places of the items that stand in a text of these words."""
-        found: set[int] = set()
-        if not self.words.isdisjoint(words):
-            for i, w in enumerate(words):
-                if w in self.words:
-                    found.update(at for at, offset, item in self.by_word[w] if offset <= i and words[i - offset : i - offset + len(item)] == item)
-        if self.widths:
-            text = b"".join(words).decode(errors="surrogatepass")
-            if UNSPACED.search(text):
-                for n in self.widths:
-                    for i in range(len(text) - n + 1):
-                        found.update(at for at, item in self.by_start.get(text[i : i + n], ()) if text.startswith(item, i))
-        return found
-
-
-def item_words(text: str | None, answer: str | None) -> list[bytes]:
-    return words_of((text or "") + ("" if answer is None else " " + answer))
+def whole_item(text: str | None, answer: str | None) -> str:
+    return (text or "") + ("" if answer is None else " " + answer)
 
 
 class Index:
     """BM25 impacts of items [(item_id, text, answer)], in blocks, and what the overlap check needs.
 
-    whole: (items, mean length, longest item, rows by word) of all items that aren't short, where these are a part."""
+    whole: (items, mean length, longest item, rows by word) of all items that have words, where these are a part."""
 
     def __init__(self, items: list[tuple], threshold: float, whole: tuple | None = None):
         self.threshold = threshold
-        self.items, short = [], []
+        self.items = []
         for item_id, text, answer in items:
             question, reply = split_item(text or "", answer)
-            all_words = item_words(text, answer)
+            whole_text = whole_item(text, answer)
+            all_words = words_of(whole_text)
             if all_words:
-                own = self.items if len(all_words) >= MIN_WORDS else short
-                own.append((-1 if item_id is None else item_id, all_words, shingles(words_of(question)), set(words_of(reply))))
+                self.items.append((-1 if item_id is None else item_id, all_words, shingles(words_of(question)), set(words_of(reply)), len(pieces_of(whole_text)) < MIN_WORDS))
         self.items.sort(key=lambda x: (len(x[1]), x[0]))
         if whole is None:
             lengths = [len(x[1]) for x in self.items]
@@ -125,7 +105,7 @@ class Index:
         self.ids: dict[bytes, int] = {w: i for i, w in enumerate(sorted({w for x in self.items for w in x[1]}))}
         self.impacts: list[dict[int, float]] = []
         essential = defaultdict(set)
-        for at, (_, all_words, _, _) in enumerate(self.items):
+        for at, (_, all_words, *_) in enumerate(self.items):
             weight = {}
             for w, tf in Counter(all_words).items():
                 idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
@@ -145,15 +125,13 @@ class Index:
                 for t, x in impact.items():
                     most[t] = max(most.get(t, 0.0), x)
             self.block_max.append(most)
-        self.short = ShortItems([(len(self.items) + i, x[1]) for i, x in enumerate(short)])
-        self.items += short
 
     def search(self, text: str | None) -> list[tuple[int, float]]:
         """[(item's place, best score)] over the passages of a text, whose question and answer overlap."""
         words = words_of(text)
-        found = dict.fromkeys(self.short.search(words), 1.0)
+        found: dict[int, float] = {}
         if self.essential_words.isdisjoint(words):
-            return sorted(found.items())
+            return []
         ids, essential = self.ids, self.essential
         rare = [(i, ids[w]) for i, w in enumerate(words) if w in self.essential_words]
         half = max(1, self.window // 2)
@@ -180,7 +158,9 @@ class Index:
         return sorted(found.items())
 
     def overlaps(self, at: int, passage: list[bytes], share: float = 0.5) -> bool:
-        _, _, question, answer = self.items[at]
+        _, words, question, answer, short = self.items[at]
+        if short:
+            return any(w == words[0] and passage[i : i + len(words)] == words for i, w in enumerate(passage))
         width = len(next(iter(question))) if question else 0
         here = shingles(passage, width) if width <= len(passage) else set()
         in_question = len(question & here) / len(question) if question else 1.0
@@ -188,38 +168,66 @@ class Index:
         return in_question >= share and in_answer >= share
 
 
-def item_shards(items: DataFrame):
-    """(items, statistics of all items that a shard's index needs) in shards of about SHARD_BYTES of text, read one after another."""
+def item_shards(items: DataFrame, threshold: float) -> list[str]:
+    """Files of indexes, one for each shard of about SHARD_BYTES of items, each built by a task from its items and their words' frequencies."""
     answer = F.col("answer").cast("string") if "answer" in items.columns else F.lit(None).cast("string")
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
+    rows = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [item_words(t, a) for t, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            words = pa.array([sorted(set(x)) if len(x) >= MIN_WORDS else [] for x in found], pa.list_(pa.binary()))
+            found = [words_of(whole_item(t, a)) for t, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            words = pa.array([sorted(set(x)) for x in found], pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([len(x) for x in found], pa.int64()), words], ["item_id", "text", "answer", "n", "words"])
 
-    rows = common.materialise(rows.mapInArrow(run, "item_id long, text string, answer string, n long, words array<binary>"), "items")
-    size = rows.agg(F.sum(F.octet_length(common.text_or_empty()) + F.octet_length(common.text_or_empty("answer")) + 64)).first()[0] or 0
-    n, mean, longest = rows.filter(F.col("n") >= MIN_WORDS).agg(F.count(F.lit(1)), F.coalesce(F.avg("n"), F.lit(0.0)), F.coalesce(F.max("n"), F.lit(1))).first()
-    shards = math.ceil(size / SHARD_BYTES)
+    rows = common.materialise(rows.mapInArrow(run, "item_id long, text string, answer string, n long, words array<binary>"), "items").filter("n > 0")
+    size = F.sum(F.octet_length("text") + F.octet_length(common.text_or_empty("answer")) + 64)
+    size, n, mean, longest = rows.agg(F.coalesce(size, F.lit(0)), F.count(F.lit(1)), F.avg("n"), F.max("n")).first()
+    shards, folder = math.ceil(size / SHARD_BYTES), common.scratch(items.sparkSession, "item_index")
     df = rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    df = common.materialise(df, "item_words") if shards > 1 else df
-    for i in range(shards):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == i)
-        own = df.join(part.select(F.explode("words").alias("w")).distinct(), "w") if shards > 1 else df
-        yield [tuple(r) for r in part.select("item_id", "text", "answer").collect()], (n, mean, longest, {bytes(r.w): r.df for r in own.collect()})
+    parts = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, shards))))
+    own = parts.select(F.col("shard").alias("of"), F.explode("words").alias("w")).distinct().join(df, "w")
+
+    def build(part, known):
+        index = Index(list(zip(part["item_id"], part["text"], part["answer"])), threshold, (n, mean, longest, dict(zip(map(bytes, known["w"]), known["df"]))))
+        path = f"{folder}/{uuid.uuid4().hex}.index"
+        common.put_file(path, lambda out: out.write(pickle.dumps(index)))
+        return pd.DataFrame({"path": [path]})
+
+    both = parts.select("shard", "item_id", "text", "answer").groupBy("shard").cogroup(own.groupBy("of"))
+    return sorted(r.path for r in both.applyInPandas(build, "path string").collect()) if shards else []
+
+
+def read_index(path: str) -> Index:
+    where, at = common.store(path)
+    with where.open_input_stream(at, compression=None) as f:
+        return pickle.loads(f.read())
+
 
+def leaks(paths: list[str]):
+    """A pandas UDF: the items of the indexes that each text leaks. Batches are held up to HELD_BYTES if several are to be asked."""
 
-def leaks(sent):
-    """A pandas UDF: the items of a broadcast index that each text leaks."""
+    def answers(held: list[pd.Series]):
+        hits = [set() for texts in held for _ in texts]
+        for path in paths:
+            index = common.worker_cache("decontaminate", path, lambda: read_index(path))  # a single shard's stays for the next task
+            for text, own in zip(itertools.chain(*held), hits):
+                own.update(index.items[at][0] for at, _ in index.search(text))
+        rest = iter(hits)
+        for texts in held:
+            yield pd.Series([sorted(next(rest)) for _ in texts], dtype=object)
 
     @F.pandas_udf("array<bigint>")
-    def found(texts):
-        index = sent.value
-        return texts.map(lambda t: sorted({index.items[at][0] for at, _ in index.search(t)}))
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held, size = [], 0
+        for texts in batches:
+            held.append(texts)
+            size += int(texts.str.len().sum()) if len(texts) else 0
+            if len(paths) == 1 or size >= HELD_BYTES:
+                yield from answers(held)
+                held, size = [], 0
+        yield from answers(held)
 
     return found
 
@@ -228,15 +236,5 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, colu
     """docs with a column array<long>: the items that each row's text leaks, ascending (empty: none). docs' other columns stay."""
     if column in docs.columns:
         raise ValueError(f"docs has a column {column} already")
-    spark = docs.sparkSession
-    out, earlier = docs.withColumn(column, F.array().cast("array<bigint>")), None
-    for k, (shard, whole) in enumerate(item_shards(items)):
-        if k:  # rows are written between shards, so that no task holds two indexes
-            now = common.materialise(out, "shard")
-            if earlier is not None:
-                common.remove(spark, earlier.scratch_path)
-            out = earlier = now
-        sent = spark.sparkContext.broadcast(Index(shard, threshold, whole))  # about SHARD_BYTES of items
-
-        out = out.withColumn(column, F.array_sort(F.array_union(column, leaks(sent)(F.col("text").cast("string")))))
-    return out
+    paths = item_shards(items, threshold)
+    return docs.withColumn(column, leaks(paths)(F.col("text").cast("string")) if paths else F.array().cast("array<bigint>"))
