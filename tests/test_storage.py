@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varistra.sources import chunks, lookup, readers, shards
+from varistra.streaming import batches
 
 
 @pytest.fixture()
@@ -109,3 +110,39 @@ def test_prepared_tables_are_kept(spark, tmp_path):
     first = lookup.prepared(df, "r", "id")
     assert lookup.prepared(df, "r", "id") is first and first.between(3, 5).count() == 3
     assert os.path.isdir(first.path.removeprefix("file://"))
+
+
+def test_stopped_extraction_goes_on(spark, vectors, tmp_path, monkeypatch):
+    """A run that fails within its third batch, after files of it were written, and the run after it give each row once."""
+    x, df = vectors
+    source, out = f"file://{tmp_path}/c", f"file://{tmp_path}/o"
+    chunks.write_chunks(df.repartition(5, "id"), source, "id", "v", rows_per_chunk=64)
+    read, calls = chunks.read_rows, []
+
+    def broken(index, *args, **kw):
+        calls.append(index.count())
+        rows = read(index, *args, **kw)
+        if len(calls) == 3:
+            rows.write.parquet(f"{out}/rows/batch=2")
+            raise RuntimeError("lost")
+        return rows
+
+    monkeypatch.setattr(chunks, "read_rows", broken)
+    with pytest.raises(Exception, match="lost"):
+        batches.extract(spark, source, out, files_per_batch=1)
+    assert len(calls) == 3 and len(glob.glob(f"{tmp_path}/o/rows/batch=*")) == 3
+    first = {b: os.path.getmtime(f"{tmp_path}/o/rows/batch={b}") for b in (0, 1)}
+    got = batches.extract(spark, source, out, files_per_batch=1).collect()
+    assert sorted(r.id for r in got) == list(range(1000)) and all(np.array_equal(np.float32(r.v), x[r.id]) for r in got)
+    assert len(calls) == 6 and calls[2] == calls[3] and first == {b: os.path.getmtime(f"{tmp_path}/o/rows/batch={b}") for b in (0, 1)}
+    assert batches.extract(spark, source, out).count() == 1000 and len(calls) == 6  # nothing new
+    chunks.write_chunks(spark.createDataFrame([(5000, [1.0] * 16), (5001, [2.0] * 16)], df.schema), source, "id", "v", mode="append")
+    keep = spark.createDataFrame([(5001,), (5001,), (None,), (7,)], "id long")
+    later = batches.extract(spark, source, out, transform=lambda m: m + 1, keep=keep)
+    assert [list(r.v) for r in later.filter("id >= 5000").collect()] == [[3.0] * 16] and later.count() == 1001
+
+
+def test_extraction_of_nothing(spark, vectors, tmp_path):
+    _, df = vectors
+    chunks.write_chunks(df.limit(0), f"file://{tmp_path}/c", "id", "v")
+    assert batches.extract(spark, f"file://{tmp_path}/c", f"file://{tmp_path}/o").count() == 0

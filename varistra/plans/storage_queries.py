@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varistra.plans.catalog import Tables, query
 from varistra.sources import chunks, lookup, readers, shards, shared
+from varistra.streaming import batches
 
 ROWS = "SELECT vec_id AS id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 5) AS s FROM embeddings"
 
@@ -40,6 +41,22 @@ def asked_rows(t: Tables) -> DataFrame:
     return summed(chunks.tensor_rows(t.spark, stored_chunks(t)[1]).filter(F.col("id").isin(3, 77, 140, 141)))
 
 
+def doubled(x):
+    return x * 2
+
+
+@query("t6_micro_batches", "SELECT vec_id AS id, len(embedding) AS n, round(list_sum(list_transform(embedding, x -> x::DOUBLE * 2)), 5) AS s FROM embeddings WHERE vec_id % 3 > 0")
+def micro_batches(t: Tables) -> DataFrame:
+    """Wanted rows of chunks through a function, one index file a batch; chunks that come later are taken alone by a second run."""
+    path, out = shared.scratch(t.spark, "chunks"), shared.scratch(t.spark, "extracted")
+    wanted = t.embeddings.select(F.col("vec_id").alias("id")).filter("id % 3 > 0")
+    for part in range(2):
+        own = t.embeddings.filter(F.pmod(F.col("vec_id"), F.lit(2)) == part)
+        chunks.write_chunks(own.repartition(3, "vec_id"), path, "vec_id", "embedding", rows_per_chunk=128, mode="append")
+        rows = batches.extract(t.spark, path, out, doubled, wanted, files_per_batch=2)
+    return summed(rows)
+
+
 @query("k2_arrow_shards", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def arrow_shards(t: Tables) -> DataFrame:
     """Written as Arrow IPC by each task and read again."""

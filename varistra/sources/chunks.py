@@ -41,8 +41,9 @@ def decoded(data: bytes, kind: str, width: int):
     return np.frombuffer(data, {"F32": "<f4", "F16": "<f2", "F64": "<f8"}[kind]).astype("<f4").reshape(-1, width)
 
 
-def write_chunks(df: DataFrame, path: str, key: str, vector: str, rows_per_chunk: int = 4096, kind: str = "F32", name: str = "activations") -> DataFrame:
+def write_chunks(df: DataFrame, path: str, key: str, vector: str, rows_per_chunk: int = 4096, kind: str = "F32", name: str = "activations", mode: str = "error") -> DataFrame:
     """Vectors into chunks under path; returns the index (id, chunk, offset, begin, bytes), stored under path/index.
+    Mode "append" adds chunks to those that are there.
 
     A chunk's file has a name that no other attempt of its task has, and the index names only those of attempts that
     succeeded. All vectors have one length; another, a null vector or a null id is an error."""
@@ -78,7 +79,7 @@ def write_chunks(df: DataFrame, path: str, key: str, vector: str, rows_per_chunk
             yield flush(ids, rows, at)
 
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    rows.mapInArrow(run, "id long, chunk string, offset long, begin long, bytes long").write.parquet(f"{path}/index")
+    rows.mapInArrow(run, "id long, chunk string, offset long, begin long, bytes long").write.mode(mode).parquet(f"{path}/index")
     return df.sparkSession.read.parquet(f"{path}/index")
 
 
