@@ -6,6 +6,7 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from varistra.sources import readers, sinks
 from varistra.streaming import state
@@ -86,6 +87,20 @@ def test_state_machine_batch_and_stream(spark, tmp_path):
     assert got == {k: v for k, v in want.items() if v[1]}
 
 
+def test_stale_keys_fail_on_the_stream(spark, tmp_path):
+    """Requests out of order within the watermark's delay, a key that nothing comes to any more, one that moves before its time-out."""
+    rows = [[("a", 20, 2, "processing"), ("a", 10, 1, "pending"), ("b", 10, 1, "pending"), ("b", 30, 2, "processing"), ("c", 5, 1, "complete"), (None, 7, 1, "pending"), ("d", 9, 1, None)], [("b", 60, 3, "complete"), ("b", 50, 2, "x"), ("e", None, 1, "pending")], [("z", 400, 1, "pending")], [("z", 800, 1, "processing"), ("a", 790, 5, "pending")]]
+    for part in rows:
+        df = spark.createDataFrame(part, "k string, s long, tie int, asked string").withColumn("ts", F.timestamp_seconds("s"))
+        df.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    moves = state.timed_stream_states(stream, "k", "asked", "ts", "tie", 100_000, "20 seconds")
+    q = moves.writeStream.format("memory").queryName("timed").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted(((r.k, r.moves, r.state, r.at // 1000) for r in spark.table("timed").collect()), key=str)
+    assert got == sorted([("a", 1, "pending", 10), ("a", 2, "processing", 20), ("a", 3, "failed", 120), ("b", 1, "pending", 10), ("b", 2, "processing", 30), ("b", 3, "complete", 60), (None, 1, "pending", 7), ("z", 1, "pending", 400)], key=str)
+
+
 def test_redelivery(spark):
     df = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("b", 1, False), ("b", 2, False), ("b", 3, False), ("b", 4, True), ("c", 1, False)], "k string, t int, ok boolean")
     assert {r.k: (r.tries, r.fate) for r in state.redelivered(df, "k", "ok", ["t"]).collect()} == {"a": (2, "done"), "b": (3, "dead"), "c": (1, "open")}

@@ -24,6 +24,15 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str =
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
 
 
+def first_names(sets: DataFrame, counts: DataFrame, key: str, name: str, count: str, order: list[Column], n: int) -> DataFrame:
+    """N rows of sets with different names: those that counts (key, count) has come first, the largest count first; where
+    they are too few, the others follow in order. Ties go by order, then key. Rows without a name share one; fewer names
+    than n give as many rows. One aggregate by name and a top n: no window, and no name's rows in one task."""
+    place = F.struct(F.col(count).isNull().alias("without"), (-F.col(count)).alias("minus"), *[c.alias(f"by{i}") for i, c in enumerate(order)], F.col(key).alias("key"))
+    best = sets.join(counts.select(key, count), key, "left").groupBy(name).agg(F.min(place).alias("place"))
+    return best.orderBy("place").limit(n).select(F.col("place.key").alias(key), name, (-F.col("place.minus")).alias(count))
+
+
 def row_heads(heads: list[str], score=lambda z, i: z) -> Column:
     """A row's heads as structs (minus, head, score), the largest score first, ties by head; null and NaN scores are left out.
 

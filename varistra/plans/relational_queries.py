@@ -184,6 +184,18 @@ def first_name(t: Tables) -> DataFrame:
     return R.top_k(t.part, ["p_name"], [F.desc("p_retailprice"), F.asc("p_partkey")], 1).orderBy(F.desc("p_retailprice"), "p_partkey").limit(12).select("p_name", "p_partkey")
 
 
+@query("w11_size_fallback", """
+WITH c AS (SELECT l_partkey AS p_partkey, count(*) AS n_sig FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.10 AND l_returnflag = 'R' GROUP BY 1),
+s AS (SELECT p_partkey, p_name, n_sig, p_size FROM part LEFT JOIN c USING (p_partkey)),
+f AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY n_sig DESC NULLS LAST, p_size DESC, p_partkey) AS rn FROM s)
+SELECT p_partkey, p_name, n_sig FROM f WHERE rn = 1 ORDER BY n_sig DESC NULLS LAST, p_size DESC, p_partkey LIMIT 40""")
+def names_with_fallback(t: Tables) -> DataFrame:
+    """Names of parts with significant lines first; the rest by size."""
+    lines = t.lineitem.filter("l_quantity = 50 and l_discount = 0.10 and l_returnflag = 'R'")
+    counts = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n_sig"))
+    return R.first_names(t.part, counts, "p_partkey", "p_name", "n_sig", [-F.col("p_size")], 40)
+
+
 # ---------------------------------------------------------------- vectors and neighbours
 
 

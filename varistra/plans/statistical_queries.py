@@ -9,6 +9,7 @@ from varistra.functions import exact
 from varistra.operators import pairs, relational as R, resample, stats
 from varistra.plans.catalog import Tables, query
 from varistra.plans.relational_queries import edges
+from varistra.sources import shared
 from varistra.streaming import state
 
 
@@ -272,6 +273,41 @@ def machine(t: Tables) -> DataFrame:
     return state.final_states(t.events.withColumn("asked", asked), "user_id", "asked", ["ts", "event_id"])
 
 
+STALE_MS, LATE_MS = 12 * 3600 * 1000, 3600 * 1000
+ALLOWED = "('not_started', 'pending'), ('pending', 'processing'), ('processing', 'complete'), ('processing', 'failed'), ('failed', 'pending')"
+
+
+@query("t1_timed_stream", f"""
+WITH RECURSIVE h AS (SELECT epoch_us(max(ts)) // 1000 - {LATE_MS} - 1 AS h FROM events),
+e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'complete' ELSE 'failed' END AS s,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events, h WHERE epoch_us(ts) // 1000 < h),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 'not_started' AS state, 0 AS moves, 0::BIGINT AS since FROM events
+  UNION ALL
+  SELECT user_id, i, CASE WHEN (now, s) IN ({ALLOWED}) THEN s ELSE now END, m + CAST((now, s) IN ({ALLOWED}) AS INT), CASE WHEN (now, s) IN ({ALLOWED}) THEN t ELSE since END
+  FROM (SELECT f.user_id, e.i, e.s, e.t, CASE WHEN f.state = 'processing' AND f.since + {STALE_MS} < e.t THEN 'failed' ELSE f.state END AS now,
+    f.moves + CAST(f.state = 'processing' AND f.since + {STALE_MS} < e.t AS INT) AS m,
+    CASE WHEN f.state = 'processing' AND f.since + {STALE_MS} < e.t THEN f.since + {STALE_MS} ELSE f.since END AS since
+    FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)),
+l AS (SELECT user_id, arg_max(state, i) AS state, max(moves) AS moves, arg_max(since, i) AS since FROM f GROUP BY 1)
+SELECT user_id, CASE WHEN state = 'processing' AND since + {STALE_MS} < h THEN 'failed' ELSE state END AS state,
+  moves + CAST(state = 'processing' AND since + {STALE_MS} < h AS INT) AS moves,
+  CASE WHEN state = 'processing' AND since + {STALE_MS} < h THEN since + {STALE_MS} ELSE since END AS at FROM l, h WHERE moves > 0""")
+def timed_machine(t: Tables) -> DataFrame:
+    """T1 on a stream that gets the events in four parts of a time each; its last moves are those of the batch."""
+    source, out, log = (shared.scratch(t.spark, tag) for tag in ("events", "moves", "log"))
+    asked = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "processing").when(F.col("event_type") == "purchase", "complete").otherwise("failed")
+    events = t.events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), asked.alias("asked"))
+    first, last = events.agg(F.coalesce(F.unix_seconds(F.min("ts")), F.lit(0)), F.coalesce(F.unix_seconds(F.max("ts")), F.lit(0))).first()
+    part = F.least(F.lit(3), F.floor(4 * (F.unix_seconds("ts") - first) / max(1, last - first)))
+    for i in range(4):
+        events.filter(part == i).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    moves = state.timed_stream_states(stream, "user_id", "asked", "ts", "event_id", STALE_MS, f"{LATE_MS} milliseconds")
+    moves.writeStream.format("parquet").option("checkpointLocation", log).trigger(availableNow=True).start(out).awaitTermination()
+    out = t.spark.read.schema("user_id long, state string, moves int, at long").parquet(out)
+    return out.groupBy("user_id").agg(F.max(F.struct("moves", "state", "at")).alias("m")).select("user_id", "m.state", "m.moves", "m.at")
+
+
 @query("t2_redelivery", "WITH a AS (SELECT user_id, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events QUALIFY nth <= 3), s AS (SELECT user_id, min(nth) FILTER (WHERE ok) AS won, count(*) AS n FROM a GROUP BY 1) SELECT user_id, CAST(coalesce(won, n) AS INT) AS tries, CASE WHEN won IS NOT NULL THEN 'done' WHEN n >= 3 THEN 'dead' ELSE 'open' END AS fate FROM s")
 def redelivery(t: Tables) -> DataFrame:
     """T2, T4."""

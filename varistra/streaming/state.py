@@ -55,6 +55,51 @@ def stream_states(events: DataFrame, key: str, state: str):
     return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, state string, moves int", "state string, moves int", "append", "NoTimeout")
 
 
+def timed_stream_states(events: DataFrame, key: str, state: str, ts: str, tie: str, stale_ms: int, late: str = "1 hour"):
+    """T1 on a stream with a time-out: a key that is processing for more than stale_ms fails; gives (key, state, moves, at) at every move.
+
+    Requests count in order of (ts, tie) whatever order they come in: they wait in the key's state until the watermark,
+    ``late`` behind the newest, has passed them, and a timer wakes keys to which nothing comes. So the moves are those of
+    the same events in one batch, up to the watermark; later requests than that are dropped by Spark. Times count in
+    milliseconds, at is that of the request or of the failure. Rows with a null key are one key; those with a null time
+    never pass the watermark and are left out, requests for null or unknown states change nothing."""
+    import json
+
+    def run(k, frames, held):
+        import pandas as pd
+
+        now, n, since, waiting = held.get if held.exists else ("not_started", 0, 0, "[]")
+        waiting, out, limit = json.loads(waiting), [], held.getCurrentWatermarkMs() - 1
+        for frame in frames:
+            waiting += [[int(a) // 1000, int(a), int(b), c] for a, b, c in zip(frame["at"], frame["tie"], frame["asked"])]
+
+        def move(to, at):
+            nonlocal now, n, since
+            if to != now:
+                now, n, since = to, n + 1, at
+                out.append((k[0], now, n, at))
+
+        def fail_stale(before):
+            if now == "processing" and since + stale_ms < before:
+                move("failed", since + stale_ms)
+
+        for ms, _, _, asked in sorted((w for w in waiting if w[0] < limit), key=lambda w: w[1:3]):
+            fail_stale(ms)
+            move(step(now, asked), ms)
+        fail_stale(limit)
+        waiting = [w for w in waiting if w[0] >= limit]
+        held.update((now, n, since, json.dumps(waiting)))
+        wake = [w[0] for w in waiting] + [since + stale_ms] * (now == "processing")
+        if wake:
+            held.setTimeoutTimestamp(min(wake) + 1)  # fires once the watermark is past it
+        yield pd.DataFrame(out, columns=[key, "state", "moves", "at"])
+
+    kind = dict(events.dtypes)[key]
+    asked = events.filter(F.col(ts).isNotNull()).withWatermark(ts, late)
+    asked = asked.select(key, ts, F.unix_micros(ts).alias("at"), F.col(tie).cast("long").alias("tie"), F.col(state).alias("asked"))
+    return asked.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, state string, moves int, at long", "state string, moves int, since long, waiting string", "append", "EventTimeTimeout")
+
+
 def deduplicated(events: DataFrame, key: str, ts: str, within: str = "5 minutes") -> DataFrame:
     """A queue's messages, each dedup id once within the window."""
     return events.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
