@@ -271,6 +271,24 @@ def test_heads_are_ranked_within_the_row(spark):
     assert sorted(map(tuple, top.collect())) == sorted([(1, "a_x", 3.0, 1), (1, "a_y", 2.0, 2)] * 2 + [(2, "c_x", 0.5, 1), (4, "a_y", 9.0, 1), (4, "c_x", 2.0, 2)])
 
 
+def test_pairs_of_sets_are_distinct_without_a_shuffle_of_pairs(spark):
+    import random
+
+    rows = [(random.Random(i).randrange(30) if i % 7 else None, random.Random(-i).randrange(40) if i % 11 else None) for i in range(600)]
+    rows += [(g, 99) for g in range(30)]
+    df = spark.createDataFrame(rows, "g int, m int")
+    groups = {}
+    for g, m in rows:
+        if g is not None and m is not None:
+            groups.setdefault(g, set()).add(m)
+    want = sorted({(a, b) for ms in groups.values() for a in ms for b in ms if a < b})
+    for block, most in ((8192, 256), (3, 256), (8192, 8), (4, 15), (4, 0)):
+        got = R.group_pairs(df, "g", "m", block=block, most=most)
+        assert want == sorted(map(tuple, got.collect()))
+        if most == 256:
+            assert "keys=[a#" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pairs_counted_by_label_equal_pairs_made(spark):
     from varistra.operators import relational as R
 
