@@ -271,6 +271,16 @@ def test_heads_are_ranked_within_the_row(spark):
     assert sorted(map(tuple, top.collect())) == sorted([(1, "a_x", 3.0, 1), (1, "a_y", 2.0, 2)] * 2 + [(2, "c_x", 0.5, 1), (4, "a_y", 9.0, 1), (4, "c_x", 2.0, 2)])
 
 
+def test_rows_of_one_key_are_ranked_together(spark):
+    rows = [(1, 3.0, 2.0, 2.0, None), (1, 4.0, 2.0, 5.0, None), (2, 0.4, 0.1, None, 0.5), (3, None, None, None, None), (4, float("nan"), 9.0, 1.0, 2.0), (4, 9.5, None, None, 9.0)]
+    df = spark.createDataFrame(rows, "id int, a_x double, a_y double, b_x double, c_x double")
+    heads = df.columns[1:]
+    got = R.attribute_keys(df, ["id"], heads, lambda h: F.substring(h, 1, 1), 2)
+    assert sorted(map(tuple, got.collect())) == [(1, "a_x", "a", 4.0, 2), (1, "b_x", "b", 5.0, 1), (4, "a_x", "a", 9.5, 1), (4, "c_x", "c", 9.0, 2)]
+    top = R.ranked_keys(df, ["id"], heads, lambda v, i: F.abs(v), 0.45, 2)
+    assert sorted(map(tuple, top.collect())) == [(1, "a_x", 4.0, 2), (1, "b_x", 5.0, 1), (2, "c_x", 0.5, 1), (4, "a_x", 9.5, 1), (4, "a_y", 9.0, 2)]
+
+
 def test_pairs_of_sets_are_distinct_without_a_shuffle_of_pairs(spark):
     import random
 
