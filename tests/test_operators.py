@@ -271,6 +271,42 @@ def test_heads_are_ranked_within_the_row(spark):
     assert sorted(map(tuple, top.collect())) == sorted([(1, "a_x", 3.0, 1), (1, "a_y", 2.0, 2)] * 2 + [(2, "c_x", 0.5, 1), (4, "a_y", 9.0, 1), (4, "c_x", 2.0, 2)])
 
 
+def test_neighbours_by_tiles_equal_plain_ones(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(60, 6)), np.tile(rng.normal(size=6), (40, 1)), np.zeros((3, 6))]).astype(np.float32)
+    ids = [int(i) for i in rng.permutation(1000)[: len(x)]]
+    df = spark.createDataFrame(list(zip(ids, x.tolist())), "id int, v array<float>")
+    u = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-10)
+    sim = np.round(u @ u.T, 6)
+    want = []
+    for i, a in enumerate(ids):
+        near = sorted((-sim[i, j], b) for j, b in enumerate(ids) if b != a)[:5]
+        want += [(a, r, b, round(-s, 6) + 0.0) for r, (s, b) in enumerate(near, 1)]
+    for block, tile in ((8 << 20, 2 << 20), (16 * 24, 40), (50 * 24, 300)):
+        monkeypatch.setattr(V, "BLOCK_BYTES", block)
+        monkeypatch.setattr(V, "TILE", tile)
+        got = [(a, r, b, round(s, 6) + 0.0) for a, r, b, s in V.neighbours(df, "id", "v", 5).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_neighbours_hold_a_tile_of_similarities(spark, monkeypatch):
+    import resource
+
+    def used(n):
+        def run(batches):
+            for b in batches:
+                yield b
+            import pyarrow as pa
+
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0], pa.int32()), pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss]), pa.array([0.0])], ["source", "rank", "target", "similarity"])
+
+        df = spark.range(n).select("id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.sin(F.col("id") * (i + 1)).cast("float")).alias("v"))
+        near = V.neighbours(df, "id", "v", 5)
+        return max(r.target for r in near.mapInArrow(run, near.schema).filter("source = -1").collect()) / 1024
+
+    assert used(30_000) < used(1_000) + 150  # in MB; 512 x 30,000 similarities and their sorted copies were over 400
+
+
 def test_rows_of_one_key_are_ranked_together(spark):
     rows = [(1, 3.0, 2.0, 2.0, None), (1, 4.0, 2.0, 5.0, None), (2, 0.4, 0.1, None, 0.5), (3, None, None, None, None), (4, float("nan"), 9.0, 1.0, 2.0), (4, 9.5, None, None, 9.0)]
     df = spark.createDataFrame(rows, "id int, a_x double, a_y double, b_x double, c_x double")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from varistra.sources import shared
 
-#: A side under this many bytes of vectors is sent to all tasks at once, a larger one in parts of this size.
-BLOCK_BYTES = 64 << 20
+#: Vectors are stored in parts of about so many bytes, and a task asks for so many at once.
+BLOCK_BYTES = 8 << 20
+#: Similarities that a task works out at once.
+TILE = 2 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,38 +40,67 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int, digits: int = 6) ->
 
     Every row is a query against all rows, in blocks: the table is written to the shared folder in parts of about
     BLOCK_BYTES by a hash; a task takes queries of up to as many bytes, reads one part after another and keeps each
-    query's k best so far. Nothing goes through the driver, nothing is broadcast or shuffled after that."""
+    query's k best so far. What a task holds is a part, its queries and TILE similarities, however large the table. Nothing
+    goes through the driver, nothing is broadcast, and only the queries are dealt anew, once."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id is not null and v is not null")
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    n, width = n or 0, width or 1
-    parts = max(1, -(-n * width * 4 // BLOCK_BYTES))
-    _, path = shared.stored(rows.repartition(parts, F.xxhash64("id")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))), "vectors", "part")
+    n, width = n or 0, max(1, width or 1)
+    parts, scale = max(1, -(-n * width * 4 // BLOCK_BYTES)), 10.0**digits
+    table, path = shared.stored(rows.repartition(parts, F.xxhash64("id")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))), "vectors", "part")
     held = max(1, BLOCK_BYTES // (4 * width))
 
     def unit_rows(column) -> np.ndarray:
         x = column.combine_chunks() if hasattr(column, "combine_chunks") else column
         x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
-
-    def best_of(names: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((names, -sim), axis=1)[:, :k]
-        return np.take_along_axis(names, order, 1), np.take_along_axis(sim, order, 1)
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-10)[:, None]
+        return x
+
+    def merged(row, name, whole, most: int, best) -> None:
+        """The k best of each query into best: of what it holds and candidates (row, name, similarity as a whole number)."""
+        names, sims = best
+        own = np.unique(row)
+        held_n, held_s = names[own], sims[own]
+        row = np.concatenate([np.repeat(own, most), row])
+        name, whole = np.concatenate([held_n.reshape(-1), name]), np.concatenate([held_s.reshape(-1), whole])
+        order = np.lexsort((name, -whole, row))
+        row, name, whole = row[order], name[order], whole[order]
+        begin = np.searchsorted(row, own)
+        at = begin[:, None] + np.arange(most)  # a query holds ``most`` places at least
+        names[own], sims[own] = name[at], whole[at]
 
     def answer(own: np.ndarray, mine: np.ndarray):
-        names, best = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
+        names, sims = np.full((len(own), k), np.iinfo(np.int64).max), np.full((len(own), k), -np.inf)
         for i in range(parts):
-            table = shared.read_arrow(f"{path}/part={i}")
-            if table is None:
+            part = shared.read_arrow(f"{path}/part={i}")
+            if part is None:
                 continue
-            ids, matrix = table.column("id").to_numpy(), unit_rows(table.column("v"))
-            found = []
-            for at in range(0, len(own), 512):
-                sim = np.round(mine[at : at + 512] @ matrix.T, digits)
-                sim[own[at : at + 512, None] == ids[None, :]] = -np.inf
-                found.append(best_of(np.broadcast_to(ids, sim.shape), sim))
-            names, best = np.concatenate([names, np.concatenate([x[0] for x in found])], 1), np.concatenate([best, np.concatenate([x[1] for x in found])], 1)
-            names, best = best_of(names, best)
-        return names, best
+            part = part.sort_by("id")
+            ids, matrix = part.column("id").to_numpy(), unit_rows(part.column("v"))
+            step = max(1, TILE // len(ids))
+            for at in range(0, len(own), step):
+                here = slice(at, min(at + step, len(own)))
+                sim = mine[here] @ matrix.T
+                sim *= scale
+                sim[own[here, None] == ids[None, :]] = np.nan
+                row, column = np.nonzero(sim >= sims[here, -1:] - 0.5)
+                if len(row) > 8 * k * sim.shape[0] and len(ids) > k:  # too many to sort: a row's k best first, of equals the smaller ids
+                    np.rint(sim, out=sim)
+                    places = np.where(np.isfinite(sim), -sim, 3e9).astype(np.int64)
+                    places <<= 31
+                    places += np.arange(len(ids))
+                    places.partition(k - 1, axis=1)
+                    column = (places[:, :k] & ((1 << 31) - 1)).reshape(-1)
+                    row = np.repeat(np.arange(sim.shape[0]), k)
+                    whole = sim[row, column]
+                    keep = np.isfinite(whole)
+                    row, column, whole = row[keep], column[keep], whole[keep]
+                else:
+                    whole = np.rint(sim[row, column])
+                    keep = np.isfinite(whole)
+                    row, column, whole = row[keep], column[keep], whole[keep]
+                if len(row):
+                    merged(row + at, ids[column], whole, k, (names, sims))
+        return names, sims / scale
 
     def run(batches):
         import pyarrow as pa
@@ -93,7 +124,8 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int, digits: int = 6) ->
         if size:
             yield flush(own, mine)
 
-    return rows.mapInArrow(run, "source long, rank int, target long, similarity double")
+    asked = table.select("id", "v").repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism))
+    return asked.mapInArrow(run, "source long, rank int, target long, similarity double")
 
 
 def neighbour_arrays(edges: DataFrame, meta: DataFrame, key: str, fills: dict[str, object]) -> DataFrame:
