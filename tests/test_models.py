@@ -119,3 +119,24 @@ def test_a_group_too_large_is_an_error(spark):
     with pytest.raises(Exception, match="a group of 5 members"):
         clustering.hierarchy(df, "g", "id", "v", most=4).collect()
     assert clustering.hierarchy(df.limit(0), "g", "id", "v").count() == 0
+
+
+def test_merges_from_vectors_equal_those_from_distances():
+    import tracemalloc
+
+    from varistra.operators import clustering
+
+    rng = np.random.default_rng(8)
+    for n, width in ((1, 5), (2, 5), (3, 2), (60, 3), (300, 8), (300, 64)):
+        x = rng.normal(size=(n, width)) + rng.normal(size=width)
+        for method in ("average", "ward"):
+            want = clustering.chain_merges(clustering.cosine_distances(x), method)
+            got = clustering.vector_merges(x, method)
+            assert [m[:2] + m[3:] for m in got] == [m[:2] + m[3:] for m in want]
+            assert np.allclose([m[2] for m in got], [m[2] for m in want], atol=1e-9)
+    alike = np.concatenate([np.tile(x[:1], (50, 1)), np.zeros((5, width)), x[1:40]])
+    assert np.allclose([m[2] for m in clustering.vector_merges(alike, "average")], [m[2] for m in clustering.chain_merges(clustering.cosine_distances(alike), "average")], atol=1e-7)
+    tracemalloc.start()
+    clustering.vector_merges(rng.normal(size=(1600, 8)), "average")
+    assert tracemalloc.get_traced_memory()[1] < 4 * (clustering.BLOCK_BYTES + (1 << 20))  # distances' blocks, not a multiple of the matrix
+    tracemalloc.stop()
