@@ -307,6 +307,35 @@ def test_neighbours_hold_a_tile_of_similarities(spark, monkeypatch):
     assert used(30_000) < used(1_000) + 150  # in MB; 512 x 30,000 similarities and their sorted copies were over 400
 
 
+def test_ranks_within_groups_come_from_ranges(spark):
+    rows = [(i % 3 or None, [None, float("nan"), -0.0, 0.0, 1.5, 7.0, 7.0, float(i)][i % 8], i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, v double, i int")
+    df = df.withColumn("d", F.timestamp_seconds(F.coalesce(F.nanvl("v", F.lit(900.0)), F.lit(0.0)) * 5000))
+    for value in ("v", "d", "i"):
+        got = R.average_rank(df, value, ["g"], "r")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "rank(" not in plan
+        from pyspark.sql import Window
+
+        w = Window.partitionBy("g")
+        want = df.withColumn("r", F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy("g", value)) - 1) / 2)
+        pick = lambda x: {r.i: r.r for r in x.collect()}
+        assert pick(got) == pick(want)
+    ok = df.filter("not isnan(v)")
+    assert {r.g: r.median for r in R.medians(ok, "v", ["g"]).collect()} == {r.g: r.m for r in ok.groupBy("g").agg(F.median("v").alias("m")).collect()}
+
+
+def test_collapse_hashes_rows_of_whole_number_keys(spark):
+    base = spark.range(300).select((F.col("id") % 7).alias("g"), ((F.col("id") - 150) * 40_000_000_000_000_000).alias("k"))
+    for kind in ("long", "int", "string"):
+        df = base.withColumn("k", (F.col("k") / 40_000_000_000_000_000).cast("int") if kind == "int" else F.col("k").cast(kind))
+        many = df.crossJoin(spark.range(6).select(F.col("id").cast("int").alias("repeat")))
+        want = many.groupBy("repeat", "g").agg(F.min_by("k", F.struct(resample.draw(5, F.col("repeat"), resample.number(df, "k")), "k")).alias("k"))
+        got = resample.collapse(df, "g", "k", 6, 5)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert ("SortAggregate" in got._jdf.queryExecution().executedPlan().toString()) == (kind == "string")
+
+
 def test_rows_of_one_key_are_ranked_together(spark):
     rows = [(1, 3.0, 2.0, 2.0, None), (1, 4.0, 2.0, 5.0, None), (2, 0.4, 0.1, None, 0.5), (3, None, None, None, None), (4, float("nan"), 9.0, 1.0, 2.0), (4, 9.5, None, None, 9.0)]
     df = spark.createDataFrame(rows, "id int, a_x double, a_y double, b_x double, c_x double")
