@@ -50,7 +50,14 @@ def matched_controls(sources: DataFrame, candidates: DataFrame, bucket: list[str
 def collapse(df: DataFrame, group: str, key: str, repeats: int, seed: int) -> DataFrame:
     """(repeat, group, key): one row of each group in each repeat."""
     many = df.select(group, key, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    return many.groupBy("repeat", group).agg(F.min_by(key, F.struct(draw(seed, F.col("repeat"), number(df, key)), key)).alias(key))
+    drawn, kind = draw(seed, F.col("repeat"), number(df, key)), dict(df.dtypes)[key]
+    if kind in ("tinyint", "smallint", "int"):  # one number for draw and key, so that rows are hashed, not sorted
+        place = F.shiftleft(drawn, 32) + F.col(key) + (1 << 31)
+    elif kind == "bigint":
+        place = drawn.cast("decimal(10,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)") + F.col(key).cast("decimal(20,0)")
+    else:
+        place = F.struct(drawn, key)
+    return many.groupBy("repeat", group).agg(F.min_by(key, place).alias(key))
 
 
 def disjoint_split(df: DataFrame, group: str, share: float, seed: int) -> DataFrame:
