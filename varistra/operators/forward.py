@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from varistra.functions import exact
 from varistra.operators import resample, stats
-from varistra.operators.relational import benjamini_hochberg, group_pairs
+from varistra.operators.relational import benjamini_hochberg, group_pairs, medians
 from varistra.sources import shared
 
 TRIES = 20
@@ -31,14 +31,24 @@ def with_controls(pairs: DataFrame, universe: DataFrame, member: str, seed: int)
     A novel pair all of whose draws fail has none. A control drawn for two novel pairs stands twice."""
     places, _ = shared.stored(resample.dense_places(universe.select(F.col(member).alias("other")).distinct(), "other"), "places")
     n = places.count()
-    novel = pairs.filter("kind = 'novel'").select("a", "b")
-    draws = F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda t: resample.draw(seed, F.col("a"), F.col("b"), t) % max(1, n))
-    tried = novel.select("a", "b", F.posexplode(draws).alias("nth", "place")).join(places, "place").filter("other <> a")
-    tried = tried.select("a", "b", "nth", F.least("a", "other").alias("ca"), F.greatest("a", "other").alias("cb"))
     taken = pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb"))
-    free = tried.join(taken, ["ca", "cb"], "left_anti")
-    control = free.groupBy("a", "b").agg(F.min_by(F.struct("ca", "cb"), "nth").alias("c"))
-    return pairs.select("a", "b", "kind").union(control.select("c.ca", "c.cb", F.lit("random")))
+    draw = lambda t: resample.draw(seed, F.col("a"), F.col("b"), t) % max(1, n)
+
+    def named(tried: DataFrame) -> DataFrame:
+        tried = tried.join(places, "place").filter("other <> a")
+        return tried.select("a", "b", "nth", F.least("a", "other").alias("ca"), F.greatest("a", "other").alias("cb"))
+
+    # the first draw is good for nearly all, so only the others draw on
+    novel = pairs.filter("kind = 'novel'").select("a", "b")
+    first = named(novel.select("a", "b", F.lit(0).alias("nth"), draw(F.lit(0)).alias("place"))).join(taken, ["ca", "cb"], "left_anti")
+    first, _ = shared.stored(first, "controls")
+    rest = novel.join(first, ["a", "b"], "left_anti")
+    tried = rest.select("a", "b", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(TRIES - 1)), draw)).alias("at", "place"))
+    free = named(tried.select("a", "b", (F.col("at") + 1).alias("nth"), "place")).join(taken, ["ca", "cb"], "left_anti")
+    nth = free.groupBy("a", "b").agg(F.min("nth").alias("nth"))
+    later = named(nth.withColumn("place", draw(F.col("nth"))))
+    control = first.select("ca", "cb").union(later.select("ca", "cb"))
+    return pairs.select("a", "b", "kind").union(control.select("ca", "cb", F.lit("random")))
 
 
 def neighbour_hits(pairs: DataFrame, edges: DataFrame, ks: list[int], seed: int, replicates: int = 200) -> DataFrame:
@@ -79,14 +89,16 @@ def compare_kinds(scored: DataFrame) -> DataFrame:
     columns = []
     for kind in ("novel", "old", "random"):
         value = F.when(F.col("kind") == kind, F.col("score"))
-        columns += [F.count(value).alias(f"{kind}_n"), F.avg(value).alias(f"{kind}_mean"), F.median(value).alias(f"{kind}_median"), F.var_samp(value).alias(f"{kind}_var")]
+        columns += [F.count(value).alias(f"{kind}_n"), F.avg(value).alias(f"{kind}_mean"), F.var_samp(value).alias(f"{kind}_var")]
     about = scored.agg(*columns)
+    middle = medians(scored, "score", ["kind"]).agg(*[F.max(F.when(F.col("kind") == kind, F.col("median"))).alias(f"{kind}_median") for kind in ("novel", "old", "random")])
     two = scored.filter("kind in ('novel', 'random')")
     ranks = stats.mann_whitney(two, "score", F.col("kind") == "novel").select("u", "rank_biserial", "p")
     n1, n2 = F.col("novel_n"), F.col("random_n")
     pooled = F.sqrt(((n1 - 1) * F.col("novel_var") + (n2 - 1) * F.col("random_var")) / (n1 + n2 - 2))
     d = stats.safe_ratio(F.col("novel_mean") - F.col("random_mean"), pooled)
-    return about.join(F.broadcast(ranks), F.lit(True)).withColumn("cohens_d", d).drop("novel_var", "old_var", "random_var")  # a row each
+    found = about.join(F.broadcast(middle), F.lit(True)).join(F.broadcast(ranks), F.lit(True)).withColumn("cohens_d", d)  # a row each
+    return found.select(*[f"{kind}_{c}" for kind in ("novel", "old", "random") for c in ("n", "mean", "median")], "u", "rank_biserial", "p", "cohens_d")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -63,9 +63,12 @@ def enrichment(df: DataFrame, group: str, value: str, least: int = 3) -> DataFra
 
 def mann_whitney(df: DataFrame, value: str, in_first: Column) -> DataFrame:
     """One row: n1, n2, U of the first sample, rank-biserial 1 - 2U/(n1 n2), two-sided p by the normal law with ties."""
-    ranked = average_rank(df.filter(F.col(value).isNotNull()).withColumn("mw_first", in_first), value, [], "mw_rank").withColumn("mw_ties", F.count(F.lit(1)).over(Window.partitionBy(value)))
-    t = F.col("mw_ties").cast("double")
-    s = ranked.agg(F.count_if("mw_first").alias("n1"), F.count_if(~F.col("mw_first")).alias("n2"), F.sum(F.when(F.col("mw_first"), F.col("mw_rank"))).alias("r1"), F.sum(t * t - 1).alias("ties"))
+    known = df.filter(F.col(value).isNotNull()).withColumn("mw_first", in_first)
+    ranked = average_rank(known, value, [], "mw_rank")
+    t = F.col("t").cast("double")
+    ties = known.groupBy(value).agg(F.count(F.lit(1)).alias("t")).agg(F.sum(t * (t * t - 1)).alias("ties"))
+    s = ranked.agg(F.count_if("mw_first").alias("n1"), F.count_if(~F.col("mw_first")).alias("n2"), F.sum(F.when(F.col("mw_first"), F.col("mw_rank"))).alias("r1"))
+    s = s.join(F.broadcast(ties), F.lit(True))  # a row each
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     s = s.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
     n = n1 + n2
