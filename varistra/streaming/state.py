@@ -71,7 +71,7 @@ def timed_stream_states(events: DataFrame, key: str, state: str, ts: str, tie: s
         now, n, since, waiting = held.get if held.exists else ("not_started", 0, 0, "[]")
         waiting, out, limit = json.loads(waiting), [], held.getCurrentWatermarkMs() - 1
         for frame in frames:
-            waiting += [[int(a) // 1000, int(a), int(b), c] for a, b, c in zip(frame["at"], frame["tie"], frame["asked"])]
+            waiting += [[int(a) // 1000, int(a), int(b), c] for a, b, c in zip(*(frame[c].tolist() for c in ("at", "tie", "asked")))]
 
         def move(to, at):
             nonlocal now, n, since
@@ -92,7 +92,8 @@ def timed_stream_states(events: DataFrame, key: str, state: str, ts: str, tie: s
         wake = [w[0] for w in waiting] + [since + stale_ms] * (now == "processing")
         if wake:
             held.setTimeoutTimestamp(min(wake) + 1)  # fires once the watermark is past it
-        yield pd.DataFrame(out, columns=[key, "state", "moves", "at"])
+        if out:
+            yield pd.DataFrame(dict(zip((key, "state", "moves", "at"), zip(*out))))
 
     kind = dict(events.dtypes)[key]
     asked = events.filter(F.col(ts).isNotNull()).withWatermark(ts, late)
