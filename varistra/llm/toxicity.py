@@ -28,6 +28,7 @@ error, any other stays. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import io
 import pickle
 import re
 import struct
@@ -44,9 +45,9 @@ MIN_DF = 3
 K = 15
 BLOCK = 256
 COMMON = 8
-FIRST = 3
+FIRST = 2
 #: Texts that are asked together, block by block.
-CHUNK = 128
+CHUNK = 256
 POWER = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 STARTS = (5, 6, 7)
@@ -414,7 +415,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> str:
 def load(uri: str) -> Model:
     where, path = common.store(uri)
     with where.open_input_file(path) as f:
-        return pickle.loads(f.read())
+        return pickle.load(io.BufferedReader(f, 1 << 20))  # the file is never held beside the model
 
 
 def score(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, column: str = "toxicity") -> DataFrame:
