@@ -5,6 +5,8 @@ import hashlib
 import math
 import os
 import random
+import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -379,6 +381,39 @@ def test_block_max_search_is_exact(block, monkeypatch):
         assert e.ids[names[0]] == i
 
 
+def test_search_and_index_hold_little():
+    """Many texts asked at once take no more memory than a slice of postings, and an index is built block by block."""
+    rng = np.random.default_rng(8)
+    width, rows = 6000, []
+    for i in range(1000):
+        at = np.append(np.sort(rng.choice(width - 1, 400, replace=False)), width - 1).astype(np.int32)
+        w = (rng.random(401) + 0.01).astype(np.float32)
+        rows.append((at, w / np.sqrt(w @ w)))
+    tracemalloc.start()
+    try:
+        index = toxicity.BlockIndex(rows, width)
+        held, most = tracemalloc.get_traced_memory()
+        assert most - held < 3 * held
+        queries = [toxicity.Query(index, *r) for r in rows[:512]]
+        tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        near = index.near(0, queries)
+        assert tracemalloc.get_traced_memory()[1] - held < 30e6
+    finally:
+        tracemalloc.stop()
+    names = index.names[index.edges[0] : index.edges[1]]
+    dense = np.zeros((1000, width))
+    for i, (at, w) in enumerate(rows):
+        dense[i, at] = w
+    assert np.allclose(near, dense[:512] @ dense[names].T, atol=1e-6)
+
+
+def test_words_are_runs_of_letters():
+    odd = ["", "Ab1c_d", "Straße İstanbul ΑΣ ς", "x²y Ⅷ ½ 五 ٣ a\u0301b", "co-op\u00a0it's\x00e\u2003f", "日本語 テスト", "\U0001d400b🙂c"]
+    for text in [*odd, *(r[1] for r in ODD), "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))]:
+        assert toxicity.words_of(text) == re.findall(r"[^\W\d_]+", (text or "").lower())
+
+
 def test_votes_are_weighted_by_distance():
     rows = [(1, 1, 1.0, (0, 2), np.array([0.8, 0.6])), (2, 0, 1.0, (1, 2), np.array([0.8, 0.6])), (3, 0, 0.5, (2,), np.array([1.0]))]
     e = toxicity.Examples(rows, 3)

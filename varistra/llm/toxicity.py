@@ -48,10 +48,10 @@ COMMON = 8
 FIRST = 2
 #: Texts that are asked together, block by block.
 CHUNK = 256
+#: Postings that are summed at once, so that what they need stays in cache.
+SLICE = 1 << 15
 POWER = 4
-LETTERS = re.compile(r"[^\W\d_]+")
 STARTS = (5, 6, 7)
-WIDTH = 1 + len(STARTS)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,8 +63,19 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in STARTS if len(word) > n)]
 
 
+class Letters(dict):
+    """For str.translate: letters stay, anything else becomes a space."""
+
+    def __missing__(self, code: int) -> int:
+        out = self[code] = code if re.match(r"[^\W\d_]", chr(code)) else 32
+        return out
+
+
+LETTERS = Letters()
+
+
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
+    return (text or "").lower().translate(LETTERS).split()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
@@ -110,7 +121,7 @@ def select_features(sample: DataFrame, min_df: int = MIN_DF) -> list[tuple[str,
 
 
 class WordPlaces(dict):
-    """The places of a word's features as bytes of 32-bit integers, -1 where it has none; worked out once.
+    """The places of a word's features as bytes of 32-bit integers, none where it has none; worked out once.
 
     A row with a word has its beginnings too, so where one is in too few rows neither longer ones nor the word are features."""
 
@@ -121,21 +132,22 @@ class WordPlaces(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > self.most:
             self.clear()
-        get, length, found, known = self.places.get, len(word), [-1] * WIDTH, True
-        for i, n in enumerate(STARTS, 1):
-            if length <= n:
+        get, length, found = self.places.get, len(word), b""
+        for n in STARTS:
+            at = get(word[:n] + "-") if length > n else get(word)
+            if at is None:
                 break
-            found[i] = at = get(word[:n] + "-", -1)
-            if at < 0:
-                known = False
+            found += PLACE(at)
+            if length <= n:
                 break
-        if known:
-            found[0] = get(word, -1)
-        out = self[word] = PLACES(*found)
-        return out
+        else:
+            at = get(word)
+            found += PLACE(at) if at is not None else b""
+        self[word] = found
+        return found
 
 
-PLACES = struct.Struct(f"{WIDTH}i").pack
+PLACE = struct.Struct("i").pack
 
 
 class Vectors:
@@ -148,15 +160,9 @@ class Vectors:
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(places, times) of a text's features, places ascending."""
-        tf = Counter(words_of(text))
-        at = np.frombuffer(b"".join(map(self.places.__getitem__, tf)), np.int32)
-        times = np.repeat(np.fromiter(tf.values(), np.int32, len(tf)), WIDTH)
-        known = at >= 0
-        at, times = at[known], times[known]
-        order = np.argsort(at, kind="stable")
-        at, times = at[order], times[order]
+        at = np.sort(np.frombuffer(b"".join(map(self.places.__getitem__, words_of(text))), np.int32))
         first = np.flatnonzero(np.diff(at, prepend=-1))
-        return at[first], np.add.reduceat(times, first) if len(first) else times
+        return at[first], np.diff(first, append=len(at))
 
     def of(self, at: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, weights), places ascending."""
@@ -194,16 +200,16 @@ class BlockIndex:
     """Sparse rows as a block-max inverted index."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int, most: int = BLOCK):
-        n = np.array([len(at) for at, _ in rows], np.int64)
-        columns = np.concatenate([at for at, _ in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
-        values = np.concatenate([w for _, w in rows]).astype(np.float32) if rows else np.zeros(0, np.float32)
-        row = np.repeat(np.arange(len(rows)), n)
-        often = np.flatnonzero(np.bincount(columns, minlength=width) * COMMON >= max(1, len(rows)))
+        df = np.zeros(width, np.int64)
+        for at, _ in rows:
+            df[np.asarray(at)] += 1
+        often = np.flatnonzero(df * COMMON >= max(1, len(rows)))
         self.place = np.full(width, -1, np.int32)
         self.place[often] = np.arange(len(often))
-        at = self.place[columns]
         wide = np.zeros((len(rows), len(often)), np.float32)
-        wide[row[at >= 0], at[at >= 0]] = values[at >= 0]
+        for row, (at, weight) in zip(wide, rows):
+            place = self.place[np.asarray(at)]
+            row[place[place >= 0]] = np.asarray(weight)[place >= 0]
         groups = alike(wide, most) if rows else []
         #: Rows in the order of their blocks, where each block's begin, and each block's matrix of common features.
         self.names = np.concatenate(groups) if groups else np.zeros(0, np.int64)
@@ -211,15 +217,19 @@ class BlockIndex:
         self.wide = [np.ascontiguousarray(wide[g].T, np.float64) for g in groups]
         #: Largest weights by feature and block; postings by block and feature (place of the row, weight), and where those of each begin.
         self.most = np.zeros((width, len(groups)), np.float32)
-        of_row, place = np.repeat(np.arange(len(groups)), np.diff(self.edges)), np.zeros(len(rows), np.int64)
-        place[self.names] = np.arange(len(rows))
-        block = of_row[place[row]]
-        np.maximum.at(self.most, (columns, block), values)
-        rest = np.flatnonzero(at < 0)
-        key = block[rest] * (width + 1) + columns[rest]
-        rest, key = rest[np.argsort(key, kind="stable")], np.sort(key)
-        self.begin = np.searchsorted(key, np.arange(len(groups) * (width + 1))).astype(np.int32).reshape(len(groups), width + 1)
-        self.postings = place[row[rest]] << 32 | values[rest].view(np.uint32)
+        self.begin = np.zeros((len(groups), width + 1), np.int32)
+        postings, held = [np.zeros(0, np.int64)], 0
+        for b, group in enumerate(groups):  # one at a time, so that only its postings are held in several forms
+            columns = np.concatenate([rows[i][0] for i in group]).astype(np.int32)
+            values = np.concatenate([rows[i][1] for i in group]).astype(np.float32)
+            place = np.repeat(np.arange(len(group)), [len(rows[i][0]) for i in group]) + self.edges[b]
+            np.maximum.at(self.most[:, b], columns, values)
+            rest = np.flatnonzero(self.place[columns] < 0)
+            rest = rest[np.argsort(columns[rest], kind="stable")]
+            self.begin[b] = held + np.searchsorted(columns[rest], np.arange(width + 1, dtype=np.int32))
+            postings.append(place[rest] << 32 | values[rest].view(np.uint32))
+            held += len(rest)
+        self.postings = np.concatenate(postings)
 
     def bounds(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """The largest product that a row of each block could have with a query."""
@@ -228,18 +238,34 @@ class BlockIndex:
     def near(self, block: int, queries: list["Query"]) -> np.ndarray:
         """Products of a block's rows (columns) with some queries (rows), in double precision; one block's postings stay in cache."""
         lo, hi = int(self.edges[block]), int(self.edges[block + 1])
+        rows, begin = hi - lo, self.begin[block]
         at, weight = np.concatenate([q.rare_at for q in queries]), np.concatenate([q.rare for q in queries])
-        first = self.begin[block, at]
-        n = self.begin[block, at + 1] - first
+        first = begin[at]
+        n = begin[at + 1] - first
         here = np.flatnonzero(n)
-        base = np.repeat(np.arange(len(queries)) * (hi - lo) - lo, [len(q.rare_at) for q in queries])[here]
+        of = np.repeat(np.arange(len(queries)), [len(q.rare_at) for q in queries])[here]
         first, n, weight = first[here], n[here], weight[here]
-        found = np.repeat(first - np.cumsum(n, dtype=np.int32) + n, n)
-        found += np.arange(len(found), dtype=np.int32)
-        held = self.postings[found]
-        value = held.astype(np.uint32).view(np.float32) * np.repeat(weight, n)
-        out = np.bincount((held >> 32) + np.repeat(base, n), value, len(queries) * (hi - lo)).reshape(len(queries), hi - lo)
-        return out + np.stack([q.often for q in queries]) @ self.wide[block]
+        ends = np.cumsum(n, dtype=np.int64)
+        # the query's base above, what leads from a posting's number to its place in the index below
+        lead = (of * rows - lo << 32) + (first - ends + n)
+        runs = np.searchsorted(of, np.arange(len(queries) + 1))
+        before = np.concatenate([[0], ends])[runs]
+        out = np.stack([q.often for q in queries]) @ self.wide[block]
+        flat, i = out.reshape(-1), 0
+        while i < len(queries):
+            j = max(i + 1, int(np.searchsorted(before, before[i] + SLICE, "right")) - 1)
+            own = n[runs[i] : runs[j]]
+            to = np.repeat(lead[runs[i] : runs[j]], own)
+            to += np.arange(before[i], before[j])
+            held = self.postings.take(to & 0xFFFFFFFF)
+            value = np.repeat(weight[runs[i] : runs[j]], own)
+            value *= held.astype(np.uint32).view(np.float32)
+            to += held  # weights are positive, so the lower halves never carry
+            to >>= 32
+            to -= i * rows
+            flat[i * rows : j * rows] += np.bincount(to, value, (j - i) * rows)
+            i = j
+        return out
 
 
 class Query:
@@ -401,6 +427,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> str:
         for batch in batches:
             for doc_id, toxic, share, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 rows.append((doc_id, toxic, share, *(x.astype(np.int32).tobytes() for x in counts(text))))
+        del counts  # with the words that it has kept
         model = Model(sent.value, sorted(rows))
         common.put_file(out, lambda f: pickle.dump(model, f, 5))
         yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
@@ -424,11 +451,14 @@ def score(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, column
         raise ValueError(f"docs has a column {column} already")
     model = fit(docs, labels, per_label)
 
-    @F.pandas_udf("struct<score: double, evidence: array<bigint>, cosines: array<double>>")
+    @F.arrow_udf("struct<score: double, evidence: array<bigint>, cosines: array<double>>")
     def judge(texts):
-        import pandas as pd
+        import pyarrow as pa
 
-        found = common.worker_cache("toxicity", model, lambda: load(model)).scores(list(texts))
-        return pd.DataFrame({"score": [x[0] for x in found], "evidence": [x[1] for x in found], "cosines": [x[2] for x in found]})
+        held, found = common.worker_cache("toxicity", model, lambda: load(model)), []
+        for at in range(0, len(texts), CHUNK):  # only so many texts are Python's at once
+            found += held.scores(texts.slice(at, CHUNK).to_pylist())
+        columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())))]
+        return pa.StructArray.from_arrays(columns, ["score", "evidence", "cosines"])
 
     return docs.withColumn(column, judge(F.col("text").cast("string")))
