@@ -44,7 +44,7 @@ PER_LABEL = 4000
 MIN_DF = 3
 K = 15
 BLOCK = 256
-COMMON = 8
+COMMON = 16
 FIRST = 2
 #: Texts that are asked together, block by block.
 CHUNK = 256
@@ -109,11 +109,11 @@ def select_features(sample: DataFrame, min_df: int = MIN_DF) -> list[tuple[str,
         yield pa.RecordBatch.from_arrays([pa.array(["", *columns[0]], pa.string()), pa.array([seen[0], *columns[1]], pa.int64()), pa.array([seen[1], *columns[2]], pa.int64())], ["f", "n0", "n1"])
 
     counted = sample.select("toxic", "text").mapInArrow(run, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").cast("double").alias("a"), F.sum("n1").cast("double").alias("b"))
-    total = counted.filter("f = ''").first()
-    if total is None or not total.a or not total.b:
+    found = counted.filter((F.col("f") == "") | (F.col("a") + F.col("b") >= min_df)).orderBy("f").toPandas()  # at most the words of PER_LABEL rows a label
+    total, found = found[found["f"] == ""], found[found["f"] != ""]
+    if not len(total) or not total["a"].iloc[0] or not total["b"].iloc[0]:
         return []
-    found = counted.filter("f <> ''").filter(F.col("a") + F.col("b") >= min_df).orderBy("f").toPandas()  # at most the words of PER_LABEL rows a label
-    a, b, n0, n1 = found["a"].to_numpy(), found["b"].to_numpy(), total.a, total.b
+    a, b, n0, n1 = found["a"].to_numpy(), found["b"].to_numpy(), total["a"].iloc[0], total["b"].iloc[0]
     margins = (a + b) * (n0 + n1 - a - b) * n0 * n1
     chi = np.where(margins > 0, (n0 + n1) * (a * (n1 - b) - b * (n0 - a)) ** 2 / np.maximum(margins, 1), 0.0)
     ratio = np.abs(np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1)))
@@ -214,7 +214,7 @@ class BlockIndex:
         #: Rows in the order of their blocks, where each block's begin, and each block's matrix of common features.
         self.names = np.concatenate(groups) if groups else np.zeros(0, np.int64)
         self.edges = np.concatenate([[0], np.cumsum([len(g) for g in groups])]).astype(np.int64)
-        self.wide = [np.ascontiguousarray(wide[g].T, np.float64) for g in groups]
+        self.wide = [np.ascontiguousarray(wide[g].T) for g in groups]
         #: Largest weights by feature and block; postings by block and feature (place of the row, weight), and where those of each begin.
         self.most = np.zeros((width, len(groups)), np.float32)
         self.begin = np.zeros((len(groups), width + 1), np.int32)
@@ -250,7 +250,7 @@ class BlockIndex:
         lead = (of * rows - lo << 32) + (first - ends + n)
         runs = np.searchsorted(of, np.arange(len(queries) + 1))
         before = np.concatenate([[0], ends])[runs]
-        out = np.stack([q.often for q in queries]) @ self.wide[block]
+        out = np.stack([q.often for q in queries]) @ self.wide[block].astype(np.float64)
         flat, i = out.reshape(-1), 0
         while i < len(queries):
             j = max(i + 1, int(np.searchsorted(before, before[i] + SLICE, "right")) - 1)
