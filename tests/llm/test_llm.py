@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,50 @@ def test_tokens_round_trip(spark, odd, empty, tmp_path):
     assert token_output.read_tokens(spark, token_output.write_tokens(empty, f"file://{tmp_path}/e", path)).count() == 0
 
 
+def test_token_tasks_hold_small_batches_and_give_back(spark, tmp_path):
+    """Of 12 MB of texts a task gets 4 MB at a time, and tasks that count or write ids keep no encoder."""
+    import public_tokenizers
+
+    path, sizes, limit = public_tokenizers.path("byte_bpe_50k.json"), f"{tmp_path}/sizes", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def seen(batches):
+        for batch in batches:
+            with open(sizes, "a") as f:
+                print(batch.nbytes, file=f)
+            yield batch
+
+    docs = spark.range(48).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 40000) as text").coalesce(1).mapInArrow(seen, "doc_id long, text string")
+    out = token_output.write_tokens(docs, f"file://{tmp_path}/t", path)
+    with open(sizes) as f:
+        assert max(map(int, f)) < 5 << 20
+    assert spark.conf.get(limit, None) is None and token_output.read_tokens(spark, out).count() == 48
+    spark.conf.set(limit, "1m")  # a session's own limit stays
+    try:
+        with common.small_batches(spark):
+            assert spark.conf.get(limit) == "1m"
+        assert spark.conf.get(limit) == "1m"
+    finally:
+        spark.conf.unset(limit)
+
+    class Tokens:
+        def filter(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            common.worker_cache("tokens", path, dict)
+            self.counted = [x for b in run([pa.RecordBatch.from_arrays([pa.array([np.array([0, 2, 5]).tobytes()])], ["counts"])]) for x in b.to_pylist()]
+            return self
+
+        select = groupBy = agg = filter
+
+        def collect(self):
+            return []
+
+    tokens = Tokens()
+    token_output.id_counts(tokens)
+    assert tokens.counted == [{"id": 1, "n": 2}, {"id": 2, "n": 5}] and not common._WORKER
+
+
 def test_cached_encoder_equals_library():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Parts into which the rows of one key are split before their aggregate is joined back.
 SALTS = 64
+#: Bytes of rows that a task and its Python worker hand each other at a time, where an operator runs within small_batches.
+BATCH_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -87,6 +90,28 @@ def worker_cache(owner: str, key, make):
     return _WORKER["held"]
 
 
+def forget() -> None:
+    """Give back what this Python worker keeps; for tasks that don't need what the operator's earlier tasks kept."""
+    import pyarrow as pa
+
+    _WORKER.clear()
+    pa.default_memory_pool().release_unused()
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs started within pass Arrow batches of BATCH_BYTES, or of one longer row, instead of Spark's 64 MB; a limit that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def by_bytes(batch, column: int, most: int):
     """An Arrow batch in slices of about most bytes in a column of texts or bytes; a longer row is a slice of its own."""
     import numpy as np

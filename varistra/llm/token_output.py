@@ -34,11 +34,11 @@ MAGIC = b"VTK1"
 HEAD = struct.Struct("<4sIQQ")
 BLOCK_IDS = 1 << 20
 #: Memory that a worker's known words take, in two generations of half of it: a full one replaces the older.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 64 << 20
 #: What a known word takes besides its own bytes.
 ENTRY_BYTES = 220
 #: Bytes of text that are encoded at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: White space of the pattern that str.isspace() doesn't count.
 ODD_SPACE = "\u180e\u200b\ufeff"
 #: The ASCII characters that count as white space, by code.
@@ -202,7 +202,7 @@ class CachedEncoder:
 
 
 def encoder(tokenizer_path: str) -> CachedEncoder:
-    """The worker's own encoder; it outlives the task, until another operator runs in that worker."""
+    """The worker's own encoder; it outlives the task, until the ids are counted or another operator runs in that worker."""
     return common.worker_cache("tokens", tokenizer_path, lambda: CachedEncoder(tokenizer_path))
 
 
@@ -291,6 +291,7 @@ def id_counts(tokens: DataFrame) -> list[tuple[int, int]]:
     def run(batches):
         import pyarrow as pa
 
+        common.forget()  # all is encoded: what sorts and writes the ids has the memory
         total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0):
@@ -305,6 +306,11 @@ def id_counts(tokens: DataFrame) -> list[tuple[int, int]]:
 
 def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0) -> str:
     """Write the token shards of documents(doc_id, text) to the folder out, a URI that the executors share; returns out."""
+    with common.small_batches(docs.sparkSession):
+        return _write(docs, out, tokenizer_path, end_id)
+
+
+def _write(docs: DataFrame, out: str, tokenizer_path: str, end_id: int) -> str:
     spark = docs.sparkSession
     width = encoder(tokenizer_path).dtype.itemsize
     tokens = common.materialise(tokenize(docs, tokenizer_path, end_id), "tokens")
@@ -318,6 +324,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0
     def run(batches):
         import pyarrow as pa
 
+        common.forget()
         ranks, name = sent.value, f"{out}/shard-{TaskContext.get().partitionId():06d}.vtk"
         totals = [0, 0]
 
