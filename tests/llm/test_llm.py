@@ -385,6 +385,27 @@ def test_lines_equal_brute_force(spark, odd, empty):
 # ---------------------------------------------------------------- 8
 
 
+def test_toxicity_workers_map_the_model(spark, monkeypatch):
+    """A worker holds no copy of the index that others have too; a store that can't be mapped gives the same scores."""
+    from pyarrow import fs
+
+    rng = np.random.default_rng(8)
+    rows = [(i, prose(rng, 40, 300) + (" awfulbad" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    uri = toxicity.fit(docs, docs.select("doc_id", F.lit(1).alias("quality"), "toxic"))
+    model = toxicity.load(uri)
+    index = model.examples.index
+    with open("/proc/self/maps") as f:
+        assert common.store(uri)[1] + ".arrays" in f.read()
+    for held in (index.most, index.begin, *index.wide):
+        assert held.nbytes and not held.flags.owndata and not held.flags.writeable
+    texts = [r[1] for r in rows] + [None, "", "awfulbad"]
+    scores = model.scores(texts)
+    assert scores[-1][0] > 0.5 > scores[1][0]
+    monkeypatch.setattr(common, "store", lambda uri: (fs.SubTreeFileSystem("/", fs.LocalFileSystem()), uri.removeprefix("file:").lstrip("/")))
+    assert toxicity.load(uri).scores(texts) == scores
+
+
 def test_toxicity_held_out(spark, odd, empty):
     rng = np.random.default_rng(6)
     rows = []

@@ -13,7 +13,8 @@ could hold (the sum over its features of weight times block maximum), then those
 Within a visited block features of at least 1/``COMMON`` of all examples are products with a matrix, all others come
 from postings. Cosines are exact, in double precision; ties at the k-th are all taken. Texts are asked ``CHUNK`` at a
 time, block by block. Votes count by a power of the cosine and by how many labelled rows each
-kept one stands for. The share of toxic votes is mapped to a probability by isotonic regression on the labelled rows,
+kept one stands for. The arrays of the index lie in a file as they do in memory, and scoring processes map them instead
+of holding a copy each. The share of toxic votes is mapped to a probability by isotonic regression on the labelled rows,
 each left out of its own vote. Evidence: the nearest examples' doc_ids and cosines.
 
 The labelled sample is bounded: at most ``PER_LABEL`` rows of each label, those with the smallest hash of doc_id;
@@ -48,6 +49,8 @@ COMMON = 16
 FIRST = 2
 #: Texts that are asked together, block by block.
 CHUNK = 256
+#: Bytes at whose multiples the arrays of a written model begin.
+ALIGN = 64
 #: Postings that are summed at once, so that what they need stays in cache.
 SLICE = 1 << 15
 POWER = 4
@@ -98,6 +101,7 @@ def select_features(sample: DataFrame, min_df: int = MIN_DF) -> list[tuple[str,
     def run(batches):
         import pyarrow as pa
 
+        common.forget()
         df = (Counter(), Counter())
         seen = [0, 0]
         for batch in batches:
@@ -423,26 +427,49 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> str:
     def run(batches):
         import pyarrow as pa
 
+        common.forget()
         counts, rows = Vectors(sent.value, 1).counts, []
         for batch in batches:
             for doc_id, toxic, share, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 rows.append((doc_id, toxic, share, *(x.astype(np.int32).tobytes() for x in counts(text))))
         del counts  # with the words that it has kept
-        model = Model(sent.value, sorted(rows))
-        common.put_file(out, lambda f: pickle.dump(model, f, 5))
+        save(Model(sent.value, sorted(rows)), out)
         yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
 
     if not sample.select("doc_id", "toxic", "share", "text").repartition(1).mapInArrow(run, "n long").collect():
-        common.put_file(out, lambda f: pickle.dump(Model([], []), f, 5))
+        save(Model([], []), out)
     sent.destroy()
     common.remove(spark, sample.scratch_path)
     return out
 
 
+def save(model: Model, uri: str) -> None:
+    """Write the model's arrays as they are in memory to uri.arrays, and the rest, with where each of them lies, to uri."""
+    arrays: list[pickle.PickleBuffer] = []
+    rest = pickle.dumps(model, 5, buffer_callback=arrays.append)
+    sizes = [x.raw().nbytes for x in arrays]
+    starts = np.cumsum([0, *(-(-n // ALIGN) * ALIGN for n in sizes)]).tolist()
+
+    def write(f):
+        for x, n, start, end in zip(arrays, sizes, starts, starts[1:]):
+            f.write(x.raw())
+            f.write(bytes(end - start - n))
+
+    common.put_file(uri + ".arrays", write)
+    common.put_file(uri, lambda f: pickle.dump((rest, list(zip(starts, sizes))), f, 5))
+
+
 def load(uri: str) -> Model:
+    """The model; of a mounted store its arrays are mapped, so an executor's workers, however many, share one copy that the system may drop."""
+    import pyarrow as pa
+    from pyarrow import fs
+
     where, path = common.store(uri)
     with where.open_input_file(path) as f:
-        return pickle.load(io.BufferedReader(f, 1 << 20))  # the file is never held beside the model
+        rest, places = pickle.load(io.BufferedReader(f, 1 << 20))
+    with pa.memory_map(path + ".arrays") if isinstance(where, fs.LocalFileSystem) else where.open_input_file(path + ".arrays") as f:
+        held = memoryview(f.read_buffer())
+    return pickle.loads(rest, buffers=[held[start : start + n] for start, n in places])
 
 
 def score(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, column: str = "toxicity") -> DataFrame:
