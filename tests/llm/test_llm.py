@@ -62,6 +62,21 @@ def test_tokens_round_trip(spark, odd, empty, tmp_path):
     assert token_output.read_tokens(spark, token_output.write_tokens(empty, f"file://{tmp_path}/e", path)).count() == 0
 
 
+def test_workers_hand_freed_memory_back():
+    """What an operator has freed doesn't stay with a worker that the next one uses, or that waits."""
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nAnonymous:\s+(\d+)", f.read())[1]) / 1024
+
+    start = held()
+    common.worker_cache("first", 0, lambda: [bytes([i % 256]) * 4000 for i in range(40_000)])
+    full, last = held(), [bytes(4000) for _ in range(100)]  # these lie behind and hold what is before them
+    assert full - start > 100
+    common.worker_cache("second", 0, list)
+    assert held() - start < 50 and len(last) == 100
+
+
 def test_token_tasks_hold_small_batches_and_give_back(spark, tmp_path):
     """Of 12 MB of texts a task gets 4 MB at a time, and tasks that count or write ids keep no encoder."""
     import public_tokenizers

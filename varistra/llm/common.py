@@ -85,17 +85,27 @@ _WORKER: dict = {}
 def worker_cache(owner: str, key, make):
     """What a Python worker keeps from task to task for one operator; workers are reused, so another owner's or key's goes."""
     if _WORKER.get("of") != (owner, key):
-        _WORKER.clear()
+        forget()
         _WORKER.update(of=(owner, key), held=make())
     return _WORKER["held"]
 
 
 def forget() -> None:
     """Give back what this Python worker keeps; for tasks that don't need what the operator's earlier tasks kept."""
+    _WORKER.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Hand the system the memory that this worker has freed: Spark takes waiting workers in turn, so all that a step ever had at once stay alive."""
+    import ctypes
+
     import pyarrow as pa
 
-    _WORKER.clear()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; others have none
+    if trim:
+        trim(0)
 
 
 @contextmanager

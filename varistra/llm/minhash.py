@@ -146,6 +146,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                     ids, sets, held = [], [], 0
         if ids:
             yield signed(ids, sets)
+        common.give_back()
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n long, a long, b long, bands array<long>")
 
@@ -183,6 +184,7 @@ def compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     sets.append(s)
                 elif any(linked(x, s, percent) for x in sets):
                     found.append((u, v))
+        common.give_back()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["u", "v"])
 
     rows = wanted.join(texts, "node").select("u", "part", "v", "text")

@@ -434,6 +434,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> str:
                 rows.append((doc_id, toxic, share, *(x.astype(np.int32).tobytes() for x in counts(text))))
         del counts  # with the words that it has kept
         save(Model(sent.value, sorted(rows)), out)
+        common.give_back()
         yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
 
     if not sample.select("doc_id", "toxic", "share", "text").repartition(1).mapInArrow(run, "n long").collect():
