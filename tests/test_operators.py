@@ -382,3 +382,12 @@ def test_domain_names_replace_accessions(spark):
     names = spark.createDataFrame([("PF00001", "7tm_1"), ("PF00001", "8tm"), (None, "x")], "acc string, name string")
     got = {r.head: r.shown for r in scalar.domain_display(heads, "head", names, "acc", "name", ("pfam_", "score_")).collect()}
     assert got == {"pfam_PF00001.2": "7tm_1", "pfam_PF99999": "PF99999", "score_other_head": "Other Head", None: None}
+
+
+def test_halves_are_ranked_by_means_worked_out_once(spark):
+    import random
+
+    drawn = F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()
+    long = spark.range(240).select((F.col("id") % 20).alias("g"), (F.col("id") % 12).alias("f"), drawn().alias("v"))
+    got = resample.split_halves(long, "g", "f", "v", 3, F.expr("(g div 4 + repeat) % 2 = 0")).collect()
+    assert sorted((r.repeat, r.features) for r in got) == [(1, 12), (2, 12), (3, 12)] and all(-1 <= r.rho <= 1 for r in got)

@@ -106,14 +106,16 @@ def pair_score(pairs: DataFrame, z: DataFrame, weights: DataFrame) -> DataFrame:
 def split_halves(long: DataFrame, group: str, feature: str, value: str, repeats: int, half: Column | None = None, seed: int = 0) -> DataFrame:
     """(repeat, features, rho): groups fall into two halves anew in each repeat; Spearman correlation of the halves' mean by feature.
 
-    half: true for the first half, an expression of the group and ``repeat``; a hash of both where none is given."""
+    half: true for the first half, an expression of the group and ``repeat``; a hash of both where none is given. Means are stored
+    before they are ranked: sums of doubles differ in their last digits when they are worked out again."""
     from varistra.operators.stats import spearman
+    from varistra.sources import shared
 
     half = draw(seed, number(long, group), F.col("repeat")) % 2 == 0 if half is None else half
     means = long.groupBy(group, feature).agg(F.avg(F.col(value).cast("double")).alias("m"))
     many = means.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("half", half)
     sides = many.groupBy("repeat", feature).agg(F.avg(F.when(F.col("half"), F.col("m"))).alias("a"), F.avg(F.when(~F.col("half"), F.col("m"))).alias("b"))
-    both = sides.filter("a is not null and b is not null")
+    both, _ = shared.stored(sides.filter("a is not null and b is not null"), "halves")
     return spearman(both, ["repeat"], "a", "b", 2).select("repeat", F.col("n").alias("features"), F.col("r").alias("rho"))
 
 
