@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from varistra.functions import scalar as S
 from varistra.functions import special
 from varistra.operators import hist, pairs, relational as R, resample, schema, stats, vectors as V
+from varistra.sources import shared
 
 NAN = float("nan")
 
@@ -391,3 +392,33 @@ def test_halves_are_ranked_by_means_worked_out_once(spark):
     long = spark.range(240).select((F.col("id") % 20).alias("g"), (F.col("id") % 12).alias("f"), drawn().alias("v"))
     got = resample.split_halves(long, "g", "f", "v", 3, F.expr("(g div 4 + repeat) % 2 = 0")).collect()
     assert sorted((r.repeat, r.features) for r in got) == [(1, 12), (2, 12), (3, 12)] and all(-1 <= r.rho <= 1 for r in got)
+
+
+def test_pairs_of_sets_shuffle_memberships_twice(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(f"s{rng.randrange(20)}", rng.randrange(300)) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g string, m int").repartition(2)
+    sc, jvm = spark.sparkContext, spark._jvm
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    df, _ = shared.stored(df, "rows")
+    groups = {}
+    for g, m in rows:
+        groups.setdefault(g, set()).add(m)
+    want = sorted({(a, b) for ms in groups.values() for a in ms for b in ms if a < b})
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables that are too large
+    try:
+        for more in ({}, {"coded": 19}, {"block": 30}, {"coded": 19, "block": 30, "most": 8}):
+            before = shuffled()
+            assert want == sorted(map(tuple, R.group_pairs(df, "g", "m", **more).collect()))
+            if "block" not in more:
+                assert shuffled() - before < 2.5 * len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
